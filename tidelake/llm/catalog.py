@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import queries_a
+from . import queries_a, queries_b
 
 QUERIES = {
     "op4_exact_dedup": queries_a.op4_exact_dedup,
+    "op9_sentencepiece_codec": queries_b.op9_sentencepiece_codec,
 }
 
 ORACLE_SQL = {

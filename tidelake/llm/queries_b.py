@@ -1,0 +1,13 @@
+"""Thin query over whole tables: SentencePiece encoding and decoding."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from .base import documents
+from .sentencepiece_bpe import encoding_digests
+
+
+def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
