@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_a, queries_b
+from . import queries_a, queries_b, queries_c
 
 QUERIES = {
+    "op1_ngram_jaccard_join": queries_c.op1_ngram_jaccard_join,
     "op4_exact_dedup": queries_a.op4_exact_dedup,
     "op9_sentencepiece_codec": queries_b.op9_sentencepiece_codec,
 }

@@ -1,0 +1,12 @@
+"""Thin query over whole tables: the n-gram Jaccard join."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .base import documents
+from .ngram_join import similarity_components
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(documents(spark, sf_dir))
