@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import queries_a, queries_b, queries_c
+from . import queries_a, queries_b, queries_c, queries_d
 
 QUERIES = {
     "op1_ngram_jaccard_join": queries_c.op1_ngram_jaccard_join,
     "op4_exact_dedup": queries_a.op4_exact_dedup,
+    "op8_source_mixing": queries_d.op8_source_mixing,
     "op9_sentencepiece_codec": queries_b.op9_sentencepiece_codec,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": queries_a.OP4_SQL,
+    "op8_source_mixing": queries_d.OP8_SQL,
 }
