@@ -1,0 +1,12 @@
+"""Thin query over whole tables: license scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .base import documents
+from .licenses import license_labels
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(documents(spark, sf_dir))
