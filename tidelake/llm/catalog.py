@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import queries_a, queries_b, queries_c, queries_d, queries_e
+from . import queries_a, queries_b, queries_c, queries_d, queries_e, queries_f
 
 QUERIES = {
     "op1_ngram_jaccard_join": queries_c.op1_ngram_jaccard_join,
     "op4_exact_dedup": queries_a.op4_exact_dedup,
     "op6_license_scan": queries_e.op6_license_scan,
+    "op7_quality_classifier": queries_f.op7_quality_classifier,
     "op8_source_mixing": queries_d.op8_source_mixing,
     "op9_sentencepiece_codec": queries_b.op9_sentencepiece_codec,
 }

@@ -1,0 +1,12 @@
+"""Thin query over whole tables: the quality classifier."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .base import documents
+from .quality import classify
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir)).select("doc_id", "score", "posterior", "keep")
