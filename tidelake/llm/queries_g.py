@@ -1,0 +1,12 @@
+"""Thin query over whole tables: document fingerprints."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .base import documents
+from .fingerprints import edited_fingerprints
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
