@@ -1,0 +1,12 @@
+"""Thin query over whole tables: personal data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .base import documents
+from .pii import personal_data
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
