@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import queries_a, queries_b, queries_c, queries_d, queries_e, queries_f, queries_g, queries_h
+from . import queries_a, queries_b, queries_c, queries_d, queries_e, queries_f, queries_g, queries_h, queries_i
 
 QUERIES = {
     "op1_ngram_jaccard_join": queries_c.op1_ngram_jaccard_join,
     "op2_document_fingerprints": queries_g.op2_document_fingerprints,
     "op3_personal_data": queries_h.op3_personal_data,
     "op4_exact_dedup": queries_a.op4_exact_dedup,
+    "op5_chat_formatting": queries_i.op5_chat_formatting,
     "op6_license_scan": queries_e.op6_license_scan,
     "op7_quality_classifier": queries_f.op7_quality_classifier,
     "op8_source_mixing": queries_d.op8_source_mixing,

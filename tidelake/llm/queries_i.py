@@ -1,0 +1,14 @@
+"""Thin query over whole tables: chat formatting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .chat import recover_roles
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One canonical turn for each line of ``conversations``."""
+    out = recover_roles(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select("conv_id", "turn", "role", "label", "rendered", F.sha2("rendered", 256).alias("rendered_sha256"))
