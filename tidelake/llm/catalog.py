@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_a, queries_b, queries_c, queries_d, queries_e, queries_f, queries_g, queries_h, queries_i
+from . import queries_a, queries_b, queries_c, queries_d, queries_e, queries_f, queries_g, queries_h, queries_i, queries_j
 
 QUERIES = {
     "op1_ngram_jaccard_join": queries_c.op1_ngram_jaccard_join,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality_classifier": queries_f.op7_quality_classifier,
     "op8_source_mixing": queries_d.op8_source_mixing,
     "op9_sentencepiece_codec": queries_b.op9_sentencepiece_codec,
+    "op10_training_order": queries_j.op10_training_order,
 }
 
 ORACLE_SQL = {

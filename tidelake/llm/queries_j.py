@@ -1,0 +1,15 @@
+"""Thin query over whole tables: token ids in training order."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .base import documents
+from .training_order import write_training_order
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = write_training_order(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("shard", "slot", "doc_id", "n_tokens", (F.col("slot") % F.lit(1 << 16) * F.col("stride")).alias("offset"))
