@@ -2,15 +2,14 @@
 
 Observations of a load are written first, its ledger row last; readers go through
 the ledger, so what a failed run leaves is never seen. One writer at a time.
-Tables of the ledger are thin and rewritten as a whole under a new name, which a
-pointer file then names.
+Tables of the ledger are thin and rewritten as a whole under the next number; the
+highest number whose write was completed is the table.
 """
 
 from __future__ import annotations
 
 import datetime
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,26 +52,25 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
-        path = f"{self.root}/{name}/_current"
-        fs, p = self._fs(path)
-        return self.spark.read.text(path).first().value if fs.exists(p) else None
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of the completed writes of a thin table."""
+        fs, p = self._fs(f"{self.root}/{name}")
+        found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = [x for x in found if x.getName().startswith("v-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+        return sorted(int(x.getName()[2:]) for x in done)
 
     def table(self, name: str) -> DataFrame:
-        at = self._current(name)
-        return self.spark.read.schema(TABLES[name]).parquet(at) if at else self.spark.createDataFrame([], TABLES[name])
+        done = self._versions(name)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v-{done[-1]}") if done else self.spark.createDataFrame([], TABLES[name])
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """A thin table anew; readers see the old rows until the pointer moves."""
-        at = f"{self.root}/{name}/v-{uuid.uuid4().hex}"
-        df.select([f.name for f in TABLES[name].fields]).coalesce(1).write.parquet(at)
-        fs, pointer = self._fs(f"{self.root}/{name}/_current")
-        _, draft = self._fs(f"{self.root}/{name}/_draft-{uuid.uuid4().hex}")
-        out = fs.create(draft)
-        out.write(bytearray(at.encode()))
-        out.close()
-        fs.delete(pointer, False)
-        fs.rename(draft, pointer)
+        """A thin table anew; readers see the old rows until the write is completed, and those that still read them can for two writes more."""
+        done = self._versions(name)
+        at = done[-1] + 1 if done else 1
+        df.select([f.name for f in TABLES[name].fields]).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/v-{at}")
+        for old in [n for n in done if n < at - 2]:
+            fs, p = self._fs(f"{self.root}/{name}/v-{old}")
+            fs.delete(p, True)
 
     def insert(self, name: str, **values) -> int:
         """Append one row with the next id, and return the id."""
