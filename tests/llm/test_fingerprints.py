@@ -50,6 +50,15 @@ def test_colliding_digests_are_told_apart(spark, monkeypatch):
     assert len({g.fingerprint for g in got}) == len(set(form.values()))
 
 
+def test_groups(spark):
+    rows = distinct_rows()
+    got = {r.fingerprint: (r.group_size, r.first_id) for r in fingerprints.groups(fingerprints.edited_fingerprints(frame(spark, rows))).collect()}
+    want = {}
+    for r in rows:
+        want.setdefault(canonical(r[1] or ""), []).append(r[0])
+    assert sorted(got.values()) == sorted((len(v), min(v)) for v in want.values())
+
+
 def test_predecessors_over_wide_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BITS", 2)
     ids = [-(2**60), -5, 0, 1, 2, 3, 17, 64, 1000, 2**61]

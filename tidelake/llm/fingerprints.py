@@ -75,13 +75,11 @@ def _comparisons(prints: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_size, first_id.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last half of the code points replaced by as many
     first ones of the next document by descending id. near_* is 1 if the
-    canonical forms are equal and 0 if not. group_size and first_id are the
-    number and the least id of the documents of equal fingerprint. Null counts
-    as empty. Of rows that share an id the one with the greatest text stands for
+    canonical forms are equal and 0 if not. Null counts as empty. Of rows that share an id the one with the greatest text stands for
     the id as a next document. Rows without an id are their own next document.
     Other columns are ignored; an empty table gives no rows.
     """
@@ -101,10 +99,19 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
         forms.select("doc_id", "n_chars", "edited_sha256", digest(F.col("form")).alias("fp"), digest(F.col("edited_form")).alias("edited_fp"), (F.col("form") == F.col("edited_form")).cast("double").alias("near_edited"), F.sha2(F.col("form"), 256).alias("long"), F.sha2(F.col("edited_form"), 256).alias("edited_long"), checked.alias("checked")), "edited"
     )
     broken = out.where(~F.col("checked")).select(F.col("fp").alias("b")).distinct()  # buckets of different forms: none is to be expected
-    for fp, long, name in (("fp", "long", "fingerprint"), ("edited_fp", "edited_long", "edited_fingerprint")):
-        out = out.join(broken, F.col(fp) == F.col("b"), "left").withColumn(name, F.when(F.col("b").isNull(), F.col(fp)).otherwise(F.concat(fp, F.lit("-"), long))).drop("b")
+    prints = [("fp", "long", "fingerprint"), ("edited_fp", "edited_long", "edited_fingerprint")]
+    if broken.limit(1).count():
+        for fp, long, name in prints:
+            out = out.join(broken, F.col(fp) == F.col("b"), "left").withColumn(name, F.when(F.col("b").isNull(), F.col(fp)).otherwise(F.concat(fp, F.lit("-"), long))).drop("b")
+    else:
+        out = out.withColumnsRenamed({fp: name for fp, _, name in prints})
     own = out.where("doc_id is not null").groupBy("doc_id").agg(F.max("fingerprint").alias("next_print"))
     after = succession.join(own.withColumnRenamed("doc_id", "next"), "next").select(F.col("id").alias("doc_id"), "next_print")
-    groups = out.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("first_id"))
     near_next = (F.col("fingerprint") == F.coalesce("next_print", "fingerprint")).cast("double")
-    return out.join(after, "doc_id", "left").join(groups, "fingerprint").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near_next.alias("near_next"), "group_size", "first_id")
+    columns = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited")
+    return out.select(*columns).join(after, "doc_id", "left").select(*columns, near_next.alias("near_next"))
+
+
+def groups(prints: DataFrame) -> DataFrame:
+    """fingerprint, group_size, first_id (the least) of the documents of equal fingerprint."""
+    return prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("first_id"))
