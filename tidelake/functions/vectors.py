@@ -64,7 +64,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, buckets: int = 16) -> D
     its own best k before the bests are merged; nothing is paired that is not scored.
     """
     b = base.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    q = queries.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long"))
+    q = queries.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     scored = q.join(b, "bucket").where("query_id != id").select("query_id", "id", "bucket", cosine(F.col("query"), F.col("embedding")).alias("similarity"))
     top = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), "id"))).where(F.col("r") <= k)
     return top(top(scored, "query_id", "bucket").drop("r"), "query_id").drop("bucket")

@@ -380,11 +380,16 @@ def _(spark, d):
 # -- text -------------------------------------------------------------------------------------------
 
 
-@register("trigram_similarity", None)
+def _grams_sql(key: str, name: str, source: str, side: str) -> str:
+    t = f"lower(regexp_replace({name}, '\\s', '', 'g'))"
+    return f"{side} AS (SELECT {key}, gram, count(*) AS {side}n FROM (SELECT {key}, unnest(list_transform(range(1, greatest(length({t}) - 2, 1) + 1), lambda i: substr({t}, i, 3))) AS gram FROM {source}) GROUP BY ALL), {side}m AS (SELECT {key}, sum({side}n * {side}n) AS {side}q FROM {side} GROUP BY 1)"
+
+
+@register("trigram_similarity", f"WITH {_grams_sql('c_custkey', 'c_name', 'customer', 'l')}, {_grams_sql('s_suppkey', 's_name', 'supplier', 'r')} SELECT c_custkey, s_suppkey, round(sum(ln * rn) / (sqrt(any_value(lq)) * sqrt(any_value(rq))), 9) AS similarity FROM l JOIN r USING (gram) JOIN lm USING (c_custkey) JOIN rm USING (s_suppkey) GROUP BY ALL")
 def _(spark, d):
-    names = v.table(spark, d, "part").select("p_partkey", "p_name")
+    names = v.table(spark, d, "customer").select("c_custkey", "c_name")
     brands = v.table(spark, d, "supplier").select("s_suppkey", "s_name")
-    return text.similarities(names, brands, "p_partkey", "p_name", "s_suppkey", "s_name").withColumn("similarity", F.round("similarity", 9))
+    return text.similarities(names, brands, "c_custkey", "c_name", "s_suppkey", "s_name").withColumn("similarity", F.round("similarity", 9))
 
 
 @register("fuzzy_best_match", "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES (1, 1), (2, 2)) t(a, b)")
@@ -447,7 +452,7 @@ def _(spark, d):
     return e.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(vectors.norm(vectors.normalized(F.col("embedding"))), 6).alias("unit"))
 
 
-@register("embed_nearest", None)
+@register("embed_nearest", "SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) <= 3")
 def _(spark, d):
     e = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
