@@ -24,17 +24,18 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is tied to one smaller node at most, and to none that is tied itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the least node reachable. No edges give no rows."""
     e = edges.where("a != b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
     e = materialise(e, "edges")
-    before = None
-    while True:
+    while not _settled(e):
         nxt = materialise(_star(_star(e, small=False), small=True), "edges")
         discard(e)
         e = nxt
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -37,7 +37,9 @@ WORDS = 5
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 3, 4
 SKETCH_BITS, CHUNK_BITS = 20, 16
-GROUP, PIVOTS, ROUNDS = 16, 4, 5
+GROUP, PIVOTS, ROUNDS = 4, 2, 6
+#: Pairs a member of a large group may cost on average for all that are left to be paired out.
+FEW = 8
 #: Documents of one cell of a frequent shingle; prefix entries of a block.
 CELL, BLOCK, FLUSH = 200_000, 1_500_000, 300_000
 BINS = 64
@@ -236,16 +238,26 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _pivot_pairs(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Members of a large group paired with one member of each of its largest components."""
+        """Members of a large group paired with members of its largest components, each pivot with what is in smaller components only.
+
+        The largest component gives twice as many pivots in each round as in the
+        one before, the next largest one each: what is still outside it gets
+        fewer from round to round.
+        """
         doc, comp, n, pos = (pdf[c].to_numpy() for c in ("a", "component", "n", "pos"))
         rank = hashing.finalise(doc.view(_U) + _U(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        own, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        _, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         order = np.lexsort((rank, at))
         lead = order[np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))]  # the member of least rank of each component
-        lead = lead[np.lexsort((rank[lead], -sizes[at[lead]]))][:PIVOTS]
+        place = np.empty(len(lead), np.int64)
+        place[np.lexsort((rank[lead], -sizes))] = np.arange(len(lead))  # components by size
+        mine = place[at]
+        pivots = [i for p in range(min(PIVOTS, len(lead))) for i in lead[place == p]]
+        main = np.flatnonzero(mine == 0)
+        pivots += main[np.argsort(rank[main])][1 : PIVOTS << seed].tolist()
         out = [np.zeros((0, 2), np.int64)]
-        for p in lead:
-            ok = (comp != comp[p]) & _allowed(n, pos, n[p], pos[p])
+        for p in pivots:
+            ok = (mine > mine[p]) & _allowed(n, pos, n[p], pos[p])
             out.append(np.stack([doc[ok], np.full(ok.sum(), doc[p])], 1))
         x = np.concatenate(out)
         return pd.DataFrame({"a": np.maximum(x[:, 0], x[:, 1]), "b": np.minimum(x[:, 0], x[:, 1])})
@@ -355,19 +367,21 @@ def similarity_components(docs: DataFrame, id_column: str = "doc_id", text_colum
         "active",
     )
     labels = materialise(_merge(_links(pairs, active, words), None), "labels")
+    grouped = materialise(active.join(members.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "grouped")
+    discard(active)
     before = None
     for attempt in range(ROUNDS + 1):
         lettered = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        mixed = lettered.groupBy("token", "component").count().groupBy("token").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("cross"), F.count(F.lit(1)).alias("parts"))
+        mixed = lettered.groupBy("token", "component").count().groupBy("token").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("cross"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("parts"))
         mixed = mixed.where("parts > 1")
-        cross = mixed.agg(F.coalesce(F.sum(F.col("cross").cast("double")), F.lit(0.0))).first()[0] / 2
+        cross, size = mixed.agg(F.coalesce(F.sum(F.col("cross").cast("double")), F.lit(0.0)) / 2, F.coalesce(F.sum("size"), F.lit(0))).first()
         if not cross:
             break
-        last = attempt == ROUNDS or (before is not None and cross > 0.7 * before)
+        last = attempt == ROUNDS or cross <= FEW * size or cross == before
         before = cross
         groups = lettered.join(mixed.select("token"), "token").groupBy("token")
         more = groups.applyInPandas(_all_pairs if last else _pivot_pairs(attempt), "a long, b long").distinct()
-        merged = materialise(_merge(_links(more, active, words), labels), "labels")
+        merged = materialise(_merge(_links(more, grouped, words), labels), "labels")
         discard(labels)
         labels = merged
         if last:
