@@ -56,3 +56,20 @@ def test_spans_and_empty(spark):
     _, spans = licenses.scan(frame(spark, rows()).where("doc_id = 5000"))
     assert [(s.label, s.first, s.last) for s in spans.collect()] == [("mit", 0, 4)]
     assert licenses.license_labels(frame(spark, [])).collect() == []
+
+
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+NOTICES = [
+    (CC.format("-NonCommercial"), "cc-by-nc"), (CC.format("-ShareAlike"), "cc-by-sa"), (CC.format(""), "cc-by"), (CC.format("-NoDerivatives"), ""), (CC.format("-NonCommercial-ShareAlike"), ""),
+    ("Licensed under the Apache License 2.0.", "apache-2"), ("Licensed under the Apache Software License, Version 2.0.", "apache-2"), ("Licensed under the Apache License, Version 1.1.", ""),
+    ("Released under the terms of the MIT License.", "mit"), ("Released under this MIT License.", "mit"), ("Released under the Foo License.", ""), ("released to all of them under the name of the mit", ""),
+    (licenses.TEMPLATES[6][1].replace("GNU General", "GNU Lesser General"), ""), (f"{CC.format('-ShareAlike')} {CC.format('')}", "cc-by,cc-by-sa"),
+]
+
+
+def test_spans_are_verified_word_by_word(spark):
+    rows = [(i, f"see {t} and more", *[None] * 8) for i, (t, _) in enumerate(NOTICES)]
+    got = {r.doc_id: r for r in licenses.license_labels(frame(spark, rows)).collect()}
+    assert [(t, got[i].labels) for i, (t, _) in enumerate(NOTICES)] == NOTICES
+    _, spans = licenses.scan(frame(spark, rows[:3]))
+    assert sorted((s.label, s.first, s.last, s.cover) for s in spans.collect()) == [("cc-by", 1, 13, 1.0), ("cc-by-nc", 1, 14, 1.0), ("cc-by-sa", 1, 14, 1.0)]
