@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from util import awkward, frame, shingles
 
-from tidelake.llm import ngram_join
+from tidelake.llm import hashing, ngram_join
 from tidelake.llm.components import components
 from tidelake.llm.stages import keep_one_of_similar
 
@@ -79,3 +80,10 @@ def test_one_of_each_component_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = {c for _, _, c in brute([x for x in rows if x[0] is not None])} | {None}
     assert {r.doc_id for r in keep_one_of_similar(docs).collect()} == want
+
+
+@pytest.mark.parametrize("n", range(1, 6))
+def test_one_text_of_a_few_words_has_one_shingle(n):
+    words = np.arange(1, n + 1, dtype=np.uint64)
+    found = list(hashing.shingles(words, np.array([0, n]), 5))
+    assert [len(x) for x in found] == [1]

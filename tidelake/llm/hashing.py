@@ -100,7 +100,7 @@ def shingles(h: np.ndarray, rows: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles; all words as one where they are fewer."""
     n = len(h)
     joined = np.zeros(max(0, n - k + 1), np.uint64)
-    for i in range(k):
+    for i in range(k if n >= k else 0):
         joined += h[i : n - k + 1 + i] * _MIX[i]
     joined = finalise(joined)
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
