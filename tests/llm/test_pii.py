@@ -54,3 +54,19 @@ def test_reliable_contexts_discover_unseen_identifiers(spark):
 
 def test_empty(spark):
     assert pii.personal_data(frame(spark, [])).collect() == []
+
+
+def test_candidates_of_every_shape_are_found(spark):
+    r = random.Random(5)
+    seen = [(i, f"the mail: user{i}@example.org end", *[None] * 8) for i in range(40)]
+    seen += [(100 + i, f"the phone: +1 (743) 555-{1000 + i} end", *[None] * 8) for i in range(40)]
+    cards = []
+    while len(cards) < 40:
+        d = str(r.randrange(10**15, 10**16))
+        cards += [d] if luhn(d) else []
+    seen += [(200 + i, f"the card: {d} end", *[None] * 8) for i, d in enumerate(cards)]
+    new = [("mail: ", "bob.jones@intranet", "email"), ("phone: ", "743 555 3824", "phone"), ("phone: ", "(743) 555-3824", "phone"), ("card: ", "4111 1111 1111 1112", "card")]
+    rows = seen + [(500 + i, f"a {before}{m} here", *[None] * 8) for i, (before, m, _) in enumerate(new)]
+    got = {x.doc_id: x for x in pii.personal_data(frame(spark, rows)).collect()}
+    assert [got[500 + i].spans for i in range(len(new))] == [f"{k}:{2 + len(b)}:{2 + len(b) + len(m)}" for b, m, k in new]
+    assert all(got[x[0]].n_found == 0 for x in seen)

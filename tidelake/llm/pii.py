@@ -1,7 +1,9 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four fixed patterns give the seed entities. Runs of identifier characters with
-enough digits that no seed covers are the unknown instances. Each instance has
+Four fixed patterns give the seed entities. Whatever else has the shape of a
+kind's seeds is an unknown instance, if no seed covers it: a run of identifier
+characters with a digit or an @ in it, or groups of digits with single spaces,
+dots, hyphens and brackets between them, each of any length. Each instance has
 lexical patterns around it: the word before, and the word before with the word
 after. Patterns and instances form a graph that Spark scores in rounds: for each
 kind a pattern is as reliable as the mean score of the instances it selects, and
@@ -28,8 +30,11 @@ PATTERNS = {
 }
 #: Characters without which a kind cannot occur.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: An unknown instance: a run of six or more such characters with MARKS digits.
-_UNKNOWN, MARKS = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z@._+-]*+[0-9])[A-Za-z0-9@._+-]{6,}+", 4
+#: An unknown instance: up to 19 groups of digits, as many as the longest card has digits, or else a run of identifier characters up to its last letter or digit.
+_UNKNOWN = (
+    r"(?<![A-Za-z0-9@._%+-])(?:[+(]{0,2}[0-9]++(?:\)?+[\x20.-]?+\(?+[0-9]++){1,18}+(?![A-Za-z0-9@_%+]|[.-][A-Za-z0-9@_%+])"
+    r"|(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]*[A-Za-z0-9])"
+)
 #: Rounds of scoring; a pattern needs SUPPORT seeds of a kind and this reliability, an instance this score.
 ROUNDS, SUPPORT, RELIABLE, CERTAIN = 3, 8, 0.9, 0.9
 #: Characters of a neighbouring piece that are searched for a word.
@@ -78,13 +83,13 @@ def instances(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).alias("doc_id"), text.alias("text"))
     digit = F.regexp_like(F.col("text"), F.lit("[0-9]"))
     columns = [_of_kind(k, _pieces(F.col("text"), p, F.instr(F.col("text"), _NEEDS[k]) > 0 if k in _NEEDS else digit)) for k, p in PATTERNS.items()]
-    columns.append(_of_kind(None, _pieces(F.col("text"), _UNKNOWN, digit)))
+    columns.append(_of_kind(None, _pieces(F.col("text"), _UNKNOWN, digit | (F.instr(F.col("text"), "@") > 0))))
     kept = materialise(source.select("uid", "doc_id", F.concat(*columns).alias("found")), "instances")
     rows = kept.select("uid", F.explode("found").alias("f")).select("uid", "f.kind", "f.x.*")
     end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.col("size"))
     seed = F.col("kind").isNotNull()
-    rows = rows.where(F.when(seed, valid(F.col("kind"), F.col("m"))).otherwise(F.length(F.regexp_replace("m", "[^0-9]", "")) >= MARKS))
+    rows = rows.where(~seed | valid(F.col("kind"), F.col("m")))
     order = Window.partitionBy("uid").orderBy("start", F.col("kind").asc_nulls_last())
     reached = F.max(F.when(seed, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     coming = F.min(F.when(seed, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
