@@ -48,3 +48,11 @@ def test_markers_tell_roles_and_are_taken_off(spark):
 
 def test_empty(spark):
     assert chat.recover_roles(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_steps_across_blocks_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    df = spark.createDataFrame([(1, i, "user" if i % 4 < 3 else "assistant", "x", 1, "c") for i in range(400)], SCHEMA)
+    a, _ = chat.fit(chat._lines(df))
+    user, assistant = chat.ROLES.index("user"), chat.ROLES.index("assistant")
+    assert np.isclose(np.exp(a[assistant, user]), 100 / (99 + len(chat.ROLES)))

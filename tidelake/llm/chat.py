@@ -80,7 +80,10 @@ def fit(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     labelled = lines.where(F.col("label").isin(*ROLES)).select("key", "place", "block", "symbol", role.alias("role"))
     emissions = {(r.role, r.symbol): r["count"] for r in labelled.groupBy("role", "symbol").count().collect()}
     starts = {r.role: r["count"] for r in labelled.where("place = 0").groupBy("role").count().collect()}
-    step = labelled.withColumn("next", F.lead("role").over(Window.partitionBy("key", "block").orderBy("place"))).where("next is not null")
+    step = labelled.withColumn("next", F.lead("role").over(Window.partitionBy("key", "block").orderBy("place"))).select("role", "next")
+    ends = labelled.groupBy("key", "block").agg(F.min_by("role", "place").alias("first"), F.max_by("role", "place").alias("role"))
+    border = ends.withColumn("next", F.lead("first").over(Window.partitionBy("key").orderBy("block"))).select("role", "next")
+    step = step.union(border).where("next is not null")
     steps = {(r.role, r.next): r["count"] for r in step.groupBy("role", "next").count().collect()}
     n = len(ROLES)
     a = np.full((n + 1, n + 1), NEVER)
