@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Groups of more than this part of all rows are joined by broadcast.
+HEAVY = 1000
 _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a folder of its own in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not root:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidelake-")
     return root
 
@@ -24,10 +32,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Whole texts go to Python in batches of few bytes meanwhile, which executors hold several times over outside the heap."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, "4m")
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing will read again."""
     jvm = df.sparkSession._jvm
@@ -37,6 +57,28 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of their group, where one group may hold any share of all rows.
+
+    groups has each key of rows once, with the number of its rows in ``size``, and
+    should be a written table. Groups of over a HEAVY-th of all rows, fewer than
+    HEAVY of them therefore, are broadcast; the rest is joined by key.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    heavy = F.col(size) * HEAVY > max(total, HEAVY * HEAVY)
+    more = [c for c in groups.columns if c != key]
+    met = rows.join(F.broadcast(groups.where(heavy)), key, "left")
+    rest = met.where(F.col(size).isNull()).select(rows.columns).join(groups.where(~heavy), key)
+    return met.where(F.col(size).isNotNull()).select(*rows.columns, *more).union(rest.select(*rows.columns, *more))
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits of hash over all columns: rows of equal key are the same row repeated."""
+    columns = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    flags = F.concat(*(F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in df.columns))
+    return F.concat_ws("-", *(F.hex(F.xxhash64(F.lit(seed), flags, *columns)) for seed in (1, 2)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
