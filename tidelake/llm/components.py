@@ -31,11 +31,13 @@ def _settled(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b): component is the least node reachable. No edges give no rows."""
+    """(node, component) for every node of edges (a, b), as a written table: component is the least node reachable. No edges give no rows."""
     e = edges.where("a != b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
     e = materialise(e, "edges")
     while not _settled(e):
         nxt = materialise(_star(_star(e, small=False), small=True), "edges")
         discard(e)
         e = nxt
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "labels")
+    discard(e)
+    return found

@@ -1,32 +1,37 @@
 """N-gram Jaccard join by rare-first prefix filtering.
 
 1. One pass gives each document's shingle-set size and digest, and counts all
-   shingles into a sketch of fixed size; equal sets are one class.
-2. A second pass orders each set by (sketched frequency, hash) and sends out the
-   prefix that any partner must share, in packed blocks by range of shingles.
-3. Documents that meet at a shingle are paired under the length and positional
-   filters. Groups of up to ``GROUP`` documents give all their pairs; larger ones
-   are tied to a few pivots first, and only what is then in different components
-   is paired out, so that a group of near copies costs about its size.
-4. Pairs pass the suffix filter (counts of the sets by hash range bound their
-   difference from below) and are verified once each on whole texts.
+   shingles into a sketch of fixed size, which tells those of extreme frequency.
+2. Every other shingle is sent, packed, to the block of shingles it belongs to and
+   counted there exactly. Only shingles of several documents are sent back. A
+   document whose prefix, rarest shingles first, holds none of them has no partner;
+   of the others the shared shingles are kept, by which alone they are compared.
+3. Documents that meet at a prefix shingle are paired under the length and
+   positional filters. Shingles of up to ``GROUP`` documents give all their pairs.
+   The documents of more frequent ones are tied to a few pivots in rounds, and
+   only what is then in different components is paired out, in cells of bounded
+   size: a group of near copies costs about its size, and no link is lost.
+4. Pairs pass the suffix filter (counts by hash range bound the intersection from
+   above) and are verified, each pair once.
 5. Components of the verified links.
 
-Shingles are compared by 64-bit hashes. A shingle that is frequent is cut into
-cells of bounded size in which every pair still meets.
+Shingles are compared by 64-bit hashes. One of extreme frequency, whatever its
+share, is cut into cells of bounded size in which every pair still meets.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from typing import Any, Tuple  # noqa: UP035  (Spark reads the group key's hint by this spelling)
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -37,11 +42,12 @@ WORDS = 5
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 3, 4
 SKETCH_BITS, CHUNK_BITS = 20, 16
-GROUP, PIVOTS, ROUNDS = 4, 2, 6
-#: Pairs a member of a large group may cost on average for all that are left to be paired out.
-FEW = 8
-#: Documents of one cell of a frequent shingle; prefix entries of a block.
-CELL, BLOCK, FLUSH = 200_000, 1_500_000, 300_000
+#: Documents of a shingle that are paired at once; pivots of the first round, which double from round to round.
+GROUP, PIVOTS, ROUNDS = 16, 4, 2
+#: Documents of one cell of a shingle of extreme frequency, and of one cell of pairing out.
+CELL, SQUARE = 200_000, 1000
+#: Shingles of a block; shingles and documents that a task sends out at once.
+BLOCK, FLUSH, DOCS = 750_000, 1_000_000, 1 << 16
 BINS = 64
 _U = np.uint64
 
@@ -96,7 +102,7 @@ def _survey(words: int):
     return run
 
 
-def _added(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _added(key: Tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(1 << CHUNK_BITS, np.uint32)
     for c in pdf["counts"]:
         x = np.frombuffer(zlib.decompress(c), np.uint32)
@@ -115,76 +121,158 @@ def _sketch(parts: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes by significance, which compress better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+#: What a payload holds: documents (id, digest, size), shingles to be counted, shingles with their counts.
+_HEAD, _SENT, _COUNTED = 0, 1, 2
 
 
-def _unplanes(b: bytes, at: int, n: int, kind) -> tuple[np.ndarray, int]:
-    size = np.dtype(kind).itemsize
-    x = np.frombuffer(b, np.uint8, n * size, at).reshape(size, n).T
-    return np.ascontiguousarray(x).view(kind).reshape(n), at + n * size
+def _pack(kind: int, *columns: np.ndarray) -> bytes:
+    """Columns of one length, by significance of their bytes, which compresses better."""
+    planes = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in columns)
+    return bytes([kind]) + zstandard.compress(planes, 1)
 
 
-def _prefixes(words: int, sketch, blocks: int, hot: int):
+def _unpack(b: bytes, *kinds) -> list[np.ndarray]:
+    planes, at, out = np.frombuffer(zstandard.decompress(b[1:]), np.uint8), 0, []
+    n = len(planes) // sum(np.dtype(k).itemsize for k in kinds)
+    for k in kinds:
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(planes[at : at + n * size].reshape(size, n).T).view(k).reshape(n))
+        at += n * size
+    return out
+
+
+_HEAD_TYPES, _SENT_TYPES, _COUNTED_TYPES = (np.int64, np.int64, np.int32), (np.uint64, np.uint16), (np.uint64, np.uint16, np.uint32)
+
+
+def _steps(sorted_tokens: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_tokens, prepend=_U(0))
+
+
+def _sent(words: int, sketch, blocks: int, hot: int):
+    """Shingles by block, with the places of their documents in the flush. Of equal sets in a flush one is sent, for the least id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         frequency = sketch.value
-        docs: list[tuple[int, int, int]] = []
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        part = TaskContext.get().partitionId() << 24
+        heads: dict[bytes, list] = {}
+        sets: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            token, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            table = np.array(docs, np.int64).reshape(-1, 3)
+            nonlocal part, held
+            token = np.concatenate(sets)
+            place = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
+            head = np.array(list(heads.values()), np.int64)
+            out = [(part % blocks, _pack(_HEAD, head[:, 0].copy(), head[:, 1].copy(), head[:, 2].astype(np.int32)))]
+            count = frequency[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+            if (extreme := count > hot).any():
+                order = np.argsort(token[extreme], kind="stable")
+                out.append((part % blocks, _pack(_COUNTED, _steps(token[extreme][order]), place[extreme][order], count[extreme][order])))
+                token, place = token[~extreme], place[~extreme]
             block = ((token >> _U(24)) % _U(blocks)).astype(np.int64)
             order = np.lexsort((token, block))
-            token, doc, pos, block = token[order], doc[order], pos[order], block[order]
-            bounds = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-            keys, payloads = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                own, index = np.unique(doc[a:b], return_inverse=True)
-                delta = token[a:b].copy()
-                delta[1:] -= token[a : b - 1]
-                keys.append(int(block[a]))
-                payloads.append(np.array([len(own), b - a], np.int64).tobytes() + b"".join(map(_planes, (table[own, 0], table[own, 1], table[own, 2].astype(np.int32), delta, index.astype(np.int32), pos[a:b].astype(np.int32)))))
-            docs.clear()
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(payloads, pa.binary())], ["block", "payload"])
+            token, place, block = token[order], place[order], block[order]
+            bounds = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(token) else np.zeros(1, np.int64)
+            out += [(int(block[a]), _pack(_SENT, _steps(token[a:b]), place[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([part] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "part", "payload"])
+            heads.clear()
+            sets.clear()
+            part, held = part + 1, 0
+            return batch
 
         for batch in batches:
             for doc, x in zip(batch.column(0).to_pylist(), _sets(batch.column(1), words), strict=True):
-                n = len(x)
-                if not n or doc is None:
+                if not len(x) or doc is None:
+                    continue
+                digest = xxhash.xxh3_128_digest(x.tobytes())
+                if digest in heads:
+                    heads[digest][0] = min(heads[digest][0], doc)
                     continue
-                count = frequency[(x >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-                keep = n - -(-NUM * n // DEN) + 1
-                first = np.argsort(count, kind="stable")[:keep]
-                token, pos = x[first], np.arange(keep, dtype=np.int32)
-                if (cells := -(-count[first].astype(np.int64) // hot)).max(initial=1) > 1:
-                    token, pos = _in_cells(token, pos, cells, doc)
-                parts.append((token, np.full(len(token), len(docs), np.int32), pos))
-                docs.append((doc, int(np.frombuffer(xxhash.xxh3_64_digest(x.tobytes()), np.int64)[0]), n))
-                held += len(token)
-                if held > FLUSH:
+                heads[digest] = [doc, int(np.frombuffer(digest, np.int64)[0]), len(x)]
+                sets.append(x)
+                held += len(x)
+                if held > FLUSH or len(sets) == DOCS:
                     yield flush()
-                    held = 0
-        if parts:
+        if sets:
             yield flush()
 
     return run
 
 
-def _in_cells(token: np.ndarray, pos: np.ndarray, cells: np.ndarray, doc: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles as one token for each cell of the document's row and column in a triangle of cells: any two documents share one."""
-    tokens, places = [token[cells <= 1]], [pos[cells <= 1]]
-    salt = xxhash.xxh3_64_intdigest(str(doc))
-    for t, p, c in zip(token[cells > 1], pos[cells > 1], cells[cells > 1].tolist(), strict=True):
-        own = salt % c
+def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The shingles of one block that several documents hold, with their counts, back to the flushes they came from."""
+    passed = [p[0] != _SENT for p in pdf["payload"]]
+    own = pdf[[not x for x in passed]]
+    out = [pdf.loc[passed, ["part", "payload"]]]
+    if len(own):
+        columns = [_unpack(p, *_SENT_TYPES) for p in own["payload"]]
+        token = np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps, _ in columns])
+        place = np.concatenate([x for _, x in columns])
+        which = np.repeat(np.arange(len(columns)), [len(x) for _, x in columns])
+        order = np.argsort(token, kind="stable")  # rows of one flush stay together, in the order of their shingles
+        first = np.flatnonzero(np.concatenate(([True], token[order][1:] != token[order][:-1])))
+        size = np.diff(np.append(first, len(order)))
+        count = np.repeat(size, size).astype(np.uint32)
+        order, count = order[count > 1], count[count > 1]
+        again = np.argsort(which[order], kind="stable")
+        order, count = order[again], count[again]
+        bounds = np.flatnonzero(np.concatenate(([True], which[order][1:] != which[order][:-1], [True]))) if len(order) else np.zeros(1, np.int64)
+        parts = own["part"].to_numpy()
+        rows = [(parts[which[order[a]]], _pack(_COUNTED, _steps(token[order[a:b]]), place[order[a:b]], count[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        out.append(pd.DataFrame(rows, columns=["part", "payload"]))
+    return pd.concat(out)
+
+
+_LIVE = "a long, digest long, n int, token long, count long, pos int, tokens binary, bins binary"
+
+
+def _chosen(hot: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of one flush the documents with a shared shingle in their prefix (tokens, bins), and those shingles (token, count, pos)."""
+        head = next(_unpack(p, *_HEAD_TYPES) for p in pdf["payload"] if p[0] == _HEAD)
+        doc, digest, n = head
+        columns = [_unpack(p, *_COUNTED_TYPES) for p in pdf["payload"] if p[0] == _COUNTED]
+        token = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(x[0], dtype=np.uint64) for x in columns)])
+        place = np.concatenate([np.zeros(0, np.uint16), *(x[1] for x in columns)]).astype(np.int64)
+        count = np.concatenate([np.zeros(0, np.uint32), *(x[2] for x in columns)])
+        shared = np.bincount(place, minlength=len(doc))
+        prefix = n - -(-NUM * n // DEN) + 1
+        keep = (n - shared < prefix)[place]
+        token, place, count = token[keep], place[keep], count[keep]
+        order = np.lexsort((token, count, place))
+        token, place, count = token[order], place[order], count[order]
+        edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True]))) if len(place) else np.zeros(1, np.int64)
+        first, ends = edges[:-1], edges[1:]
+        pos = np.arange(len(place)) - np.repeat(first, ends - first) + (n - shared)[place]  # shingles of no other document come first
+        live = place[first]
+        bins = [np.minimum(np.bincount((token[a:b] >> _U(58)).astype(np.int64), minlength=BINS), 65535).astype(np.uint16).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+        docs = pd.DataFrame({"a": doc[live], "digest": digest[live], "n": n[live], "tokens": [token[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], "bins": bins}, columns=["a", "digest", "n", "token", "count", "pos", "tokens", "bins"])
+        use = pos < prefix[place]
+        token, place, count, pos = token[use], place[use], count[use].astype(np.int64), pos[use]
+        if (count > hot).any():
+            token, place, count, pos = _in_cells(token, place, count, pos, hot, digest)
+        entries = pd.DataFrame({"a": doc[place], "digest": digest[place], "n": n[place], "token": token.view(np.int64), "count": count, "pos": pos}, columns=docs.columns)
+        kinds = {"token": "Int64", "count": "Int64", "pos": "Int64"}
+        return pd.concat([docs.astype(kinds), entries.astype(kinds)]) if len(docs) and len(entries) else (entries if len(entries) else docs).astype(kinds)
+
+    return run
+
+
+def _in_cells(token: np.ndarray, place: np.ndarray, count: np.ndarray, pos: np.ndarray, hot: int, digest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Shingles of extreme frequency as one token for each cell of the document's row and column in a triangle of cells: any two documents share one."""
+    plain = count <= hot
+    tokens, places, counts, positions = [token[plain]], [place[plain]], [count[plain]], [pos[plain]]
+    for t, d, c, p in zip(token[~plain], place[~plain].tolist(), (-(-count[~plain] // hot)).tolist(), pos[~plain].tolist(), strict=True):
+        own = int(digest[d]) % c
         other = np.arange(c)
         cell = np.minimum(own, other) * c + np.maximum(own, other) + 1
         tokens.append(hashing.finalise(t + cell.astype(_U) * _U(0x9E3779B97F4A7C15)))
-        places.append(np.full(c, p, np.int32))
-    return np.concatenate(tokens), np.concatenate(places)
+        places.append(np.full(c, d))
+        counts.append(np.full(c, hot))
+        positions.append(np.full(c, p))
+    return tuple(map(np.concatenate, (tokens, places, counts, positions)))
 
 
 def _allowed(na, pa_, nb, pb) -> np.ndarray:
@@ -193,143 +281,82 @@ def _allowed(na, pa_, nb, pb) -> np.ndarray:
     return (DEN * shorter >= NUM * longer) & (np.minimum(na - pa_, nb - pb) >= _least_overlap(na + nb))
 
 
-_MET = "token long, a long, b long, n int, pos int"
+def _pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    x = np.stack([np.maximum(a, b), np.minimum(a, b)], 1)
+    x = np.unique(x[x[:, 0] != x[:, 1]], axis=0) if len(x) else x
+    return pd.DataFrame({"a": x[:, 0], "b": x[:, 1]})
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of small groups (token null), and the members of large ones (a, n, pos)."""
-    columns = [[] for _ in range(5)]
-    for b in pdf["payload"]:
-        (docs, entries), at = np.frombuffer(b, np.int64, 2), 16
-        ids, at = _unplanes(b, at, docs, np.int64)
-        digests, at = _unplanes(b, at, docs, np.int64)
-        sizes, at = _unplanes(b, at, docs, np.int32)
-        delta, at = _unplanes(b, at, entries, np.uint64)
-        index, at = _unplanes(b, at, entries, np.int32)
-        pos, at = _unplanes(b, at, entries, np.int32)
-        for c, x in zip(columns, (np.cumsum(delta, dtype=np.uint64), ids[index], digests[index], sizes[index], pos), strict=True):
-            c.append(x)
-    token, doc, digest, n, pos = map(np.concatenate, columns)
+    """All allowed pairs of the shingles of a block, of up to GROUP documents each."""
+    token, doc, digest, n, pos = (pdf[c].to_numpy() for c in ("token", "a", "digest", "n", "pos"))
     order = np.lexsort((doc, digest, token))
     token, doc, digest, n, pos = (x[order] for x in (token, doc, digest, n, pos))
     keep = np.concatenate(([True], (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])))  # equal sets: the least id stands for all
     token, doc, n, pos = (x[keep] for x in (token, doc, n, pos))
-    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    size = np.diff(np.append(first, len(token)))
-    group = np.repeat(size, size)
-    some = group > 1
-    token, doc, n, pos, group = (x[some] for x in (token, doc, n, pos, group))
-    large = group > GROUP
-    hot = pd.DataFrame({"token": token[large].view(np.int64), "a": doc[large], "b": 0, "n": n[large], "pos": pos[large]})
-    token, doc, n, pos = (x[~large] for x in (token, doc, n, pos))
-    found = [np.zeros((0, 2), np.int64)]
-    for d in range(1, GROUP):
-        i = np.flatnonzero(token[:-d] == token[d:]) if len(token) > d else np.zeros(0, np.int64)
+    found = [np.zeros((2, 0), np.int64)]
+    for d in range(1, len(token)):
+        i = np.flatnonzero(token[:-d] == token[d:])
         if not len(i):
             break
         i = i[_allowed(n[i], pos[i], n[i + d], pos[i + d])]
-        found.append(np.stack([np.maximum(doc[i], doc[i + d]), np.minimum(doc[i], doc[i + d])], 1))
-    pairs = np.concatenate(found)
-    if len(pairs):
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    small = pd.DataFrame({"token": pd.array([None] * len(pairs), "Int64"), "a": pairs[:, 0], "b": pairs[:, 1], "n": 0, "pos": 0})
-    return pd.concat([small, hot.astype({"token": "Int64"})]) if len(hot) else small
-
-
-def _pivot_pairs(seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Members of a large group paired with members of its largest components, each pivot with what is in smaller components only.
-
-        The largest component gives twice as many pivots in each round as in the
-        one before, the next largest one each: what is still outside it gets
-        fewer from round to round.
-        """
-        doc, comp, n, pos = (pdf[c].to_numpy() for c in ("a", "component", "n", "pos"))
-        rank = hashing.finalise(doc.view(_U) + _U(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        _, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        order = np.lexsort((rank, at))
-        lead = order[np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))]  # the member of least rank of each component
-        place = np.empty(len(lead), np.int64)
-        place[np.lexsort((rank[lead], -sizes))] = np.arange(len(lead))  # components by size
-        mine = place[at]
-        pivots = [i for p in range(min(PIVOTS, len(lead))) for i in lead[place == p]]
-        main = np.flatnonzero(mine == 0)
-        pivots += main[np.argsort(rank[main])][1 : PIVOTS << seed].tolist()
-        out = [np.zeros((0, 2), np.int64)]
-        for p in pivots:
-            ok = (mine > mine[p]) & _allowed(n, pos, n[p], pos[p])
-            out.append(np.stack([doc[ok], np.full(ok.sum(), doc[p])], 1))
-        x = np.concatenate(out)
-        return pd.DataFrame({"a": np.maximum(x[:, 0], x[:, 1]), "b": np.minimum(x[:, 0], x[:, 1])})
-
-    return run
+        found.append(np.stack([doc[i], doc[i + d]]))
+    return _pairs(*np.concatenate(found, axis=1))
 
 
 def _all_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Every allowed pair of a large group between different components, a block of rows at a time."""
-    pdf = pdf.sort_values("n", kind="stable")
-    doc, comp, n, pos = (pdf[c].to_numpy() for c in ("a", "component", "n", "pos"))
-    out = [np.zeros((0, 2), np.int64)]
-    for i in range(len(doc)):
-        j = slice(i + 1, int(np.searchsorted(n, n[i] * DEN // NUM, "right")))
-        ok = np.flatnonzero((comp[j] != comp[i]) & _allowed(n[i], pos[i], n[j], pos[j])) + i + 1
-        if len(ok):
-            out.append(np.stack([np.maximum(doc[ok], doc[i]), np.minimum(doc[ok], doc[i])], 1))
-    x = np.concatenate(out)
-    return pd.DataFrame({"a": x[:, 0], "b": x[:, 1]})
-
-
-def _bins(x: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((x >> _U(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
-
-
-def _described(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(1)
-        for batch in batches:
-            n, bins = [], []
-            for x in _sets(batch.column(1), words):
-                n.append(len(x))
-                bins.append(_bins(x))
-            packed = [packer.compress(t.as_buffer().to_pybytes()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(bins, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "n", "bins", "packed"])
-
-    return run
+    """Every allowed pair of some squares of large groups between different components, of two sides or within one."""
+    _, square = np.unique(np.stack([pdf[c].to_numpy(np.int64) for c in ("token", "row", "column")]), axis=1, return_inverse=True)
+    doc, comp, n, pos, side, cross = (pdf[c].to_numpy() for c in ("a", "component", "n", "pos", "side", "cross"))
+    order = np.lexsort((n, square))
+    square, doc, comp, n, pos, side, cross = (x[order] for x in (square, doc, comp, n, pos, side, cross))
+    out, held = [np.zeros((2, 0), np.int64)], 0
+    i = np.arange(len(doc))
+    for d in range(1, len(doc)):
+        i = i[: np.searchsorted(i, len(doc) - d)]
+        i = i[(square[i] == square[i + d]) & (n[i] * DEN >= NUM * n[i + d])]  # sorted by size: what is further off is longer yet
+        if not len(i):
+            break
+        ok = i[(comp[i] != comp[i + d]) & ((side[i] != side[i + d]) | ~cross[i]) & _allowed(n[i], pos[i], n[i + d], pos[i + d])]
+        out.append(np.stack([np.maximum(doc[ok], doc[ok + d]), np.minimum(doc[ok], doc[ok + d])]))
+        held += len(ok)
+        if held > 4 * SQUARE * SQUARE:
+            out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+            held = 0
+    return _pairs(*np.concatenate(out, axis=1))
 
 
 def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose difference, bounded from below by their counts in hash ranges, is small enough."""
+    """Pairs whose intersection, bounded from above by their counts in hash ranges, may be large enough."""
     for batch in batches:
         if not batch.num_rows:
             continue
         na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int32) for c in ("bins_a", "bins_b"))
-        ok = np.abs(a - b).sum(1) <= na + nb - 2 * _least_overlap(na + nb)
-        yield batch.filter(pa.array(ok)).select(["a", "b", "packed_b"])
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
+        least = np.minimum(a, b)
+        ok = (least.sum(1, dtype=np.int64) >= _least_overlap(na + nb)) | (least == 65535).any(1)
+        yield batch.filter(pa.array(ok)).select(["a", "b"])
 
 
-def _verify(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [pa.array([unpacker.decompress(x) for x in part.column(c).to_pylist()], pa.binary()).cast(pa.large_binary()).view(pa.large_string()) for c in ("packed_a", "packed_b")]
-                ok = []
-                for x, y in zip(_sets(texts[0], words), _sets(texts[1], words), strict=True):
-                    common = int((np.isin(x, y, assume_unique=True)).sum())
-                    ok.append(DEN * common >= NUM * (len(x) + len(y) - common) and common > 0)
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that are similar by their sizes and shared shingles."""
+    for batch in batches:
+        ok = []
+        for na, nb, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
+            x, y = (np.frombuffer(t.as_buffer(), np.uint64) for t in (x, y))
+            common = int(np.isin(x, y, assume_unique=True).sum())
+            ok.append(common > 0 and DEN * common >= NUM * (na + nb - common))
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return run
 
+def _links(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar. Shingles travel for pairs that pass the suffix filter only."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return live.select(F.col("a").alias(name), F.col("n").alias(f"n{name}"), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-def _links(pairs: DataFrame, active: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) that are similar. Only the text of b travels, once for each pair that passes the suffix filter."""
-    thin = active.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("bins_a"))
-    wide = active.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bins_b"), F.col("packed").alias("packed_b"))
-    near = pairs.join(thin, "a").join(wide, "b").select("a", "b", "na", "nb", "bins_a", "bins_b", "packed_b").mapInArrow(_suffix, "a long, b long, packed_b binary")
-    return near.join(active.select(F.col("doc_id").alias("a"), F.col("packed").alias("packed_a")), "a").mapInArrow(_verify(words), "a long, b long")
+    near = pairs.join(side("a", "bins"), "a").join(side("b", "bins"), "b").select("a", "b", "na", "nb", "bins_a", "bins_b").mapInArrow(_suffix, "a long, b long")
+    return near.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a").select("a", "b", "na", "nb", "tokens_a", "tokens_b").mapInArrow(_verify, "a long, b long").distinct()
 
 
 def _merge(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -338,6 +365,70 @@ def _merge(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     return components(links)
 
 
+def _pivot_pairs(spots: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
+    """Members of large groups paired with some of their group and of its largest component, where components differ and sizes allow it.
+
+    Pivots are those of least hash under several seeds, found by a partial
+    minimum, so that no group is gathered; as groups of near copies share most
+    members, they share most pivots.
+    """
+    own = _lettered(spots, labels)
+    sizes = own.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    own = own.join(sizes.where("parts > 1").drop("parts"), "token")
+    seeds = [F.struct(F.xxhash64(F.col("a"), F.lit(s)).alias("rank"), F.col("a").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn")) for s in range(pivots)]
+    least = [F.min(x) for x in seeds] + [F.min(F.when(F.col("component") == F.col("top"), x)) for x in seeds]
+    chosen = own.groupBy("token").agg(F.array_distinct(F.transform(F.filter(F.array(*least), lambda x: x.isNotNull()), lambda x: x.dropFields("rank"))).alias("pivots"))
+    near = f"filter(pivots, x -> x.pc != component AND {DEN} * least(n, x.pn) >= {NUM} * greatest(n, x.pn))"
+    met = own.drop("top").join(chosen, "token").select("a", F.explode(F.expr(near)).alias("x")).select("a", "x.p")
+    return met.select(F.greatest("a", "p").alias("a"), F.least("a", "p").alias("b")).where("a != b").distinct()
+
+
+def _lettered(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+
+
+def _square_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """All allowed pairs of large groups between different components, by squares of at most about 2 * SQUARE members."""
+    lettered = _lettered(members, labels)
+    cells = lettered.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    cells = materialise(cells.select("token", "size", F.ceil(F.col("size") / SQUARE).cast("int").alias("cells")), "cells")
+    own = lettered.join(cells.drop("size"), "token").withColumn("side", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    own = own.select("token", "a", "n", "pos", "component", "side", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("column"))
+    own = own.withColumn("cross", F.col("row") != F.col("column"))
+    rows = cells.agg(F.coalesce(F.sum(F.col("size") * F.col("cells")), F.lit(0))).first()[0]
+    block = F.pmod(F.xxhash64("token", "row", "column"), F.lit(max(1, rows // (20 * SQUARE)))).alias("block")
+    return own.groupBy(block).applyInPandas(_all_pairs, "a long, b long").distinct()
+
+
+def _tie_groups(members: DataFrame, live: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels, merged by all links between members (token, a, n, pos) of large groups. Pairs that were verified before are left out.
+
+    For the pivots each document stands in two of its groups only, its largest and
+    a random one; that only decides how much is tied before the rest is paired out
+    in all groups.
+    """
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    spots = members.join(sizes, "token").groupBy("a", "n").agg(F.max_by("token", F.struct("size", "token")).alias("x"), F.max_by("token", F.xxhash64("token")).alias("y"))
+    spots = materialise(spots.select("a", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("token")), "spots")
+    seen, rounds = [pairs], 0
+    while rounds <= ROUNDS:
+        more = _pivot_pairs(spots, labels, PIVOTS << rounds) if rounds < ROUNDS else _square_pairs(members, labels)
+        more = materialise(more.join(reduce(DataFrame.union, seen), ["a", "b"], "left_anti"), "more")
+        seen.append(more)
+        found = materialise(_links(more, live), "links")
+        if found.limit(1).count():
+            merged = _merge(found, labels)
+            discard(labels)
+            labels, rounds = merged, rounds + 1
+        else:  # what the pivots cannot tie is left to the squares
+            rounds = ROUNDS if rounds < ROUNDS else ROUNDS + 1
+        discard(found)
+    for x in [*seen[1:], spots]:
+        discard(x)
+    return labels
+
+
 def similarity_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, for shingles of that many words and a similarity of NUM / DEN or more.
 
@@ -354,43 +445,29 @@ def similarity_components(docs: DataFrame, id_column: str = "doc_id", text_colum
     n_parts = (parts.agg(F.max("part")).first()[0] or 0) + 1
     total = thin.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sketch = spark.sparkContext.broadcast(_sketch(parts, n_parts))
-    blocks = max(shuffle_partitions(spark), -(-total // 4 // BLOCK))
+    blocks = max(shuffle_partitions(spark), -(-total // BLOCK))
     hot = CELL + 4 * (total >> SKETCH_BITS)
-    met = materialise(
-        source.mapInArrow(_prefixes(words, sketch, blocks, hot), "block int, payload binary").groupBy("block").applyInPandas(_meet, _MET), "met"
-    )
-    pairs = met.where("token is null").select("a", "b").distinct()
-    members = met.where("token is not null").select("token", "a", "n", "pos")
-    needed = pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct().withColumnRenamed("a", "doc_id")
-    active = materialise(
-        source.where("doc_id is not null").join(needed, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_described(words), "doc_id long, n int, bins binary, packed binary"),
-        "active",
-    )
-    labels = materialise(_merge(_links(pairs, active, words), None), "labels")
-    grouped = materialise(active.join(members.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "grouped")
-    discard(active)
-    before = None
-    for attempt in range(ROUNDS + 1):
-        lettered = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        mixed = lettered.groupBy("token", "component").count().groupBy("token").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("cross"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("parts"))
-        mixed = mixed.where("parts > 1")
-        cross, size = mixed.agg(F.coalesce(F.sum(F.col("cross").cast("double")), F.lit(0.0)) / 2, F.coalesce(F.sum("size"), F.lit(0))).first()
-        if not cross:
-            break
-        last = attempt == ROUNDS or cross <= FEW * size or cross == before
-        before = cross
-        groups = lettered.join(mixed.select("token"), "token").groupBy("token")
-        more = groups.applyInPandas(_all_pairs if last else _pivot_pairs(attempt), "a long, b long").distinct()
-        merged = materialise(_merge(_links(more, grouped, words), labels), "labels")
-        discard(labels)
-        labels = merged
-        if last:
-            break
+    counted = source.mapInArrow(_sent(words, sketch, blocks, hot), "block int, part long, payload binary").groupBy("block").applyInPandas(_counted, "part long, payload binary")
+    chosen = materialise(counted.groupBy("part").applyInPandas(_chosen(hot), _LIVE), "live")
+    sketch.destroy()
+    live = chosen.where("tokens is not null").select("a", "n", "tokens", "bins")
+    entries = chosen.where("token is not null").select("token", "a", "digest", "n", "pos", "count")
+    block = F.pmod(F.col("token"), F.lit(max(shuffle_partitions(spark), -(-total // 4 // BLOCK)))).alias("block")
+    pairs = materialise(entries.where(F.col("count") <= GROUP).groupBy(block).applyInPandas(_meet, "a long, b long").distinct(), "pairs")
+    labels = _merge(_links(pairs, live), None)
+    members = entries.where(F.col("count") > GROUP).groupBy("token", "digest").agg(F.min(F.struct("a", "n", "pos")).alias("x"))
+    members = materialise(members.select("token", "x.*"), "members")
+    labels = _tie_groups(members, live, pairs, labels)
     classes = thin.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     placed = thin.join(classes, ["d1", "d2"], "left")
     shared = placed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x != y").select("doc_id")
     if shared.limit(1).count():
         ties = placed.join(shared, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        labels = materialise(_merge(ties.where("b is not null"), labels), "labels")
+        tied = _merge(ties.where("b is not null"), labels)
+        discard(labels)
+        labels = tied
     named = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    out = materialise(named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")), "similar")
+    for x in (survey, chosen, pairs, members, labels):
+        discard(x)
+    return out
