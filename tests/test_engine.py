@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidelake.api import Api, ApiError
 from tidelake.operators import ledger, observations, query, versions
 from tidelake.operators.store import Store
-from tidelake.plans import ask
+from tidelake.plans import ask, refresh
 from tidelake.sources import config, readers
 
 SHIPMENTS = [("출하량", "모델A", "2024Q1", "한국", "기관A", "1,200"), ("출하량", "모델A", "2024Q2", "한국", "기관A", "1,350"), ("출하량", "모델B", "2024Q1", "한국", "기관A", "800"), ("출하량", "모델B", "2024Q2", "한국", "기관A", "910"), ("출하량", "모델C", "2024Q1", "북미", "기관B", "n.a."), ("출하량", "모델C", "2024Q2", "북미", "기관B", "430")]
@@ -181,7 +181,12 @@ def test_questions_end_to_end(spark, store):
     assert out["path"] == "rule" and out["rows"] == [["모델A", 1200.0, 1350.0]] and "1350" in out["sentence"] and out["chart"]["x"] == ["2024Q1", "2024Q2"]
     assert assistant.ask("알 수 없는 말")["path"] == "options"
     assert assistant.ask("에이전트 질문", use_resolver=True)["path"] == "resolver" and assistant.ask("에이전트질문")["path"] == "cache" and len(asked) == 1
-    assert store.table("learned_aliases").count() == 1
+    learned = store.table("learned_aliases").collect()
+    assert [(r.phrase, r.targets, r.hit_count) for r in learned] == [("에이전트질문", ["모델B"], 1)]
+    assistant.learn("에이전트 질문", ask.Spec("shipments", entities=("모델A", "모델B", "없는것")), assistant.catalog())
+    assert [(r.targets, r.hit_count) for r in store.table("learned_aliases").collect()] == [(["모델A", "모델B"], 2)]
+    assistant.learn("모델A 보여줘", ask.Spec("shipments", entities=("모델A",)), assistant.catalog())
+    assert store.table("learned_aliases").count() == 1  # what a message names is not learned
     assert assistant.run(ask.Spec("shipments", ("출하량",), ("전혀다른이름",)))["clarify"]["options"]
     api = Api(assistant)
     assert api.get_query(dataset="shipments", entities="모델B")["rows"][0]["value"] == 800.0
@@ -198,4 +203,52 @@ def test_questions_end_to_end(spark, store):
     other = api.post_ask("x")
     api.delete_ask(other)
     assert api.jobs.run_next() is None
+    assert [j["id"] for j in api.get_recent_jobs()] == [other, job] and api.get_aliases()["learned"][0]["hit_count"] == 2
+    assert assistant.digest() == 0 and api.get_digest("shipments") == []  # a first load has nothing to compare
+    changed = [("출하량", "모델A", "2024Q1", "한국", "기관A", "1,500"), *SHIPMENTS[1:]]
+    assert api.post_refresh(lambda: shipments(spark, changed), command="x", runner=lambda c: (3, "no"))["stage"] == "command"
+    assert store.table("loads").count() == 1
+    done = api.post_refresh(lambda: shipments(spark, changed), command="true")
+    assert done["ok"] and refresh.summary(done["results"]) == ["shipments: 5 rows (0 added, 0 removed, 1 changed)"]
     assert assistant.digest() == 1 and assistant.digest() == 0
+    found = api.get_digest("shipments")
+    assert [x["kind"] for x in found] == ["load_summary", "entity_note"] and "모델A(+300, +25%)" in found[0]["sentence"]
+    assert refresh.log_call(store, "ask", "ok", 1.5, 3, 4) == 1 and refresh.metric_lines(store.table("call_log").select("id", "latency", "status")) == ["id=1 latency=1.5 status=ok"]
+
+
+def test_versions_by_id_belong_to_their_dataset(spark, store):
+    store.snapshot(shipments(spark, SHIPMENTS))
+    store.snapshot(shipments(spark, SHIPMENTS).withColumn("dataset", F.lit("other")))
+    loads = store.table("loads")
+    assert ledger.resolve_version(loads, "shipments", 1) == 1 and ledger.resolve_version(loads, "other", "2") == 2
+    for wrong in (2, "99"):
+        with pytest.raises(ValueError):
+            ledger.resolve_version(loads, "shipments", wrong)
+
+
+def test_version_digest_says_what_changed(spark, store):
+    store.snapshot(forecast(spark, ["2026-07"]), "vintage")
+    assistant = ask.Assistant(store)
+    assert assistant.digest() == 0
+    store.snapshot(forecast(spark, ["2026-07", "2026-08"]), "vintage")
+    assert assistant.digest() == 1
+    found = assistant.latest_digests("forecast")
+    assert found[0]["sentence"] == "가장 많이 바뀐 것은 모델B(+50, +25%)이고, 다음은 모델C(-30, -20%)입니다. (2026-07 → 2026-08)"
+    assert [x["entity"] for x in found] == [None, "모델B", "모델C"]
+
+
+def test_resolver_is_shown_a_narrowed_catalog():
+    many = [{**CATALOG[0], "entities": [f"모델{i:03d}" for i in range(100)], "period_from": "2023Q1"}, {**CATALOG[0], "name": "other", "period_from": None}]
+    shown = ask.narrowed("모델007 추이", [{"role": "user", "content": "x"}], many)
+    assert len(shown["entities"]) == ask.NARROW and "모델007" in shown["entities"] and shown["metrics"] == ["출하량"] and shown["period_from"] == "2023Q1"
+    prompt = ask.resolver_prompt("모델007 추이", [], shown)
+    assert [m["role"] for m in prompt] == ["system", "user"] and "모델007" in prompt[1]["content"] and "rollup" in prompt[0]["content"]
+
+
+def test_many_inserted_rows(spark, store, monkeypatch):
+    from tidelake.operators import store as module
+
+    monkeypatch.setattr(module, "FILES", 4)
+    assert [store.insert("ask_jobs", status="queued", message=str(i)) for i in range(6)] == list(range(1, 7))
+    store.update("ask_jobs", 2, status="done")
+    assert [(r.id, r.message, r.status) for r in store.table("ask_jobs").orderBy("id").collect()] == [(i + 1, str(i), "done" if i == 1 else "queued") for i in range(6)]

@@ -111,7 +111,8 @@ def test_vectors(spark):
 
 def test_json_on_the_driver():
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}, "d": {"type": "string", "enum": ["▲", "▼", "–"]}, "l": {"type": "array", "items": {"type": "number"}}}}
-    mended = jsontext.coerced({"a": "p. 12페이지", "d": "Up", "l": ["$1,234%", "x"]}, schema)
+    mended = jsontext.mended({"a": "p. 12페이지", "d": "Up", "l": ["$1,234%", "x"]}, schema)
     assert mended == {"a": 12, "d": "▲", "l": [1234.0]} and jsontext.validate(mended, schema) == []
     assert jsontext.validate({}, schema) == ["lacks a"]
+    assert jsontext.validate({"a": 1, "d": None}, schema) == [] and jsontext.validate({"a": None}, schema) == ["a: not of type integer"]
     assert jsontext.first_object('a {"x": "}"} b') == '{"x": "}"}' and jsontext.first_object("{") is None

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
 from dataclasses import asdict
 
+from pyspark.sql import DataFrame
+
 from .operators import query, versions
 from .plans.ask import Assistant, Jobs, Spec
+from .plans.refresh import refresh
 from .schema import CELL_CAP, ROW_CAP
 from .sources.config import int_param, list_param
 
@@ -19,6 +24,7 @@ class ApiError(Exception):
 class Api:
     def __init__(self, assistant: Assistant):
         self.assistant, self.store = assistant, assistant.store
+        self._refreshing = threading.Lock()
         self.jobs = Jobs(self.store, lambda m: assistant.ask(m, use_resolver=True))
 
     def _dataset(self, params: dict) -> str:
@@ -70,7 +76,11 @@ class Api:
 
     def post_chat(self, message: str | None = None, spec: dict | None = None) -> dict:
         if spec is not None:
-            return self.assistant.run(Spec(**{k: tuple(v) if isinstance(v, list) else v for k, v in spec.items()})) | {"path": "button"}
+            form, datasets = Spec(**{k: tuple(v) if isinstance(v, list) else v for k, v in spec.items()}), self.get_catalog()
+            out = self.assistant.run(form, datasets) | {"path": "button"}
+            if out.get("rows") and (message or "").strip():  # the question that led to the button
+                self.assistant.learn(message, form, datasets)
+            return out
         if not (message or "").strip():
             raise ApiError(400, "message is needed")
         return self.assistant.ask(message)
@@ -88,5 +98,24 @@ class Api:
         if not self.jobs.cancel(job_id):
             raise ApiError(404, "no such job, or it has ended")
 
+    def get_recent_jobs(self, **params) -> list[dict]:
+        return self.jobs.recent(int_param(params.get("recent"), 20))
+
+    def get_digest(self, dataset: str | None = None) -> list[dict]:
+        return self.assistant.latest_digests(self._dataset({"dataset": dataset}))
+
+    def get_aliases(self) -> dict:
+        """The configured aliases, and those learned with their hits."""
+        return {"aliases": self.assistant.aliases, "learned": [r.asDict() for r in self.store.table("learned_aliases").orderBy("id").collect()]}
+
+    def post_refresh(self, read: Callable[[], DataFrame], **settings) -> dict:
+        """Refresh once, unless a refresh is under way."""
+        if not self._refreshing.acquire(blocking=False):
+            raise ApiError(409, "a refresh is under way")
+        try:
+            return refresh(self.store, read, **settings)
+        finally:
+            self._refreshing.release()
+
     def delete_learned_alias(self, alias_id: int) -> None:
         self.store.delete("learned_aliases", alias_id)

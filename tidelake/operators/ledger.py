@@ -67,9 +67,13 @@ def resolve_version(loads: DataFrame, dataset: str, version) -> int | None:
     text = str(version)
     if not text.startswith("label:"):
         try:
-            return int(text)
+            load_id = int(text)
         except ValueError:
             pass
+        else:
+            if not loads.where((F.col("id") == load_id) & (F.col("dataset") == dataset)).limit(1).count():
+                raise ValueError(f"{dataset} has no load {load_id}")
+            return load_id
     found = newest_of_label(loads, dataset, text.removeprefix("label:"))
     if found is None:
         raise ValueError(f"no such version: {version!r}")

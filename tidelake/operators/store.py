@@ -30,12 +30,16 @@ TABLES = {
     "reports": REPORTS,
     "learned_aliases": _fields("id:long dataset:string dim:string phrase:string targets:strings hit_count:long updated_at:string"),
     "spec_cache": _fields("message_key:string catalog_version:string spec:string"),
-    "digests": _fields("id:long load_id:long kind:string entity:string sentence:string table_json:string created_at:string"),
+    "digests": _fields("id:long load_id:long dataset:string kind:string entity:string sentence:string table_json:string created_at:string"),
     "ask_jobs": _fields("id:long status:string message:string history:string result:string error:string created_at:string started_at:string finished_at:string"),
     "call_log": _fields("id:long step:string status:string latency:double prompt_tokens:long completion_tokens:long created_at:string"),
 }
 
 
+#: Rows that are appended to a thin table before it is written anew as one file.
+FILES = 64
+
+
 def now() -> str:
     return datetime.datetime.now().strftime("%Y-%m-%dT%H:%M:%S")
 
@@ -73,11 +77,16 @@ class Store:
             fs.delete(p, True)
 
     def insert(self, name: str, **values) -> int:
-        """Append one row with the next id, and return the id."""
-        old = self.table(name)
-        new_id = (old.agg(F.max("id")).first()[0] or 0) + 1
+        """Append one row with the next id, and return the id. The row is a file of its own; many of them are put together now and then."""
+        new_id = (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
         row = self.spark.createDataFrame([tuple(({"id": new_id} | values).get(f.name) for f in TABLES[name].fields)], TABLES[name])
-        self.replace(name, old.unionByName(row))
+        done = self._versions(name)
+        if not done:
+            self.replace(name, row)
+        elif new_id % FILES:
+            row.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/v-{done[-1]}")
+        else:
+            self.replace(name, self.table(name).unionByName(row))
         return new_id
 
     def upsert(self, name: str, keys: list[str], rows: DataFrame) -> None:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
+from dataclasses import fields as dataclass_fields
 
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from ..sources.config import resolve_aliases
 
 #: Options offered, suggestions made, entity notes in a digest, rows shown to a model.
 OPTIONS, SUGGESTIONS, NOTES, SHOWN = 6, 8, 5, 30
+#: Metrics and entities a resolver is shown at most, and turns of the conversation.
+NARROW, TURNS = 40, 4
 ALIKE = 0.85
 # Words that tell a question's intent, and what is said to users.
 TREND = ("추이", "흐름", "분기별", "월별", "연도별", "연별")
@@ -296,14 +300,19 @@ class Assistant:
         return {"columns": ["load_id", "version", "value"], "rows": rows, "sentence": say_history([(r[1], r[2]) for r in rows], entities[0]), "chart": {"type": "line", "x": [r[1] for r in rows], "series": [{"name": entities[0], "values": [r[2] for r in rows]}], "unit": ""} if rows else None, "warnings": warnings}
 
     def learn(self, message: str, spec: Spec, datasets: list[dict]) -> None:
-        """Remember the message's leading word as an alias of the entities it led to; never from empty results."""
-        phrase = next((w for w in re.findall(r"[^\s\d]+", message) if len(w) > 1), None)
-        if phrase and spec.entities and not found_names(phrase, list(spec.entities)):
-            old = self.store.table("learned_aliases").where((F.col("dataset") == spec.dataset) & (F.col("phrase") == phrase)).first()
-            if old:
-                self.store.update("learned_aliases", old.id, hit_count=old.hit_count + 1, updated_at=now())
-            else:
-                self.store.insert("learned_aliases", dataset=spec.dataset, dim="entities", phrase=phrase, targets=list(spec.entities), hit_count=1, updated_at=now())
+        """Remember the whole message as an alias of the entities it led to and does not name; never from empty results."""
+        pool = next((d["entities"] for d in datasets if d["name"] == spec.dataset), [])
+        named = set(found_names(message, pool))
+        new = [e for e in spec.entities if e in pool and e not in named]
+        if not new:
+            return
+        phrase = form(message)
+        own = (F.col("dataset") == spec.dataset) & (F.col("dim") == "entities") & (F.col("phrase") == phrase)
+        old = self.store.table("learned_aliases").where(own).first()
+        if old:
+            self.store.update("learned_aliases", old.id, targets=new, hit_count=old.hit_count + 1, updated_at=now())
+        else:
+            self.store.insert("learned_aliases", dataset=spec.dataset, dim="entities", phrase=phrase, targets=new, hit_count=1, updated_at=now())
 
     def suggestions(self, d: dict) -> list[dict]:
         """Ready questions on a dataset, each with its form."""
@@ -335,22 +344,76 @@ class Assistant:
             out += self.suggestions(d)
         return [*out[:OPTIONS], ASK_AI]
 
-    def digest(self) -> int:
-        """Sentences on every latest load that has none: what changed against the previous version, and notes on the entities that changed most."""
+    def digest(self, writer: Callable[[str], str] | None = None) -> int:
+        """Sentences on every latest load that has none and changed something; returns how many loads got some.
+
+        A dataset with labels is compared with its previous version, another one by
+        the changes in its load's report; then come notes on the entities that
+        changed most.
+        """
         s, n = self.store, 0
         done = s.table("digests").select(F.col("load_id").alias("id")).distinct()
-        for load in ledger.latest_loads(s.table("loads")).join(done, "id", "left_anti").collect():
-            try:
-                top, counts = versions.version_diff(s.observations(), s.table("loads"), load.dataset, None, load.id, ["entity"])
-                rows = [list(r) for r in top.collect()]
-                s.insert("digests", load_id=load.id, kind="version_summary", sentence=say_diff(rows, 1), table_json=json.dumps(rows, ensure_ascii=False), created_at=now())
-                for r in rows[:NOTES]:
-                    s.insert("digests", load_id=load.id, kind="entity_note", entity=r[0], sentence=say_diff([r], 1), table_json=json.dumps([r], ensure_ascii=False), created_at=now())
-            except ValueError:
-                s.insert("digests", load_id=load.id, kind="load_summary", sentence=f"{load.dataset}: {load.rows}", table_json="[]", created_at=now())
+        units = {d["name"]: d["units"][0] if len(d.get("units") or []) == 1 else "" for d in self.catalog()}
+        for load in ledger.latest_loads(s.table("loads")).join(done, "id", "left_anti").orderBy("dataset").collect():
+            kind, rows, labels = self._changes(load)
+            if not rows:
+                continue
+            unit, columns = units.get(load.dataset, ""), ["entity", "old", "new", "diff", "pct"]
+            notes = [(kind, None, rows, labels)] + [("entity_note", r[0], [r], (None, None)) for r in rows]
+            for what, entity, shown, between in notes:
+                sentence, _ = explain(columns, shown, lambda shown=shown, between=between: say_diff(shown, 1, between, unit), writer)
+                s.insert("digests", load_id=load.id, dataset=load.dataset, kind=what, entity=entity, sentence=sentence, table_json=json.dumps([columns, *shown], ensure_ascii=False), created_at=now())
             n += 1
         return n
 
+    def _changes(self, load) -> tuple[str, list[list], tuple[str | None, str | None]]:
+        """(kind of digest, the entities that changed most: entity, old, new, diff, pct; labels compared)."""
+        s = self.store
+        if load.version_label:
+            loads = s.table("loads")
+            try:
+                top, _ = versions.version_diff(s.observations(), loads, load.dataset, None, str(load.id), ["entity"], top=NOTES)
+            except ValueError:  # the first version
+                return "version_summary", [], (None, None)
+            before = loads.where(F.col("id") == ledger.previous(loads, load.dataset, load.version_sort)).first()
+            return "version_summary", [list(r) for r in top.collect()], (before.version_label if before else None, load.version_label)
+        report = (s.get_load(load.id) or {}).get("report") or {}
+        found = [(r["entity"], r["old"], r["new"]) for r in report.get("top", [])[:NOTES]]
+        return "load_summary", [[e, x, y, y - x, 100 * (y - x) / abs(x) if x else None] for e, x, y in found if x is not None and y is not None], (None, None)
+
+    def latest_digests(self, dataset: str) -> list[dict]:
+        """The digests of the dataset's load that was digested last, the summary first."""
+        own = self.store.table("digests").where(F.col("dataset") == dataset)
+        last = own.agg(F.max("load_id").alias("id")).first().id
+        rows = own.where(F.col("load_id") == F.lit(last)).orderBy("id").collect() if last is not None else []
+        return [{k: v for k, v in r.asDict().items() if k != "table_json"} | {"table": json.loads(r.table_json)} for r in rows]
+
+
+def narrowed(message: str, history: list[dict], datasets: list[dict]) -> dict:
+    """What of the catalog a resolver is shown: all datasets, and the metrics and entities most like the question where they are many."""
+    asked = " ".join([message, *(str(h.get("content", "")) for h in history[-TURNS:])])
+
+    def every(dim: str) -> list[str]:
+        return sorted({x for d in datasets for x in d.get(dim) or []})
+
+    def few(dim: str) -> list[str]:
+        names = every(dim)
+        return names if len(names) <= NARROW else sorted(nearest_names(asked, names, NARROW))
+
+    starts, ends = ([d[k] for d in datasets if d.get(k)] for k in ("period_from", "period_to"))
+    known = [{"name": d["name"], "title": d.get("title"), "versions": d.get("version_labels") or []} for d in datasets]
+    return {"datasets": known, "metrics": few("metrics"), "entities": few("entities"), "regions": every("regions"), "sources": every("sources"), "period_from": min(starts, default=None), "period_to": max(ends, default=None)}
+
+
+def resolver_prompt(message: str, history: list[dict], shown: dict) -> list[dict]:
+    """The messages that ask a language model for a form: what a form is, the narrowed catalog, the last turns, the question."""
+    fields = ", ".join(f.name for f in dataclass_fields(Spec))
+    system = f"Fill in a query form as one JSON object with the fields {fields}. Use only names from the catalog. Never answer with numbers. If the question cannot be answered, give clarify with a question."
+    catalog_lines = [f"{k}: {json.dumps(v, ensure_ascii=False)}" for k, v in shown.items()]
+    turns = [f"{h.get('role', 'user')}: {h.get('content', '')}" for h in history[-TURNS:]]
+    user = "\n".join(["Catalog", *catalog_lines, "", "Conversation", *(turns or ["(none)"]), "", f"Question: {message}"])
+    return [{"role": "system", "content": system}, {"role": "user", "content": user}]
+
 
 class Jobs:
     """A first-in first-out queue of questions, kept in the store."""
@@ -386,6 +449,17 @@ class Jobs:
             self.store.update("ask_jobs", head.id, finished_at=now(), **done)
         return head.id
 
+    def recent(self, n: int = 20) -> list[dict]:
+        """The jobs submitted last, newest first."""
+        return [r.asDict() for r in self.store.table("ask_jobs").orderBy(F.desc("id")).limit(n).collect()]
+
+    def work(self, poll: float = 0.5, stop: Callable[[], bool] = lambda: False) -> None:
+        """Run jobs one after the other until told to stop; what a stopped process left is reaped first."""
+        self.reap()
+        while not stop():
+            if self.run_next() is None:
+                time.sleep(poll)
+
     def status(self, job_id: int) -> dict | None:
         from ..operators.calls import queue_position
         from ..streaming.events import elapsed

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,54 +29,83 @@ def sse_events(lines: DataFrame, line: str = "line") -> DataFrame:
     return parsed.select(*keep, F.explode(F.filter(events, lambda e: F.length(e["text"]) > 0)).alias("e")).select(*keep, "e.kind", "e.text")
 
 
-def route(buffer: str, inside: bool, chunk: str) -> tuple[list[tuple[str, str]], str, bool]:
-    """(events, buffer, inside) after a chunk: text between think tags is reasoning, the rest content; a tag may be split between chunks."""
-    buffer, out = buffer + chunk, []
-    while True:
-        kind, tag = ("reasoning", CLOSE) if inside else ("content", OPEN)
-        before, found, after = buffer.partition(tag)
-        if found:
-            if before:
-                out.append((kind, before))
-            buffer, inside = after, not inside
-            continue
-        held = next((n for n in range(min(len(buffer), len(tag) - 1), 0, -1) if tag.startswith(buffer[-n:])), 0)
-        if len(buffer) > held:
-            out.append((kind, buffer[: len(buffer) - held]))
-        return out, buffer[len(buffer) - held :], inside
+def _cut(tag: str) -> re.Pattern:
+    """A tag, or at the text's end what may become one."""
+    return re.compile("|".join([re.escape(tag), *(re.escape(tag[:n]) + r"\Z" for n in range(len(tag) - 1, 0, -1))]))
+
+
+_CUTS = {False: _cut(OPEN), True: _cut(CLOSE)}
+_KIND = {False: "content", True: "reasoning"}
+
+
+def route(held: str, inside: bool, chunk: str) -> tuple[list[tuple[str, str]], str, bool]:
+    """(events, held, inside) after a chunk: text between think tags is reasoning, the rest content; what may be a tag's beginning is held for the next chunk."""
+    text, at, out = held + chunk, 0, []
+    while cut := _CUTS[inside].search(text, at):
+        out.append((_KIND[inside], text[at : cut.start()]))
+        if cut[0] not in (OPEN, CLOSE):
+            return [e for e in out if e[1]], cut[0], inside
+        at, inside = cut.end(), not inside
+    return [e for e in [*out, (_KIND[inside], text[at:])] if e[1]], "", inside
+
+
+def route_end(held: str, inside: bool) -> list[tuple[str, str]]:
+    """What is still held when a call ends."""
+    return [(_KIND[inside], held)] if held else []
+
+
+def _routed(chunks, held: str, inside: bool) -> tuple[list[tuple[str, str]], str, bool]:
+    out = []
+    for text in chunks:
+        events, held, inside = route(held, inside, text or "")
+        out += events
+    return out, held, inside
 
 
 def route_batch(chunks: DataFrame) -> DataFrame:
     """call_id, kind, text: the chunks (call_id, seq, text) of each call routed and joined by kind."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        buffer, inside, found = "", False, {"content": [], "reasoning": []}
-        for text in pdf.sort_values("seq")["text"]:
-            events, buffer, inside = route(buffer, inside, text or "")
-            for kind, t in events:
-                found[kind].append(t)
-        found["reasoning" if inside else "content"].append(buffer)
-        return pd.DataFrame([(pdf["call_id"].iloc[0], k, "".join(v)) for k, v in found.items() if "".join(v)], columns=["call_id", "kind", "text"])
+        out, held, inside = _routed(pdf.sort_values("seq")["text"], "", False)
+        out += route_end(held, inside)
+        joined = [(k, "".join(t for kind, t in out if kind == k)) for k in _KIND.values()]
+        return pd.DataFrame([(pdf["call_id"].iloc[0], k, t) for k, t in joined if t], columns=["call_id", "kind", "text"])
 
     return chunks.groupBy("call_id").applyInPandas(run, "call_id long, kind string, text string")
 
 
-def route_stream(chunks: DataFrame) -> DataFrame:
-    """route on a streaming DataFrame of (call_id, seq, text): the open tag and the held text are each call's state."""
+def route_stream(chunks: DataFrame, idle: int | None = None) -> DataFrame:
+    """route on a streaming DataFrame of (call_id, seq, text) and, if it is there, last: the open tag and the held text are each call's state.
+
+    A call ends with a chunk marked as its last or, if idle is given, when nothing
+    came for so many seconds; what is held is then sent out and its state is
+    dropped. With idle, batches go on without data, so a query ends only when it is
+    stopped.
+    """
+    marked = "last" in chunks.columns
+    shaped = chunks.select("call_id", "seq", "text", (F.coalesce("last", F.lit(False)) if marked else F.lit(False)).alias("last"))
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        buffer, inside = state.get if state.exists else ("", False)
-        out = []
-        for pdf in frames:
-            for text in pdf.sort_values("seq")["text"]:
-                events, buffer, inside = route(buffer, inside, text or "")
-                out += [(key[0], k, t) for k, t in events]
-        state.update((buffer, inside))
-        yield pd.DataFrame(out, columns=["call_id", "kind", "text"])
+        held, inside = state.get if state.exists else ("", False)
+        out, over = [], state.hasTimedOut
+        if not over:
+            pdf = pd.concat(list(frames)).sort_values("seq")
+            out, held, inside = _routed(pdf["text"], held, inside)
+            over = bool(pdf["last"].any())
+        if over:
+            out += route_end(held, inside)
+            if state.exists:
+                state.remove()
+        else:
+            state.update((held, inside))
+            if idle is not None:
+                state.setTimeoutDuration(idle * 1000)
+        yield pd.DataFrame([(key[0], k, t) for k, t in out], columns=["call_id", "kind", "text"])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return chunks.groupBy("call_id").applyInPandasWithState(run, "call_id long, kind string, text string", "buffer string, inside boolean", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return shaped.groupBy("call_id").applyInPandasWithState(run, "call_id long, kind string, text string", "held string, inside boolean", "append", timeout)
 
 
 def probe(events: DataFrame, start: str = "started_at", at: str = "at") -> DataFrame:
