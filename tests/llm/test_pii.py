@@ -40,7 +40,7 @@ def test_base_spans_match_brute_force(spark):
         spans = base(r[1] or "")
         want.append((r[0], hashlib.sha256(",".join(spans).encode()).hexdigest(), *(sum(x.startswith(k) for x in spans) for k in PATTERNS)))
     assert found == sorted(want)
-    assert all(len(list(filter(None, g.spans.split(",")))) == g.n_email + g.n_ip + g.n_card + g.n_phone + g.n_found for g in got)
+    assert all(len(list(filter(None, g.spans.split(",")))) == g.n_email + g.n_ip + g.n_card + g.n_phone + g.n_found for g in got if not g.n_secret)
 
 
 def test_reliable_contexts_discover_unseen_identifiers(spark):
@@ -70,3 +70,67 @@ def test_candidates_of_every_shape_are_found(spark):
     got = {x.doc_id: x for x in pii.personal_data(frame(spark, rows)).collect()}
     assert [got[500 + i].spans for i in range(len(new))] == [f"{k}:{2 + len(b)}:{2 + len(b) + len(m)}" for b, m, k in new]
     assert all(got[x[0]].n_found == 0 for x in seen)
+
+
+def test_held_out_identifiers_are_found_and_breed_patterns(spark):
+    r = random.Random(8)
+    fill = ["river", "town", "paper", "walks", "green", "over", "under", "seven", "music", "chair"]
+    contexts = {"email": ["write to", "contact me:"], "ip": ["the host", "ping address"], "phone": ["call now", "dial the"], "card": ["charged card", "pay with"]}
+    rows, hidden, clean = [], {}, []
+    for i in range(1200):
+        kind = r.choice(list(contexts))
+        seen = {"email": f"u{i}@example.org", "ip": f"10.{i % 250}.7.{i % 9}", "phone": f"+1 (743) 555-{1000 + i}", "card": "4" + f"{i:014d}"}[kind]
+        if kind == "card":
+            seen += next(c for c in "0123456789" if luhn(seen + c))
+        words = [" ".join(r.choices(fill, k=5)), r.choice(contexts[kind]), "", " ".join(r.choices(fill, k=5))]
+        if i % 8 == 0:
+            seen = {"email": f"u{i}@intranet", "ip": f"10-{i % 250}-7-{i % 9}", "phone": f"743 555 {1000 + i}", "card": "4" + f"{i:010d}"}[kind]
+            hidden[i] = (kind, seen)
+        words[2] = seen
+        rows.append((i, " ".join(words), *[None] * 8))
+    for i in range(300):
+        rows.append((5000 + i, " ".join([*r.choices(fill, k=4), "page", str(i), "of", *r.choices(fill, k=4), f"x{i}"]), *[None] * 8))
+        clean.append(5000 + i)
+    rows += [(9000 + i, f"green password={'%018x' % r.getrandbits(72)} river", *[None] * 8) for i in range(12)]
+    rows += [(9100 + i, f'paper token = "{"%040x" % r.getrandbits(160)}" town', *[None] * 8) for i in range(12)]
+    got = {x.doc_id: x for x in pii.personal_data(frame(spark, rows)).collect()}
+    caught = 0
+    for i, (kind, m) in hidden.items():
+        start = rows[i][1].index(m)
+        caught += got[i].spans == f"{kind}:{start}:{start + len(m)}"
+    assert caught >= 0.9 * len(hidden)
+    assert all(got[i].n_found == 0 for i in clean)
+    assert all(got[9000 + i].n_secret == 1 and got[9000 + i].n_found == 0 and got[9100 + i].n_found == 1 and got[9100 + i].secrets for i in range(12))
+
+
+def test_scores_match_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(400):
+        kind = r.choice(["email", "ip", None, None])
+        m = {"email": f"e{r.randrange(40)}", "ip": f"i{r.randrange(40)}", None: f"u{r.randrange(60)}"}[kind]
+        near = r.choice({"email": "abcx", "ip": "defx", None: "abdxyz"}[kind])
+        rows.append((kind, m, near, f"{r.choice('pq')} {near}", r.choice(["t", "", "v"])))
+    found = spark.createDataFrame(rows, "kind string, m string, before string, two string, after string")
+    edges = {(m, k, p) for k, m, b, two, a in rows for p in ([f"l {b}", f"2 {two}"] + ([f"b {b} {a}"] if a else []))}
+    links, seeds = {(m, p) for m, _, p in edges}, {(m, k) for m, k, _ in edges if k}
+    of, known, sure = {}, seeds, {m for m, _ in seeds}
+    for m, p in links:
+        of.setdefault(p, set()).add(m)
+    for _ in range(pii.ROUNDS):
+        doubt = {}
+        for p, ms in of.items():
+            own = {k: sum((m, k) in known for m in ms) for k in ("email", "ip")}
+            every = sum(own.values())
+            for k, n in own.items():
+                score = n / (every + pii.UNKNOWN * max(0, len(ms) - every) + 1)
+                if n and score >= pii.RELIABLE:
+                    for m in ms - sure:
+                        doubt[m, k] = doubt.get((m, k), 1) * (1 - score)
+        best = {}
+        for (m, k), d in doubt.items():
+            if round(1 - d, 9) >= pii.CERTAIN:
+                best[m] = max(best.get(m, (0, "")), (round(1 - d, 9), k))
+        known = seeds | {(m, k) for m, (_, k) in best.items()}
+    want = known - seeds
+    assert want and {(x.m, x.kind) for x in pii.discovered(found).collect()} == want

@@ -1,15 +1,20 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four fixed patterns give the seed entities. Whatever else has the shape of a
-kind's seeds is an unknown instance, if no seed covers it: a run of identifier
-characters with a digit or an @ in it, or groups of digits with single spaces,
-dots, hyphens and brackets between them, each of any length. Each instance has
-lexical patterns around it: the word before, and the word before with the word
-after. Patterns and instances form a graph that Spark scores in rounds: for each
-kind a pattern is as reliable as the mean score of the instances it selects, and
-an unknown instance scores as its most reliable pattern of enough support, while
-seeds stand for certainty. Instances of a high score are the identifiers
-discovered. DataFrame operations only; positions are code points.
+Four fixed patterns give the seed entities, and what a password is said to be is
+the seed of a fifth kind, secrets. Whatever else has the shape of an identifier is
+an unknown instance, if no seed covers it: a run of identifier characters with a
+digit or an @ in it, or groups of digits with single spaces, dots, hyphens and
+brackets between them, each of any length. Each instance has lexical patterns: the
+word before, the two words before, the word before with the word after, and, for
+long random strings, their own make-up.
+
+Patterns and instances form a graph that Spark scores in rounds. In each one the
+instances known so far, seeds and discoveries, induce the patterns: for each kind a
+pattern is as reliable as its known instances outweigh those of other kinds, half
+of the unknown ones (context only) and one more. An unknown instance scores as all
+its reliable patterns together leave no doubt, and those of a high score are the
+identifiers discovered, which induce patterns in the next round. DataFrame
+operations only; positions are code points.
 """
 
 from __future__ import annotations
@@ -35,9 +40,12 @@ _UNKNOWN = (
     r"(?<![A-Za-z0-9@._%+-])(?:[+(]{0,2}[0-9]++(?:\)?+[\x20.-]?+\(?+[0-9]++){1,18}+(?![A-Za-z0-9@_%+]|[.-][A-Za-z0-9@_%+])"
     r"|(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]*[A-Za-z0-9])"
 )
-#: Rounds of scoring; a pattern needs SUPPORT seeds of a kind and this reliability, an instance this score.
-ROUNDS, SUPPORT, RELIABLE, CERTAIN = 3, 8, 0.9, 0.9
-#: Characters of a neighbouring piece that are searched for a word.
+#: Seeds of secrets: instances after this.
+_ASSIGNED = r"(?i)(?<![a-z])(?:password|passwd|passphrase)\s*[=:]\s*[\"']?$"
+SECRET = "secret"
+#: Rounds of scoring; the reliability that a pattern needs, the score that an instance needs, what an unknown instance weighs against a context.
+ROUNDS, RELIABLE, CERTAIN, UNKNOWN = 3, 0.5, 0.9, 0.5
+#: Characters on either side that are an instance's context: of longer words the part next to it counts.
 _NEAR = 80
 
 
@@ -95,47 +103,70 @@ def instances(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     coming = F.min(F.when(seed, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (F.coalesce(coming, F.col("end")) >= F.col("end"))
     rows = rows.withColumn("free", free).where(seed | F.col("free"))
-    return kept.select("uid", "doc_id"), rows.select("uid", "kind", "start", "end", "m", _word(F.col("left"), r"(\S+)\s*$").alias("before"), _word(F.col("right"), r"^\s*(\S+)").alias("after"))
+    kind = F.coalesce("kind", F.when(F.regexp_like(F.col("left"), F.lit(_ASSIGNED)), SECRET)).alias("kind")
+    near = (_word(F.col("left"), r"(\S+)\s*$").alias("before"), _word(F.col("left"), r"(\S+\s+\S+)\s*$").alias("two"), _word(F.col("right"), r"^\s*(\S+)").alias("after"))
+    return kept.select("uid", "doc_id"), rows.select("uid", kind, "start", "end", "m", *near)
+
+
+def _make_up(m: Column) -> Column:
+    """What a long random string is made of; null for other instances."""
+    mixed = F.regexp_like(m, F.lit(r"^(?=(?:[A-Za-z]*[0-9]){4})(?=(?:[0-9]*[A-Za-z]){4})[A-Za-z0-9]{16,}$"))
+    kinds = F.when(F.regexp_like(m, F.lit("^[0-9a-f]+$")), "hexadecimal").when(F.regexp_like(m, F.lit("^[0-9a-z]+$")), "lower").when(F.regexp_like(m, F.lit("^[0-9A-Z]+$")), "upper").otherwise("any")
+    return F.when(mixed, kinds)
+
+
+def induced(found: DataFrame) -> DataFrame:
+    """(m, kind, pattern), distinct, for every instance of found (kind, m, before, two, after)."""
+    patterns = F.array(
+        F.when(F.length("before") > 0, F.concat(F.lit("l "), "before")),
+        F.when(F.length("two") > 0, F.concat(F.lit("2 "), "two")),
+        F.when((F.length("before") > 0) & (F.length("after") > 0), F.concat(F.lit("b "), "before", F.lit(" "), "after")),
+        F.concat(F.lit("s "), _make_up(F.col("m"))),
+    )
+    return found.select("m", "kind", F.explode(F.array_compact(patterns)).alias("pattern")).distinct()
 
 
 def discovered(found: DataFrame) -> DataFrame:
     """(m, kind): unknown instances claimed by reliable patterns, each for its best kind."""
-    edges = materialise(
-        found.select("m", "kind", F.explode(F.array(F.concat(F.lit("l "), "before"), F.concat(F.lit("b "), "before", F.lit(" "), "after"))).alias("pattern")).where(F.length("before") > 0).distinct(), "edges"
-    )
-    seeds = edges.where("kind is not null").select("m", "kind", F.lit(1.0).alias("score")).distinct()
-    possible = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("m").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    links = edges.select("m", "pattern").distinct()
-    totals = links.join(possible.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    unknown = links.join(edges.where("kind is not null").select("m").distinct(), "m", "left_anti")
-    scores = seeds
+    edges = materialise(induced(found), "edges")
+    links = materialise(edges.select("m", "pattern").distinct(), "links")
+    seeds = edges.where("kind is not null").select("m", "kind").distinct()
+    totals = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    unknown = links.join(seeds.select("m").distinct(), "m", "left_anti")
+    known = seeds
     for _ in range(ROUNDS):
-        sums = links.join(scores, "m").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
-        reliable = possible.join(sums, ["pattern", "kind"]).join(totals, "pattern").select("pattern", "kind", (F.col("sum") / F.col("n")).alias("score")).where(F.col("score") >= RELIABLE * 0.5)
-        claimed = unknown.join(reliable, "pattern").groupBy("m", "kind").agg(F.max("score").alias("score"))
-        scores = materialise(seeds.union(claimed), "scores")
-    best = scores.join(seeds.select("m").distinct(), "m", "left_anti").where(F.col("score") >= CERTAIN)
-    return best.groupBy("m").agg(F.max(F.struct("score", "kind")).alias("b")).select("m", F.col("b.kind").alias("kind"))
+        sums = links.join(known, "m").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("own"))
+        sums = sums.join(sums.groupBy("pattern").agg(F.sum("own").alias("all")), "pattern").join(totals, "pattern")
+        against = F.when(F.col("pattern").startswith("s "), 0.0).otherwise(UNKNOWN) * F.greatest(F.col("n") - F.col("all"), F.lit(0))
+        reliable = sums.select("pattern", "kind", (F.col("own") / (F.col("all") + against + 1)).alias("score")).where(F.col("score") >= RELIABLE)
+        claimed = unknown.join(reliable, "pattern").groupBy("m", "kind").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.col("score")))), 9).alias("score"))
+        best = claimed.where(F.col("score") >= CERTAIN).groupBy("m").agg(F.max(F.struct("score", "kind")).alias("b")).select("m", F.col("b.kind").alias("kind"))
+        best = materialise(best, "scores")
+        known = seeds.union(best)
+    return best
 
 
 def _joined(spans: str) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_found (spans the method adds) of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_found (spans the method discovers), n_secret, secrets (spans of secrets) of every row.
 
     Null and empty texts have no spans. Rows of equal id stay apart; other columns
     are ignored; an empty table gives no rows.
     """
     kept, found = instances(docs, id_column, text_column)
     found = materialise(found, "spans")
-    more = found.where("kind is null").drop("kind").join(discovered(found), "m").select("uid", "kind", "start", "end", F.lit(False).alias("base"))
-    spans = found.where("kind is not null").select("uid", "kind", "start", "end", F.lit(True).alias("base")).union(more)
-    gathered = spans.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "end", "base")).alias("all"))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
+    seed = F.col("kind").isin(*KINDS)
+    more = found.where("kind is null").drop("kind").join(discovered(found), "m").select("uid", "kind", "start", "end", F.lit(False).alias("base"), F.lit(True).alias("new"))
+    spans = found.where("kind is not null").select("uid", "kind", "start", "end", seed.alias("base"), F.lit(False).alias("new")).union(more)
+    gathered = spans.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "end", "base", "new")).alias("all"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,base:boolean,new:boolean>>")
     out = kept.join(gathered, "uid", "left").withColumn("all", F.coalesce("all", none)).withColumn("own", F.filter("all", lambda s: s["base"]))
+    out = out.withColumn("secret", F.filter("all", lambda s: s["kind"] == SECRET)).withColumn("listed", F.filter("all", lambda s: s["kind"] != SECRET))
     counts = [_count(k, F.col("own")).alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(_joined("own"), 256).alias("base_sha256"), _joined("all").alias("spans"), (F.size("all") - F.size("own")).cast("long").alias("n_found"))
+    new = F.size(F.filter("all", lambda s: s["new"])).cast("long").alias("n_found")
+    return out.select("doc_id", *counts, F.sha2(_joined("own"), 256).alias("base_sha256"), _joined("listed").alias("spans"), new, F.size("secret").cast("long").alias("n_secret"), _joined("secret").alias("secrets"))
