@@ -9,6 +9,6 @@ from .chat import recover_roles
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One canonical turn for each line of ``conversations``."""
+    """The canonical turns of ``conversations``."""
     out = recover_roles(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return out.select("conv_id", "turn", "role", "label", "rendered", F.sha2("rendered", 256).alias("rendered_sha256"))
+    return out.select("conv_id", "turn", "part", "place", "n_lines", "role", "label", "rendered", F.sha2("rendered", 256).alias("rendered_sha256"))
