@@ -49,3 +49,17 @@ def test_accuracy_on_labels_it_never_saw(spark):
     assert sum(bool(q) == k for q, k in labels) / len(labels) > 0.97
     good = [k for q, k in labels if q]
     assert sum(good) / len(good) > 0.99
+
+
+def test_rows_without_ids_are_judged_like_others(spark):
+    r = random.Random(7)
+    good = ["The river was calm and the people of the town walked along it to the market. " * 3 + f"It was day {i}." for i in range(300)]
+    junk = ["&& | ## " * 40 + str(i) for i in range(300)]
+    rows = [(i, t, *[None] * 8) for i, t in enumerate(good + junk)]
+    r.shuffle(rows)
+    with_ids = {x.text for x in quality.keep_good(frame(spark, rows)).select("text").collect()}
+    without = {x.text for x in quality.keep_good(frame(spark, [(None, *x[1:]) for x in rows])).select("text").collect()}
+    same = {x.text for x in quality.keep_good(frame(spark, [(3, *x[1:]) for x in rows])).select("text").collect()}
+    assert with_ids == without == same
+    copies = quality.classify(frame(spark, [(None, "the same words", *[None] * 8)] * 200)).collect()
+    assert len(copies) == 200 and len({x.score for x in copies}) == 1

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .base import materialise
+from .base import discard, materialise
 
 #: Documents at most that the scorer is trained on, those of least id hash; hashed features; rounds of each fit.
 SAMPLE, DIMENSIONS, EM_ROUNDS, FIT_ROUNDS = 8000, 4096, 200, 600
@@ -177,9 +177,15 @@ def fit_scorer(samples: list[tuple[list[int], list[float], float]]) -> np.ndarra
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[dict[int, float], np.ndarray]:
     """(posterior of each vote pattern, weights of the scorer), learned from the texts alone."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    place = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5).alias("place")
+    place = (F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5).alias("place")  # of the content too: ids may be missing or equal
     n = source.count()
-    made = materialise(source.select("doc_id", "text", place).mapInArrow(_survey(SAMPLE / max(n, 1)), "pattern long, feature array<int>, value array<float>"), "quality")
+    share = SAMPLE / max(n, 1)
+    while True:
+        made = materialise(source.select("doc_id", "text", place).mapInArrow(_survey(share), "pattern long, feature array<int>, value array<float>"), "quality")
+        if share >= 1 or made.where("feature is not null").limit(1).count():
+            break
+        discard(made)
+        share *= 64  # so many equal rows that none was taken: never train on nothing
     posterior = fit_labellers({r.pattern: r["count"] for r in made.groupBy("pattern").count().collect()})
     rows = made.where("feature is not null").limit(2 * SAMPLE).collect()  # about SAMPLE rows; the limit only guards the driver
     return posterior, fit_scorer([(r.feature, r.value, posterior[r.pattern]) for r in sorted(rows, key=lambda r: (r.pattern, r.feature, r.value))])
