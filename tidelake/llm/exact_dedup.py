@@ -3,8 +3,8 @@
 A text (A-Z lower-cased, null as empty) is cut where the hash of the last
 ``WINDOW`` bytes meets a condition, so equal texts are cut alike. Each distinct
 chunk is moved once to verify that its identifier stands for one content; after
-that a document is its ordered list of identifiers, and only these short lists
-are grouped and compared.
+that a document is its ordered list of identifiers. Only these short lists are
+compared, within groups of one digest; a group of any size is joined back in parts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .base import materialise
+from .base import join_groups, materialise
 
 WINDOW = 48
 #: Mean and greatest bytes of a chunk.
@@ -27,7 +27,7 @@ MEAN, MOST = 4096, 65536
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Identifiers tried in turn: the second only if contents collide under the first.
 _DIGESTS = (lambda b: xxhash.xxh3_128_digest(b), lambda b: hashlib.sha256(b).digest())
-_CHUNKS, _RECIPES = "cid binary, body binary", "uid long, doc_id long, sha string, recipe array<binary>"
+_CHUNKS, _RECIPES = "cid binary, body binary", "uid long, doc_id long, sha string, rid binary, recipe binary"
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -79,16 +79,17 @@ def _listed(digest):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 docs = list(_texts(batch, start))
-                columns = (range(uid, uid + len(docs)), [d for d, _ in docs], [hashlib.sha256(raw).hexdigest() for _, raw in docs], [[digest(p) for p in _pieces(raw)] for _, raw in docs])
+                lists = [b"".join([digest(p) for p in _pieces(raw)]) for _, raw in docs]  # identifiers are of one length
+                columns = (range(uid, uid + len(docs)), [d for d, _ in docs], [hashlib.sha256(raw).hexdigest() for _, raw in docs], [xxhash.xxh3_128_digest(x) for x in lists], lists)
                 uid += len(docs)
-                types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["uid", "doc_id", "sha", "recipe"])
+                types = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["uid", "doc_id", "sha", "rid", "recipe"])
 
     return run
 
 
 def recipes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(uid, doc_id, sha, recipe) of every row, recipes being lists of verified identifiers; uid tells rows apart.
+    """(uid, doc_id, sha, rid, recipe) of every row, recipes being lists of verified identifiers, rid their digest; uid tells rows apart.
 
     The chunks' bytes are shuffled once, less what is equal within a map task.
     """
@@ -108,10 +109,11 @@ def dedup_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     table gives no rows; other columns are ignored.
     """
     r = recipes(docs, id_column, text_column)
-    groups = r.groupBy("recipe").agg(
-        F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("rank"), F.col("doc_id").alias("id"), "uid")).alias("best"),
-        F.count(F.lit(1)).alias("group_size"),
-    )
-    return r.join(groups, "recipe").select(
-        "doc_id", "uid", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    best = F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("rank"), F.col("doc_id").alias("id"), "uid")).alias("best")
+    groups = materialise(r.groupBy("rid").agg(best, F.count(F.lit(1)).alias("group_size"), (F.min("recipe") == F.max("recipe")).alias("equal")), "groups")
+    key = "rid"
+    if groups.where("not equal").limit(1).count():  # two lists share a digest: the lists themselves are the key
+        key = "recipe"
+        groups = materialise(r.groupBy(key).agg(best, F.count(F.lit(1)).alias("group_size")), "groups")
+    out = join_groups(r.select("doc_id", "uid", "sha", key), groups.select(key, "best", "group_size"), key, "group_size")
+    return out.select("doc_id", "uid", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"))
