@@ -1,7 +1,9 @@
+import random
 import re
 from collections import defaultdict
 from fractions import Fraction
 
+from pyspark.sql import functions as F
 from util import awkward, frame
 
 from tidelake.llm import mixing
@@ -63,7 +65,7 @@ def test_demand_follows_the_schedule(spark):
 def test_buckets_do_not_change_the_result(spark, monkeypatch):
     rows = awkward()
     want = sorted((g.doc_id, g.taken) for g in mixing.curriculum(frame(spark, rows)).collect())
-    monkeypatch.setattr(mixing, "BUCKET", 1)
+    monkeypatch.setattr(mixing, "RANGE", 7)
     assert sorted((g.doc_id, g.taken) for g in mixing.curriculum(frame(spark, rows)).collect()) == want
 
 
@@ -77,3 +79,20 @@ def test_stage_repeats_documents(spark):
     docs = frame(spark)
     out = in_training_order(docs)
     assert out.columns == docs.columns and out.count() > 0
+
+
+def test_repeated_and_missing_ids_take_their_own_places(spark):
+    r = random.Random(6)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(["w"] * r.randint(0, 20) + [str(i % 50)]), "en", r.choice(["a", "b", None]), i % 50, *["c"], 1, 2, 3, True) for i in range(120)]
+    docs = frame(spark, rows + rows[:20])
+    want = defaultdict(int)
+    for x in mixing.source_targets(docs.select("source", mixing.text_size(F.col("text")).alias("size"))).collect():
+        want[x.source] = x.target
+    got = defaultdict(int)
+    for x in in_training_order(docs).collect():
+        got[x.source] += len(x.text.split())
+    assert all(abs(got[s] - t) <= 21 for s, t in want.items())
+    thin = mixing.curriculum(docs).collect()
+    assert len(thin) == len(rows) + 20 and all(x.taken <= 2 * x.size for x in thin)
+    for s, t in want.items():
+        assert sum(x.taken for x in thin if x.source == s) == int(t + 0.5)

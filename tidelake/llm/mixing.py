@@ -5,8 +5,10 @@ weight drifts over training time t in [0, 1] as 1 + drift * (2t - 1); the
 integral of that schedule, scaled to the target, is its cumulative token demand
 D(t). Within a source the documents stand in a fixed pseudo-random order, so a
 document that starts at token c of its source's stream is trained on at
-D^-1(c). Documents are then range-sorted by that position. DataFrame operations
-only; just one thin row for each document is ever shuffled.
+D^-1(c). Documents are then range-sorted by that position. The streams' running
+sums are taken range by range, so neither a large source nor an id that many rows
+share is gathered in one task. DataFrame operations only; just one thin row for
+each document is ever shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .base import materialise
 WEIGHTS, DRIFTS = (3, 1, 2), (0.5, 0.0, -0.5)
 #: Targets share NUM / DEN of all sizes; none is above CAP times its source's size.
 NUM, DEN, CAP = 3, 2, 2
-#: Documents of a source in one bucket of the running sum, on average at most.
-BUCKET = 4096
+#: Rows of one range of the running sums, on average at most.
+RANGE = 1 << 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,29 +69,28 @@ def curriculum(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     one. ``taken`` counts words of both passes over the source; the document at
     the target's end is taken in part, so a source's takings are its target
     rounded. Positions are null for passes not taken. Rows that share an id stand
-    together in the order; equal rows get places of their own. An empty table
-    gives no rows, and so does no other column matter.
+    together in the order, by size and content; equal rows get places of their
+    own, and rows without a position stand last. An empty table gives no rows;
+    other columns are ignored.
     """
+    text, ident = F.col(text_column).cast("string"), F.col(id_column)
     thin = materialise(
-        docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), text_size(F.col(text_column)).alias("size")).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes"
+        docs.select(ident.alias("doc_id"), F.col(source_column).cast("string").alias("source"), text_size(text).alias("size"), F.xxhash64(text).alias("content"), F.monotonically_increasing_id().alias("place")).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes"
     )
-    rows = thin.count()
-    digits = max(1, next(d for d in range(1, 16) if BUCKET << 4 * d >= rows))
-    thin = thin.withColumn("bucket", F.substring("key", 1, digits))
-    targets = source_targets(thin)
-    by_source = Window.partitionBy("source")
-    buckets = thin.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
-    buckets = buckets.withColumn("before", F.sum("sum").over(by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    buckets = buckets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce("before", F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = thin.withColumn("upto", F.sum("size").over(within))
-    placed = placed.join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    t = targets.select(F.col("source").alias("s"), "source_size", "target", "drift")
-    placed = placed.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    order = ("key", "doc_id", "size", "content", "place")  # equal rows are told apart by their place alone
+    ranges = max(1, -(-thin.count() // RANGE))
+    ranged = materialise(thin.repartitionByRange(ranges, F.col("source").asc_nulls_last(), *order).withColumn("range", F.spark_partition_id()), "ranges")
+    targets = source_targets(thin).select(F.col("source").alias("s"), "source_size", "target", "drift")
+    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("sum"))
+    sums = sums.withColumn("before", F.sum("sum").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
+    sums = sums.join(targets, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("range").alias("r"), F.coalesce("before", F.lit(0)).alias("before"), "source_size", "target", "drift")
+    within = Window.partitionBy("source", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("upto", F.sum("size").over(within))
+    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     start = F.col("before") + F.col("upto") - F.col("size")
     goal = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     passes = [start + k * F.col("source_size") for k in range(CAP)]
     taken = reduce(lambda a, b: a + b, [F.greatest(F.lit(0), F.least(F.col("size"), goal - p)) for p in passes])
     times = [F.when((F.col("size") > 0) & (p < goal), _time(p.cast("double"), F.col("target"), F.col("drift"))) for p in passes]
     out = placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), times[0].alias("position"), times[1].alias("position_2"))
-    return out.orderBy(F.col("position").asc_nulls_last())
+    return out.orderBy(F.col("position").asc_nulls_last(), F.xxhash64("doc_id"), "doc_id", "size")

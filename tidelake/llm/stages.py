@@ -1,41 +1,74 @@
-"""Filters and orders of whole document tables, for pipelines: every row's columns are kept."""
+"""Filters and orders of whole document tables, for pipelines: every row's columns are kept.
+
+Null and empty texts are texts like others (without words, hence similar to none).
+Rows may lack an id or share one: rows are told apart by all their columns, and
+rows that are equal in all of them are interchangeable. Empty tables give empty
+tables; columns beside doc_id, text and source are carried along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ascii_lower
+from .base import ascii_lower, row_key
 from .exact_dedup import dedup_groups
 from .mixing import curriculum
 from .ngram_join import similarity_components
 
+_KEY = "row key of this table"
+
 
 def keep_one_copy(docs: DataFrame) -> DataFrame:
-    """Of equal texts the row with the largest doc_id; of rows that also share the id, one."""
-    kept = dedup_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    own = docs.withColumn("kept_sha", F.sha2(ascii_lower(F.col("text")), 256))
-    out = own.join(kept, own["doc_id"].eqNullSafe(kept["kept_id"]) & (own["kept_sha"] == kept["kept_sha"]), "left_semi")
-    if dedup_repeats(docs):
-        out = out.dropDuplicates(["doc_id", "kept_sha"])
+    """Of equal texts the row with the largest doc_id; of rows that also share the id, one. Texts are shuffled once here, to drop the others."""
+    dropped = dedup_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_sha"), "keep_id")
+    repeated = dropped.where(F.col("dropped_id").eqNullSafe(F.col("keep_id"))).select("dropped_id", "dropped_sha")
+    dropped = dropped.where(~F.col("dropped_id").eqNullSafe(F.col("keep_id"))).select("dropped_id", "dropped_sha")
+    own = docs.withColumn("own_sha", F.sha2(ascii_lower(F.col("text")), 256))
+    same = lambda of: own["doc_id"].eqNullSafe(of["dropped_id"]) & (own["own_sha"] == of["dropped_sha"])
+    out = own.join(dropped, same(dropped), "left_anti")
+    if repeated.limit(1).count():  # the row that stays is there several times
+        out = out.dropDuplicates(["doc_id", "own_sha"])
     return out.select(docs.columns)
 
 
-def dedup_repeats(docs: DataFrame) -> bool:
-    """Whether any id occurs in several rows."""
-    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+def _ids(docs: DataFrame) -> tuple[bool, bool]:
+    """Whether any id is missing, and whether any occurs in several rows."""
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    missing, most = counts.agg(F.max(F.col("doc_id").isNull()), F.max(F.when(F.col("doc_id").isNotNull(), F.col("n")))).first()
+    return bool(missing), (most or 0) > 1
 
 
 def keep_one_of_similar(docs: DataFrame) -> DataFrame:
-    """Of each component of similar documents the one with the least doc_id; rows without an id stay."""
-    found = similarity_components(docs).select("doc_id", F.col("component_id").alias("c"))
-    dropped = found.where("doc_id != c").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of similar documents the one with the least doc_id, or else one without an id.
+
+    Where ids are repeated, the row with the least 64-bit hash stays; equal rows
+    without an id, or of a table with repeated ids, count as one.
+    """
+    columns = docs.columns
+    missing, repeated = _ids(docs)
+    hashed = F.xxhash64(row_key(docs))
+    if repeated:
+        key = hashed
+    else:  # rows without an id come after all others
+        key = F.coalesce(F.col("doc_id").cast("long"), hashed.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))) if missing else F.col("doc_id").cast("long")
+    docs = docs.withColumn(_KEY, key)
+    if missing or repeated:
+        docs = docs.dropDuplicates([_KEY])
+    found = similarity_components(docs, _KEY)
+    dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias(_KEY))
+    return docs.join(dropped, _KEY, "left_anti").select(columns)
 
 
 def in_training_order(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, once for each pass over their source, sorted by training position."""
-    plan = curriculum(docs).select(F.col("doc_id").alias("plan_id"), F.filter(F.array("position", "position_2"), lambda p: p.isNotNull()).alias("at"))
-    plan = plan.groupBy("plan_id").agg(F.max("at").alias("at")).select("plan_id", F.explode("at").alias("at"))
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["plan_id"]))
-    return out.orderBy("at", "doc_id").select([docs[c] for c in docs.columns])
+    """The documents that the mix takes, once for each pass over their source, sorted by training position.
+
+    Every row has its own place in its source's stream and its own positions,
+    also where ids are missing or repeated.
+    """
+    columns = docs.columns
+    own = docs.withColumn(_KEY, row_key(docs))
+    plan = curriculum(own, _KEY).select(F.col("doc_id").alias(_KEY), F.explode(F.filter(F.array("position", "position_2"), lambda p: p.isNotNull())).alias("at"))
+    if any(_ids(docs)):
+        own = own.dropDuplicates([_KEY])  # equal rows: each is sent to the places of all
+    return own.join(plan, _KEY).orderBy("at", _KEY).select(columns)
