@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -214,6 +215,25 @@ def decode_documents(encoded: DataFrame, model_path: str, id_column: str = "doc_
     return encoded.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
+def encoded_with_digests(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, ids (array<int>), n_tokens, ids_sha256, decoded_sha256 of every row, in one pass without a shuffle; null counts as empty."""
+    model = read_model(model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(model)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                found = [e.digest(t or "") for t in part.column(1).to_pylist()]
+                sha = [[hashlib.sha256(x[k].encode("utf-8", "surrogatepass")).hexdigest() for x in found] for k in (1, 2)]
+                sizes = [x[0] for x in found]
+                flat = np.fromstring(",".join([x[1] for x in found if x[0]]), np.int32, sep=",")
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(sizes, pa.int64()), *map(pa.array, sha)], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def encoding_digests(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode every whole text in one pass, without a shuffle."""
     model = read_model(model_path)
