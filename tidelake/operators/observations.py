@@ -32,11 +32,16 @@ def kept(rows: DataFrame) -> DataFrame:
 
 
 def ingest_stats(rows: DataFrame) -> DataFrame:
-    """Per (dataset, version_label): rows kept, rows dropped by reason, unparsed periods of kept rows, and exact distinct counts."""
+    """Per (dataset, version_label): rows kept, rows dropped by reason, unparsed periods of kept rows, and exact distinct counts.
+
+    Rows are first added up by key, which combines before the shuffle; distinct
+    values are counted over the keys.
+    """
     ok = F.col("status") == "ok"
-    distinct = [F.count_distinct(F.when(ok, F.col(c))).alias(n) for c, n in (("metric", "metrics"), ("entity", "entities"), ("period", "periods"), ("source", "sources"))]
-    keys = F.count_distinct(F.when(ok, F.struct(*DIM_FIELDS)))
-    return rows.groupBy("dataset", "version_label").agg(F.count_if(ok).alias("rows"), F.count_if(F.col("status") == "blank").alias("dropped_blank"), F.count_if(F.col("status") == "non_numeric").alias("dropped_non_numeric"), F.count_if(ok & ~F.col("period_ok")).alias("unparsed_periods"), *distinct, (F.count_if(ok) - keys).alias("duplicate_keys"))
+    groups = ("dataset", "version_label")
+    keys = rows.groupBy(*groups, *DIM_FIELDS).agg(F.count_if(ok).alias("n"), F.count_if(F.col("status") == "blank").alias("blank"), F.count_if(F.col("status") == "non_numeric").alias("wrong"), F.count_if(ok & ~F.col("period_ok")).alias("unparsed"))
+    distinct = [F.count_distinct(F.when(F.col("n") > 0, F.col(c))).alias(n) for c, n in (("metric", "metrics"), ("entity", "entities"), ("period", "periods"), ("source", "sources"))]
+    return keys.groupBy(*groups).agg(F.sum("n").alias("rows"), F.sum("blank").alias("dropped_blank"), F.sum("wrong").alias("dropped_non_numeric"), F.sum("unparsed").alias("unparsed_periods"), *distinct, F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("duplicate_keys"))
 
 
 def last_values(rows: DataFrame, keys: list[str] | tuple[str, ...] = DIM_FIELDS) -> DataFrame:

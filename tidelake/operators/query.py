@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.periods import coarsen_period, parse, upper_bound
 from ..schema import CELL_CAP, ROW_CAP
@@ -82,8 +83,9 @@ def to_wide(rows: DataFrame, row_dims: list[str], col_dims: list[str], cap: int
     """Long to wide: a row for each key of row_dims, a column for each of col_dims, headed by the key joined with " / ".
 
     Cells that collide keep the last in canonical order. Columns stand in time if
-    they are periods, else by text. A result of more cells than the cap is
-    refused before it is computed; missing dimensions are blank.
+    they are periods, else by text; missing dimensions are blank. The cells are
+    computed once, in long form; a result of more cells than the cap is refused, and
+    a smaller one is small enough to be laid out by the driver.
     """
     dim = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
     r = [dim(c).alias(f"r{i}") for i, c in enumerate(row_dims)]
@@ -92,10 +94,16 @@ def to_wide(rows: DataFrame, row_dims: list[str], col_dims: list[str], cap: int
     seq = F.col("seq") if "seq" in rows.columns else F.lit(0)
     base = rows.select(*r, head.alias("head"), time.alias("time"), "value", F.struct(*(F.col(c) for c in ORDER if c in rows.columns), seq.alias("seq")).alias("at"))
     keys = [f"r{i}" for i in range(len(row_dims))]
-    heads = base.groupBy("head").agg(F.min("time").alias("time")).orderBy("time", "head").limit(cap + 1).collect()
-    if len(heads) > cap or len(heads) * len(base.select(*keys).distinct().limit(cap // max(1, len(heads)) + 1).collect() if keys else [0]) > cap:
+    cells = base.groupBy(*keys, "head").agg(F.max_by("value", "at").alias("value"), F.min("time").alias("time")).limit(cap + 1).collect()
+    times: dict[str, str | None] = {}
+    lines: dict[tuple, dict[str, object]] = {}
+    for c in cells:
+        lines.setdefault(tuple(c[k] for k in keys), {})[c["head"]] = c["value"]
+        times[c["head"]] = min((t for t in (times.get(c["head"]), c["time"]) if t is not None), default=None)
+    if len(cells) > cap or len(lines) * len(times) > cap:
         raise TooMany(f"more than {cap} cells")
-    names = [h["head"] for h in heads]
-    wide = base.groupBy(*keys).pivot("head", names).agg(F.max_by("value", "at")) if names else base.select(*keys).distinct()
-    taken = [*row_dims, *(n or "value" for n in names)]
-    return wide.toDF(*taken).orderBy(*(F.col(f"`{c}`") for c in row_dims)) if keys else wide.toDF(*taken)
+    heads = sorted(times, key=lambda h: (times[h] is not None, times[h] or "", h))
+    kind = base.schema["value"].dataType
+    schema = T.StructType([*(T.StructField(f"r{i}", T.StringType()) for i in range(len(keys))), *(T.StructField(f"c{i}", kind) for i in range(len(heads)))])
+    rows_out = [(*line, *(found.get(h) for h in heads)) for line, found in sorted(lines.items())]
+    return rows.sparkSession.createDataFrame(rows_out, schema).coalesce(1).toDF(*row_dims, *(h or "value" for h in heads))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import jsontext, periods, text, values, vectors
 from ..operators import calls as call_ops
 from ..operators import catalog, ledger, observations, query, versions
+from ..operators.store import Store
 from ..sources import readers
 from ..streaming import events as streams
 from . import views as v
@@ -161,6 +164,51 @@ def _(spark, d):
     return readers.check_columns(readers.rename_columns(raw, {"p_brand": "entity", "broker": "source"}))
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder below the one all executors share, or a local one in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidelake-")
+    return f"{root}/suite-{uuid.uuid4().hex}"
+
+
+def _parts(spark: SparkSession, d: str, raised: bool) -> DataFrame:
+    """Part prices as a source of three labels; those of the first are raised the second time, and one brand is gone."""
+    own = F.pmod(F.col("p_size"), F.lit(3))
+    price = F.col("p_retailprice") + F.when((own == 0) & F.lit(raised), 1.0).otherwise(0.0)
+    rows = v.table(spark, d, "part").where(~((own == 0) & F.lit(raised) & (F.col("p_brand") == "Brand#1")))
+    return rows.select(F.lit("parts").alias("dataset"), F.lit("price").alias("metric"), F.concat_ws(" ", "p_brand", "p_partkey").alias("entity"), F.lit("2024").alias("period"), price.alias("value"), F.concat(F.lit("2024-0"), (own + 1).cast("string")).alias("label"))
+
+
+@register("snapshot_loads", """WITH p AS (SELECT '2024-0' || (p_size % 3 + 1) AS version_label, p_brand FROM part),
+  n AS (SELECT version_label, row_number() OVER (ORDER BY version_label) AS i, count(*) AS n, count(*) FILTER (p_brand = 'Brand#1') AS gone FROM p GROUP BY 1),
+  l AS (SELECT i AS id, version_label, n AS rows, 'ok' AS status, CAST(NULL AS BIGINT) AS baseline, CAST(NULL AS BIGINT) AS changed, CAST(NULL AS BIGINT) AS removed FROM n
+        UNION ALL SELECT 3 + i, version_label, CASE WHEN i = 1 THEN n - gone ELSE 0 END, CASE WHEN i = 1 THEN 'ok' ELSE 'skipped_duplicate' END, CASE WHEN i = 1 THEN 1 END, CASE WHEN i = 1 THEN n - gone END, CASE WHEN i = 1 THEN gone END FROM n)
+  SELECT CAST(id AS BIGINT) AS id, 'parts' AS dataset, version_label, 'P' || left(version_label, 4) || right(version_label, 2) || '00' AS version_sort, CAST(rows AS BIGINT) AS rows, status, CASE WHEN id IN (2, 3) THEN id - 1 ELSE baseline END AS baseline, CASE WHEN id IN (2, 3) THEN 0 ELSE changed END AS changed, CASE WHEN id IN (2, 3) THEN (SELECT n FROM n WHERE i = id - 1) ELSE removed END AS removed FROM l""")
+def _(spark, d):
+    store = Store(spark, _scratch(spark))
+    for raised in (False, True):
+        store.snapshot(_parts(spark, d, raised), "label")
+    field = lambda name: F.get_json_object("report", f"$.{name}").cast("long").alias(name)
+    loads = store.table("loads").join(store.table("reports").withColumnRenamed("load_id", "id"), "id", "left")
+    return loads.select("id", "dataset", "version_label", "version_sort", "rows", "status", field("baseline"), field("changed"), field("removed"))
+
+
+@register("snapshot_observations", "SELECT 'price' AS metric, p_brand || ' ' || p_partkey AS entity, '2024' AS period, p_retailprice + CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE 0.0 END AS value FROM part WHERE p_size % 3 = 0 AND p_brand <> 'Brand#1'")
+def _(spark, d):
+    store = Store(spark, _scratch(spark))
+    first = F.col("label") == "2024-01"
+    for raised in (False, True):
+        store.snapshot(_parts(spark, d, raised).where(first), "label")
+    return query.query_observations(store.observations(), store.table("loads"), "parts", version="2024-01").select("metric", "entity", "period", "value")
+
+
+@register("json_sink", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, d):
+    path = _scratch(spark)
+    nation = v.table(spark, d, "nation")
+    readers.write_json(nation, path)
+    return spark.read.schema(nation.schema).json(path)
+
+
 # -- filters, rollup, pivot -------------------------------------------------------------------------
 
 _COLS = "metric, entity, region, period, period_sort, source, value, unit"
@@ -370,10 +418,10 @@ def _(spark, d):
     return m.select(F.size("entities").cast("long").alias("entities"), "period_from", "period_to")
 
 
-@register("missing_entities_anti", "SELECT DISTINCT n_name AS entity FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
+@register("missing_entities_anti", "SELECT DISTINCT n_name AS entity FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 6000)")
 def _(spark, d):
     n = v.table(spark, d, "nation")
-    present = n.join(v.table(spark, d, "supplier").where("s_suppkey <= 20"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")
+    present = n.join(v.table(spark, d, "supplier").where("s_acctbal > 6000"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")
     return catalog.missing(n.select(F.col("n_name").alias("entity")), present.select(F.col("n_name").alias("entity")))
 
 

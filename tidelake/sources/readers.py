@@ -38,26 +38,31 @@ def read_source(spark: SparkSession, source: SourceConfig) -> DataFrame:
 
 
 def sqlite_query(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """Rows of a query on a SQLite file opened read-only, all columns as text.
+    """Rows of a query on a SQLite file opened read-only: integers, reals or, where a column holds anything else, text.
 
-    Pages of rows are read by separate tasks, so the driver holds no row; the
-    file must be readable where the tasks run.
+    One task reads the query once, a page at a time, as the order of a query's
+    rows is not known; neither it nor the driver holds more than a page. The file
+    must be readable where the task runs.
     """
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         names = [c[0] for c in db.execute(f"SELECT * FROM ({query}) LIMIT 0").description]
-        rows = db.execute(f"SELECT count(*) FROM ({query})").fetchone()[0]
+        quoted = ['"' + n.replace('"', '""') + '"' for n in names]
+        tests = ", ".join(f"max(typeof({q}) NOT IN ('integer', 'null')), max(typeof({q}) NOT IN ('integer', 'real', 'null')), count({q})" for q in quoted)
+        found = db.execute(f"SELECT {tests} FROM ({query})").fetchone()
+    kinds = ["string" if not found[3 * i + 2] or found[3 * i + 1] else "double" if found[3 * i] else "long" for i in range(len(names))]
+    make = [{"string": str, "double": float, "long": int}[k] for k in kinds]
 
     def pages(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        for pdf in batches:
-            for start in pdf["id"].tolist():
-                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as own:
-                    found = own.execute(f"SELECT * FROM ({query}) LIMIT {PAGE} OFFSET {start}").fetchall()
-                yield pd.DataFrame([[None if v is None else str(v) for v in r] for r in found], columns=names, dtype=object)
+        for _ in batches:
+            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as own:
+                cursor = own.execute(query)
+                while page := cursor.fetchmany(PAGE):
+                    cells = [[None if v is None else m(v) for m, v in zip(make, r, strict=True)] for r in page]
+                    yield pd.DataFrame(cells, columns=names, dtype=object)
 
-    starts = spark.range(0, max(rows, 1), PAGE)
-    return starts.mapInPandas(pages, ", ".join(f"`{n}` string" for n in names))
+    return spark.range(0, 1, 1, 1).mapInPandas(pages, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
