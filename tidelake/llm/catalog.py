@@ -1,23 +1,103 @@
-"""The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
+"""The queries of this subpackage over whole tables, thin calls of the operators, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import queries_a, queries_b, queries_c, queries_d, queries_e, queries_f, queries_g, queries_h, queries_i, queries_j
-
-QUERIES = {
-    "op1_ngram_jaccard_join": queries_c.op1_ngram_jaccard_join,
-    "op2_document_fingerprints": queries_g.op2_document_fingerprints,
-    "op3_personal_data": queries_h.op3_personal_data,
-    "op4_exact_dedup": queries_a.op4_exact_dedup,
-    "op5_chat_formatting": queries_i.op5_chat_formatting,
-    "op6_license_scan": queries_e.op6_license_scan,
-    "op7_quality_classifier": queries_f.op7_quality_classifier,
-    "op8_source_mixing": queries_d.op8_source_mixing,
-    "op9_sentencepiece_codec": queries_b.op9_sentencepiece_codec,
-    "op10_training_order": queries_j.op10_training_order,
-}
-
-ORACLE_SQL = {
-    "op4_exact_dedup": queries_a.OP4_SQL,
-    "op8_source_mixing": queries_d.OP8_SQL,
-}
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .base import documents
+from .chat import recover_roles
+from .exact_dedup import dedup_groups
+from .fingerprints import edited_fingerprints
+from .licenses import license_labels
+from .mixing import curriculum
+from .ngram_join import similarity_components
+from .pii import personal_data
+from .quality import classify
+from .sentencepiece_bpe import encoding_digests
+from .training_order import write_training_order
+
+MODEL = "piece_bpe_32k.model"
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(documents(spark, sf_dir))
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical turns of ``conversations``."""
+    out = recover_roles(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select("conv_id", "turn", "part", "place", "n_lines", "role", "label", "rendered", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(documents(spark, sf_dir))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir)).select("doc_id", "score", "posterior", "keep")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position", "position_2")
+
+
+def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(documents(spark, sf_dir), public_tokenizers.path(MODEL))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = write_training_order(documents(spark, sf_dir), public_tokenizers.path(MODEL))
+    return out.select("shard", "slot", "doc_id", "n_tokens", (F.col("place") * F.col("stride")).alias("offset"))
+
+
+OP4_SQL = """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM n
+"""
+
+OP8_SQL = r"""
+WITH thin AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS k,
+         CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
+  FROM documents),
+s0 AS (SELECT source, sum(size) AS source_size FROM thin GROUP BY source),
+s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS i FROM s0),
+s2 AS (SELECT source, source_size, 2 * source_size AS cap, [3, 1, 2][i + 1] AS weight, [0.5, 0.0, -0.5][i + 1]::DOUBLE AS drift FROM s1),
+s3 AS (SELECT *, cap * (6 // weight) AS level FROM s2),
+s4 AS (SELECT *, sum(cap) OVER (ORDER BY level RANGE UNBOUNDED PRECEDING) AS under, sum(weight) OVER (ORDER BY level RANGE UNBOUNDED PRECEDING) AS w_under,
+              sum(weight) OVER () AS w_all, sum(source_size) OVER () AS total FROM s3),
+s5 AS (SELECT *, 2 * (under * weight + cap * (w_all - w_under)) <= 3 * total * weight AS capped FROM s4),
+s6 AS (SELECT *, sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS cap_sum, sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS w_rest FROM s5),
+targets AS (SELECT source, source_size, drift,
+                   CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(weight * (3 * total - 2 * cap_sum) AS DOUBLE) / CAST(2 * greatest(w_rest, 1) AS DOUBLE) END AS target FROM s6),
+placed AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS c FROM thin),
+joined AS (SELECT p.doc_id, p.size, CAST(t.source_size AS BIGINT) AS source_size, t.target, t.drift, CAST(p.c AS BIGINT) AS c0, CAST(p.c + t.source_size AS BIGINT) AS c1,
+                  CAST(floor(t.target + 0.5) AS BIGINT) AS goal
+           FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source),
+timed AS (SELECT *, c0::DOUBLE / target AS u0, c1::DOUBLE / target AS u1, 1 - drift AS b FROM joined)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(size, goal - c0)) + greatest(0, least(size, goal - c1)) AS BIGINT) AS taken,
+       CASE WHEN size > 0 AND c0 < goal THEN CASE WHEN drift = 0 THEN u0 ELSE (sqrt(b * b + 4 * drift * u0) - b) / (2 * drift) END END AS position,
+       CASE WHEN size > 0 AND c1 < goal THEN CASE WHEN drift = 0 THEN u1 ELSE (sqrt(b * b + 4 * drift * u1) - b) / (2 * drift) END END AS position_2
+FROM timed
+"""
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_personal_data, op4_exact_dedup, op5_chat_formatting, op6_license_scan, op7_quality_classifier, op8_source_mixing, op9_sentencepiece_codec, op10_training_order)}
+
+ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op8_source_mixing": OP8_SQL}

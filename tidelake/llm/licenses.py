@@ -231,7 +231,11 @@ def _best(spans: DataFrame) -> DataFrame:
 
 
 def license_labels(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
+
+    Null and empty texts have no words, no labels and a score of 0. Rows of equal id
+    stay apart; other columns are ignored; an empty table gives no rows.
+    """
     kept, spans = scan(docs, id_column, text_column)
     found = spans.groupBy("uid").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
     every = F.concat(*(f"s{i}" for i in range(len(PHRASES))))

@@ -219,7 +219,11 @@ def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier keeps; no shuffle."""
+    """The rows of docs, with all their columns, that the classifier keeps; no shuffle.
+
+    Null and empty texts are judged as texts without words. Rows without an id, or
+    with another row's, are judged like others; an empty table gives an empty one.
+    """
     _, weights = fit(docs, id_column, text_column)
     at = docs.columns.index(text_column)
 
