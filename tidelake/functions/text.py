@@ -106,6 +106,35 @@ def similarities(left: DataFrame, right: DataFrame, left_id: str, left_text: str
     return out.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), (F.col("dot") / (F.sqrt("a") * F.sqrt("b"))).alias("similarity"))
 
 
+def similar_names(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, least: float = ALIKE) -> DataFrame:
+    """left_id, right_id, similarity of the pairs whose trigram cosine is that or more.
+
+    Trigrams are ordered rare first. A name's prefix ends where what is left of its
+    vector is too short for such a cosine, so two alike names meet at a trigram of
+    both prefixes; frequent trigrams stand last and are hardly ever joined on. Pairs
+    that meet are then scored on all their trigrams.
+    """
+
+    def grams(df: DataFrame, key: str, text: str, side: str) -> DataFrame:
+        return df.select(F.col(key).alias(f"{side}_id"), F.explode(trigrams(F.col(text))).alias("gram")).groupBy(f"{side}_id", "gram").agg(F.count(F.lit(1)).alias(f"{side}_n"))
+
+    l, r = grams(left, left_id, left_text, "l"), grams(right, right_id, right_text, "r")  # noqa: E741
+    frequency = l.select("gram").union(r.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(g: DataFrame, side: str) -> DataFrame:
+        own = Window.partitionBy(f"{side}_id")
+        square = F.col(f"{side}_n") * F.col(f"{side}_n")
+        rest = F.sum(square).over(own.orderBy("df", "gram").rowsBetween(0, Window.unboundedFollowing))
+        kept = g.join(frequency, "gram").select(f"{side}_id", "gram", rest.alias("rest"), F.sum(square).over(own).alias("whole"))
+        return kept.where(F.col("rest") >= (least * least - 1e-9) * F.col("whole")).select(f"{side}_id", "gram")
+
+    met = prefix(l, "l").join(prefix(r, "r"), "gram").select("l_id", "r_id").distinct()
+    norm = lambda g, side: g.groupBy(f"{side}_id").agg(F.sum(F.col(f"{side}_n") * F.col(f"{side}_n")).alias(f"{side}_norm"))
+    dots = met.join(l, "l_id").join(r, ["r_id", "gram"]).groupBy("l_id", "r_id").agg(F.sum(F.col("l_n") * F.col("r_n")).alias("dot"))
+    scored = dots.join(norm(l, "l"), "l_id").join(norm(r, "r"), "r_id").withColumn("similarity", F.col("dot") / (F.sqrt("l_norm") * F.sqrt("r_norm")))
+    return scored.where(F.col("similarity") >= least).select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "similarity")
+
+
 def best_matches(similar: DataFrame, left_id: str, right_id: str, least: float = ALIKE) -> DataFrame:
     """The most similar right of each left, if similar enough; ties go to the smaller."""
     w = Window.partitionBy(left_id).orderBy(F.desc("similarity"), right_id)

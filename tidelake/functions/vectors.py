@@ -57,12 +57,14 @@ def reorder(batches: DataFrame, items: str = "items") -> DataFrame:
     return batches.select("batch", F.explode(items).alias("x")).select("batch", "x.*").orderBy("batch", "index")
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, buckets: int = 16) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, buckets: int | None = None) -> DataFrame:
     """query_id, id, similarity: the k most similar of base for each query.
 
-    base is dealt into buckets, queries to every bucket, and each bucket keeps
-    its own best k before the bests are merged; nothing is paired that is not scored.
+    base is dealt into buckets, at least one for each of its partitions, queries to
+    every bucket, and each bucket keeps its own best k, by a running top-k, before
+    the bests are merged; nothing is paired that is not scored.
     """
+    buckets = buckets or max(16, base.rdd.getNumPartitions())
     b = base.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     q = queries.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     scored = q.join(b, "bucket").where("query_id != id").select("query_id", "id", "bucket", cosine(F.col("query"), F.col("embedding")).alias("similarity"))

@@ -440,6 +440,13 @@ def _(spark, d):
     return text.similarities(names, brands, "c_custkey", "c_name", "s_suppkey", "s_name").withColumn("similarity", F.round("similarity", 9))
 
 
+@register("similar_names", f"WITH {_grams_sql('p_partkey', 'p_name', 'part', 'l')}, {_grams_sql('p_partkey', 'p_name', 'part', 'r').replace('p_partkey', 'other').replace('SELECT other, gram, count(*) AS rn FROM (SELECT other,', 'SELECT other, gram, count(*) AS rn FROM (SELECT p_partkey AS other,')} SELECT p_partkey, other, round(sum(ln * rn) / (sqrt(any_value(lq)) * sqrt(any_value(rq))), 9) AS similarity FROM l JOIN r USING (gram) JOIN lm USING (p_partkey) JOIN rm USING (other) WHERE p_partkey < other GROUP BY ALL HAVING sum(ln * rn) / (sqrt(any_value(lq)) * sqrt(any_value(rq))) >= 0.85")
+def _(spark, d):
+    names = v.table(spark, d, "part").select("p_partkey", "p_name")
+    found = text.similar_names(names, names.withColumnRenamed("p_partkey", "other"), "p_partkey", "p_name", "other", "p_name")
+    return found.where("p_partkey < other").withColumn("similarity", F.round("similarity", 9))
+
+
 @register("fuzzy_best_match", "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES (1, 1), (2, 2)) t(a, b)")
 def _(spark, d):
     left = spark.createDataFrame([(1, "Customer Lifetime Value"), (2, "gross margin rate"), (3, "zzz")], "a long, x string")
