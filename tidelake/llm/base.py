@@ -5,14 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH, _DEFAULTS = "spark.sql.execution.arrow.maxBytesPerBatch", ("64m", "64MB", "67108864", "67108864b")
 #: Groups of more than this part of all rows are joined by broadcast.
 HEAVY = 1000
 _own: dict[str, str] = {}
@@ -32,20 +30,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    with _small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Whole texts go to Python in batches of few bytes meanwhile, which executors hold several times over outside the heap."""
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, "4m")
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few bytes, if the session has Spark's default: executors hold batches of whole texts several times over outside the heap."""
+    if spark.conf.get(_BATCH, None) in _DEFAULTS:
+        spark.conf.set(_BATCH, "4m")
 
 
 def discard(df: DataFrame) -> None:
@@ -57,18 +49,18 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """rows with the columns of their group, where one group may hold any share of all rows.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows with the columns of their group, where one group may hold any share of all rows; rows of no group are left out.
 
-    groups has each key of rows once, with the number of its rows in ``size``, and
-    should be a written table. Groups of over a HEAVY-th of all rows, fewer than
-    HEAVY of them therefore, are broadcast; the rest is joined by key.
+    groups has each key once, with the number of its rows in ``size``, and should be
+    a written table. Groups of over a HEAVY-th of all rows, fewer than HEAVY of them
+    therefore, are broadcast; the rest is joined by key.
     """
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     heavy = F.col(size) * HEAVY > max(total, HEAVY * HEAVY)
-    more = [c for c in groups.columns if c != key]
-    met = rows.join(F.broadcast(groups.where(heavy)), key, "left")
-    rest = met.where(F.col(size).isNull()).select(rows.columns).join(groups.where(~heavy), key)
+    more = [c for c in groups.columns if c not in keys]
+    met = rows.join(F.broadcast(groups.where(heavy)), keys, "left")
+    rest = met.where(F.col(size).isNull()).select(rows.columns).join(groups.where(~heavy), keys)
     return met.where(F.col(size).isNotNull()).select(*rows.columns, *more).union(rest.select(*rows.columns, *more))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .base import join_groups, materialise
+from .base import bound_batches, join_groups, materialise
 
 WINDOW = 48
 #: Mean and greatest bytes of a chunk.
@@ -93,6 +93,7 @@ def recipes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     The chunks' bytes are shuffled once, less what is equal within a map task.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     for digest in _DIGESTS:
         contents = source.mapInArrow(_chunks(digest), _CHUNKS).groupBy("cid").agg(F.min("body").alias("a"), F.max("body").alias("b"))
@@ -115,5 +116,5 @@ def dedup_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if groups.where("not equal").limit(1).count():  # two lists share a digest: the lists themselves are the key
         key = "recipe"
         groups = materialise(r.groupBy(key).agg(best, F.count(F.lit(1)).alias("group_size")), "groups")
-    out = join_groups(r.select("doc_id", "uid", "sha", key), groups.select(key, "best", "group_size"), key, "group_size")
+    out = join_groups(r.select("doc_id", "uid", "sha", key), groups.select(key, "best", "group_size"), [key], "group_size")
     return out.select("doc_id", "uid", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .base import discard, materialise, shuffle_partitions
+from .base import bound_batches, discard, join_groups, materialise, shuffle_partitions
 from .components import components
 
 WORDS = 5
@@ -43,7 +43,9 @@ WORDS = 5
 NUM, DEN = 3, 4
 SKETCH_BITS, CHUNK_BITS = 20, 16
 #: Documents of a shingle that are paired at once; pivots of the first round, which double from round to round.
-GROUP, PIVOTS, ROUNDS = 16, 4, 2
+GROUP, PIVOTS, ROUNDS = 16, 8, 2
+#: Parts of a large group in which its pivots are looked for.
+PARTS = 64
 #: Documents of one cell of a shingle of extreme frequency, and of one cell of pairing out.
 CELL, SQUARE = 200_000, 1000
 #: Shingles of a block; shingles and documents that a task sends out at once.
@@ -366,20 +368,20 @@ def _merge(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _pivot_pairs(spots: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
-    """Members of large groups paired with some of their group and of its largest component, where components differ and sizes allow it.
+    """Members of large groups paired with some of their group, where components differ and sizes allow it.
 
-    Pivots are those of least hash under several seeds, found by a partial
-    minimum, so that no group is gathered; as groups of near copies share most
+    Pivots are those of least hash under several seeds, found by minima of parts of
+    a group, so that no group is gathered; as groups of near copies share most
     members, they share most pivots.
     """
     own = _lettered(spots, labels)
-    sizes = own.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    own = own.join(sizes.where("parts > 1").drop("parts"), "token")
-    seeds = [F.struct(F.xxhash64(F.col("a"), F.lit(s)).alias("rank"), F.col("a").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn")) for s in range(pivots)]
-    least = [F.min(x) for x in seeds] + [F.min(F.when(F.col("component") == F.col("top"), x)) for x in seeds]
-    chosen = own.groupBy("token").agg(F.array_distinct(F.transform(F.filter(F.array(*least), lambda x: x.isNotNull()), lambda x: x.dropFields("rank"))).alias("pivots"))
+    names = [f"p{s}" for s in range(pivots)]
+    seeds = [F.min(F.struct(F.xxhash64(F.col("a"), F.lit(s)).alias("rank"), F.col("a").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))).alias(x) for s, x in enumerate(names)]
+    parts = own.groupBy("token", F.pmod(F.xxhash64("a"), F.lit(PARTS)).alias("part")).agg(*seeds, F.min("component").alias("low"), F.max("component").alias("high"))
+    chosen = parts.groupBy("token").agg(*(F.min(x).alias(x) for x in names), F.min("low").alias("low"), F.max("high").alias("high")).where("low != high")
+    chosen = materialise(chosen.select("token", F.array_distinct(F.transform(F.array(*names), lambda x: x.dropFields("rank"))).alias("pivots")), "pivots")
     near = f"filter(pivots, x -> x.pc != component AND {DEN} * least(n, x.pn) >= {NUM} * greatest(n, x.pn))"
-    met = own.drop("top").join(chosen, "token").select("a", F.explode(F.expr(near)).alias("x")).select("a", "x.p")
+    met = own.join(chosen, "token").select("a", F.explode(F.expr(near)).alias("x")).select("a", "x.p")
     return met.select(F.greatest("a", "p").alias("a"), F.least("a", "p").alias("b")).where("a != b").distinct()
 
 
@@ -402,14 +404,13 @@ def _square_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _tie_groups(members: DataFrame, live: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels, merged by all links between members (token, a, n, pos) of large groups. Pairs that were verified before are left out.
+    """labels, merged by all links between members (token, count, a, n, pos) of large groups. Pairs that were verified before are left out.
 
     For the pivots each document stands in two of its groups only, its largest and
     a random one; that only decides how much is tied before the rest is paired out
     in all groups.
     """
-    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    spots = members.join(sizes, "token").groupBy("a", "n").agg(F.max_by("token", F.struct("size", "token")).alias("x"), F.max_by("token", F.xxhash64("token")).alias("y"))
+    spots = members.groupBy("a", "n").agg(F.max_by("token", F.struct("count", "token")).alias("x"), F.max_by("token", F.xxhash64("token")).alias("y"))
     spots = materialise(spots.select("a", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("token")), "spots")
     seen, rounds = [pairs], 0
     while rounds <= ROUNDS:
@@ -438,6 +439,7 @@ def similarity_components(docs: DataFrame, id_column: str = "doc_id", text_colum
     table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     survey = materialise(source.mapInArrow(_survey(words), "doc_id long, n long, d1 long, d2 long, chunk int, part int, counts binary"), "survey")
     thin = survey.where("n is not null").select("doc_id", "n", "d1", "d2")
@@ -455,11 +457,13 @@ def similarity_components(docs: DataFrame, id_column: str = "doc_id", text_colum
     block = F.pmod(F.col("token"), F.lit(max(shuffle_partitions(spark), -(-total // 4 // BLOCK)))).alias("block")
     pairs = materialise(entries.where(F.col("count") <= GROUP).groupBy(block).applyInPandas(_meet, "a long, b long").distinct(), "pairs")
     labels = _merge(_links(pairs, live), None)
-    members = entries.where(F.col("count") > GROUP).groupBy("token", "digest").agg(F.min(F.struct("a", "n", "pos")).alias("x"))
-    members = materialise(members.select("token", "x.*"), "members")
+    members = entries.where(F.col("count") > GROUP).groupBy("token", "count", "digest").agg(F.min(F.struct("a", "n", "pos")).alias("x"))
+    members = materialise(members.select("token", "count", "x.*"), "members")
     labels = _tie_groups(members, live, pairs, labels)
-    classes = thin.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    placed = thin.join(classes, ["d1", "d2"], "left")
+    linked = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    classes = materialise(thin.where(linked).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    placed = join_groups(thin.where(linked), classes, ["d1", "d2"], "rows").select("doc_id", "n", "rep")
+    placed = placed.union(thin.where(~linked).select("doc_id", "n", F.lit(None).cast("long")))
     shared = placed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x != y").select("doc_id")
     if shared.limit(1).count():
         ties = placed.join(shared, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -468,6 +472,6 @@ def similarity_components(docs: DataFrame, id_column: str = "doc_id", text_colum
         labels = tied
     named = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = materialise(named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")), "similar")
-    for x in (survey, chosen, pairs, members, labels):
+    for x in (survey, chosen, pairs, members, labels, classes):
         discard(x)
     return out

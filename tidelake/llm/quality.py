@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .base import discard, materialise
+from .base import bound_batches, discard, materialise
 
 #: Documents at most that the scorer is trained on, those of least id hash; hashed features; rounds of each fit.
 SAMPLE, DIMENSIONS, EM_ROUNDS, FIT_ROUNDS = 8000, 4096, 200, 600
@@ -176,6 +176,7 @@ def fit_scorer(samples: list[tuple[list[int], list[float], float]]) -> np.ndarra
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[dict[int, float], np.ndarray]:
     """(posterior of each vote pattern, weights of the scorer), learned from the texts alone."""
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     place = (F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5).alias("place")  # of the content too: ids may be missing or equal
     n = source.count()

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bound_batches
+
 SPACE = "▁"
 #: Entries of a generation of kept words and of pair tests; longer words are not kept.
 WORDS, PAIRS, LONGEST = 300_000, 400_000, 48
@@ -188,6 +190,7 @@ def read_model(path: str) -> bytes:
 
 def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of every row; null counts as empty and gives no ids. Rows are kept one to one."""
+    bound_batches(docs.sparkSession)
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +220,7 @@ def decode_documents(encoded: DataFrame, model_path: str, id_column: str = "doc_
 
 def encoded_with_digests(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, ids (array<int>), n_tokens, ids_sha256, decoded_sha256 of every row, in one pass without a shuffle; null counts as empty."""
+    bound_batches(docs.sparkSession)
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +240,7 @@ def encoded_with_digests(docs: DataFrame, model_path: str, id_column: str = "doc
 
 def encoding_digests(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode every whole text in one pass, without a shuffle."""
+    bound_batches(docs.sparkSession)
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
