@@ -5,7 +5,8 @@ white space folded; its digest is 128 bits of xxhash over that form. Documents
 are grouped by digest, and inside a bucket of several documents each one's
 canonical form is compared byte by byte with another's, so that equal
 fingerprints stand for equal forms: a document that differs from its bucket's
-first gets a fingerprint of its own. SQL functions only; normalisation and case
+first gets a fingerprint of its own. The edited forms, and texts that share an id,
+are held against their bucket by SHA-256 instead. SQL functions only; normalisation and case
 folding are static methods of the ICU library that Spark ships, called by
 Spark's ``reflect``.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialise
+from .base import join_groups, materialise
 
 #: Ids of one bucket of the successor search differ in this many low bits; parts of a bucket of equal digests.
 BITS, PARTS = 14, 1024
@@ -69,9 +70,9 @@ def _comparisons(prints: DataFrame) -> DataFrame:
     comparisons as it has members, and its first is sent to a bounded number.
     """
     prints = prints.where("id is not null").distinct()
-    several = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    several = materialise(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     part = Window.partitionBy("fp", F.pmod(F.xxhash64("id"), F.lit(PARTS))).orderBy("id")
-    return prints.join(several, "fp").select("id", F.coalesce(F.lag("id").over(part), "first").alias("other")).where("id != other")
+    return join_groups(prints, several, ["fp"], "n").select("id", F.coalesce(F.lag("id").over(part), "first").alias("other")).where("id != other")
 
 
 def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -89,16 +90,21 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     succession = predecessors(ids.select("id"))
     wanted = succession.join(ids, "id").select(F.col("next").alias("doc_id"), F.col("id").alias("for"), "need", F.lit(True).alias("head"))
     compared = _comparisons(thin.select(F.col("doc_id").alias("id"), "fp")).select(F.col("other").alias("doc_id"), F.col("id").alias("for"), F.lit(2**31 - 1).alias("need"), F.lit(False).alias("head"))
-    sent = base.where("doc_id is not null").join(wanted.union(compared), "doc_id").select(F.col("for").alias("doc_id"), "head", F.expr("substring(text, 1, need)").alias("piece"))
+    placed = base.where("doc_id is not null")  # dealt out by id once, for both joins
+    sent = placed.join(wanted.union(compared), "doc_id").select(F.col("for").alias("doc_id"), "head", F.expr("substring(text, 1, need)").alias("piece"))
     sent = sent.groupBy("doc_id").agg(F.max(F.when(F.col("head"), F.col("piece"))).alias("next_text"), F.max(F.when(~F.col("head"), F.col("piece"))).alias("other_text"))
-    joined = base.join(sent, "doc_id", "left").withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    none = F.lit(None).cast("string")
+    joined = placed.join(sent, "doc_id", "left").union(base.where("doc_id is null").select("doc_id", "text", none, none)).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - half)"), F.expr("substring(coalesce(next_text, text), 1, half)"))
     forms = joined.select("doc_id", "text", "other_text", edited.alias("edited")).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"), F.when(F.col("other_text").isNotNull(), canonical(F.coalesce("other_text", F.lit("")))).alias("other_form"))
     checked = F.coalesce((F.col("form") == F.col("other_form")) | (digest(F.col("form")) != digest(F.col("other_form"))), F.lit(True))
     out = materialise(
         forms.select("doc_id", "n_chars", "edited_sha256", digest(F.col("form")).alias("fp"), digest(F.col("edited_form")).alias("edited_fp"), (F.col("form") == F.col("edited_form")).cast("double").alias("near_edited"), F.sha2(F.col("form"), 256).alias("long"), F.sha2(F.col("edited_form"), 256).alias("edited_long"), checked.alias("checked")), "edited"
     )
-    broken = out.where(~F.col("checked")).select(F.col("fp").alias("b")).distinct()  # buckets of different forms: none is to be expected
+    # Buckets of different forms: none is to be expected. Edited forms and rows of one id are held against their bucket by SHA-256.
+    both = out.select("fp", "long").union(out.select("edited_fp", "edited_long"))
+    mixed = both.groupBy("fp").agg(F.min("long").alias("a"), F.max("long").alias("z")).where("a != z")
+    broken = out.where(~F.col("checked")).select(F.col("fp").alias("b")).union(mixed.select("fp")).distinct()
     prints = [("fp", "long", "fingerprint"), ("edited_fp", "edited_long", "edited_fingerprint")]
     if broken.limit(1).count():
         for fp, long, name in prints:
