@@ -1,12 +1,14 @@
 """Token-id output in training order.
 
-Texts are encoded, ended by an end id and cut into sequences of fixed length.
-Sequences are numbered 0..N-1, and a keyed Feistel permutation with
-cycle-walking gives each number a global slot: a bijection that needs no sort
-and no table. Slot ranges are shards; each is written as a file of fixed stride,
-so that a reader finds any slot by arithmetic, reads on sequentially and can
-resume anywhere. A shard depends on its slots alone and is put in place by a
-rename, so tasks may be run again.
+Texts are encoded once, ended by an end id and cut into sequences of fixed length.
+A sequence's number is its partition's and its place there; a keyed Feistel
+permutation with cycle-walking moves the numbers about their whole range, a
+bijection that needs no sort, no table and no count made beforehand. Ranges of
+permuted numbers are shards: each is written in that order as a file of fixed
+stride, and the shards' sizes, added up, give every sequence its global slot. So a
+reader finds any slot by the index of shards and arithmetic, reads on sequentially
+and can resume anywhere. A shard depends on its range alone and is put in place by
+a rename, so tasks may be run again.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialise, scratch_root
+from .base import bound_batches, materialise, scratch_root
 
 LENGTH, SHARD = 256, 1 << 16
 KEY, ROUNDS = 0x5DEECE66D1CE4E5B, 4
 END, PAD = 2, 0
+#: Numbers that each partition has for its sequences.
+EACH = 1 << 32
 #: Bytes of sequences gathered in a task before they are sent out.
 HELD = 16 << 20
 
@@ -54,51 +58,49 @@ _models: dict = {}
 
 
 def _tokens(model: bytes, texts: list[str | None]) -> list[np.ndarray]:
+    """Ids of texts with the end id, by one library object for each model and worker process."""
     import sentencepiece
 
     key = hashlib.sha256(model).digest()
     if key not in _models:
+        _models.clear()
         _models[key] = sentencepiece.SentencePieceProcessor(model_proto=model)
-    return [np.array([*ids, END], np.uint16) for ids in _models[key].encode([t or "" for t in texts], num_threads=1)]
-
-
-def _counts(model: bytes, length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        n = sum(-(-len(t) // length) for batch in batches for i in range(0, batch.num_rows, 128) for t in _tokens(model, batch.column(1).slice(i, 128).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
-
-    return run
+        if _models[key].vocab_size() > 1 << 16:
+            raise ValueError("ids are written as 16 bits")
+    out = []
+    for ids in _models[key].encode([t or "" for t in texts], num_threads=1):
+        ids.append(END)
+        out.append(np.fromiter(ids, np.uint16, len(ids)))
+    return out
 
 
 def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def _sequences(model: bytes, length: int, shard: int, starts: dict[int, tuple[int, int]], total: int, key: int):
-    names = ["shard", "n", "slots", "docs", "sizes", "data"]
+def _sequences(model: bytes, length: int, parts: int, width: int, key: int):
+    names = ["shard", "n", "slots", "docs", "known", "sizes", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, own = starts.get(TaskContext.get().partitionId(), (0, 0))
-        first = number
-        docs, sizes, rows, held = [], [], [], 0
+        number = TaskContext.get().partitionId() * EACH
+        docs, known, sizes, rows, held = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number
             data = np.concatenate(rows)
             n = len(data)
-            slots = permute(np.arange(number, number + n, dtype=np.uint64), total, key).astype(np.int64)
+            slots = permute(np.arange(number, number + n, dtype=np.uint64), parts * EACH, key).astype(np.int64)
             number += n
-            where = slots // shard
+            where = slots // width
             order = np.argsort(slots)
             bounds = np.flatnonzero(np.concatenate(([True], where[order][1:] != where[order][:-1], [True])))
-            doc, size = np.array(docs, np.int64), np.array(sizes, np.int32)
-            out = [(int(where[order[a]]), int(b - a), *(x[order[a:b]].tobytes() for x in (slots, doc, size)), _planes(data[order[a:b]].reshape(-1))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            docs.clear(), sizes.clear(), rows.clear()
-            types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            doc, given, size = np.array(docs, np.int64), np.array(known, bool), np.array(sizes, np.int32)
+            out = [(int(where[order[a]]), int(b - a), *(x[order[a:b]].tobytes() for x in (slots, doc, given, size)), _planes(data[order[a:b]].reshape(-1))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            for x in (docs, known, sizes, rows):
+                x.clear()
+            types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
         for batch in batches:
@@ -109,7 +111,8 @@ def _sequences(model: bytes, length: int, shard: int, starts: dict[int, tuple[in
                     cut = np.full(n * length, PAD, np.uint16)
                     cut[: len(t)] = t
                     rows.append(cut.reshape(n, length))
-                    docs += [-1 if doc is None else doc] * n
+                    docs += [doc or 0] * n
+                    known += [doc is not None] * n
                     sizes += [length] * (n - 1) + [len(t) - (n - 1) * length]
                     held += n * length * 2
                 if held > HELD:
@@ -117,41 +120,38 @@ def _sequences(model: bytes, length: int, shard: int, starts: dict[int, tuple[in
                     held = 0
         if rows:
             yield flush()
-        if number - first != own:
-            raise RuntimeError("the partitions of the documents changed between the two passes; write the table first")
 
     return run
 
 
 def write_training_order(docs: DataFrame, model_path: str, out: str | None = None, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
-    """Write the shards below out (a URI all executors share; by default in the scratch folder) and return shard, slot, doc_id, n_tokens, path of every sequence.
+    """Write shards of about that many sequences below out (a URI all executors share; by default in the scratch folder), with their index, and return shard, place, slot, doc_id, n_tokens, path, stride of every sequence.
 
-    docs must be a table scan or other plan whose partitions are the same each
-    time; this is checked. A null or empty text is a sequence with the end id
-    alone; a null id is returned as null. Rows are kept one to one, equal ids
-    included; other columns are ignored; an empty table writes nothing.
+    The order is the same whenever the table falls into the same partitions. A null
+    or empty text is a sequence with the end id alone; a null id is returned as
+    null, a negative one as it is. Rows are kept one to one, equal ids included;
+    other columns are ignored; an empty table writes no shard.
     """
     with open(model_path, "rb") as f:
         model = f.read()
     spark = docs.sparkSession
     out = out or f"{scratch_root(spark)}/order-{uuid.uuid4().hex}"
+    bound_batches(spark)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    counts = sorted((r.part, r.n) for r in source.mapInArrow(_counts(model, length), "part int, n long").collect())
-    starts, total = {}, 0
-    for part, n in counts:
-        starts[part] = (total, n)
-        total += n
+    guess = source.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / (4 * length)).first()[0]  # only sizes the shards
+    parts = max(1, source.rdd.getNumPartitions())
+    width = -(-parts * EACH // max(1, -(-int(guess) // shard)))
     stride = length * 2
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
-        slots, doc, size = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("slots", np.int64), ("docs", np.int64), ("sizes", np.int32)))
+        slots, doc, known, size = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("slots", np.int64), ("docs", np.int64), ("known", bool), ("sizes", np.int32)))
         data = np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(2, -1).T).view(np.uint16).reshape(-1, length) for b in pdf["data"]])
         number = int(pdf["shard"].iloc[0])
         order = np.argsort(slots)
-        if len(slots) != min(shard, total - number * shard) or (np.diff(slots[order]) != 1).any():
-            raise RuntimeError(f"shard {number} does not hold each of its slots once")
+        if (np.diff(slots[order]) < 1).any():
+            raise RuntimeError(f"shard {number} holds a sequence twice")
         name = f"shard-{number:08d}.bin"
         files, folder = fs.FileSystem.from_uri(out)
         files.create_dir(folder, recursive=True)
@@ -159,24 +159,30 @@ def write_training_order(docs: DataFrame, model_path: str, out: str | None = Non
             for i in range(0, len(order), 4096):
                 f.write(data[order[i : i + 4096]].tobytes())
         files.move(draft, f"{folder}/{name}")
-        return pd.DataFrame({"shard": number, "slot": slots[order], "doc_id": pd.Series(doc[order], dtype="Int64").where(doc[order] >= 0), "n_tokens": size[order].astype(np.int64), "path": f"{out}/{name}"})
+        return pd.DataFrame({"shard": number, "place": np.arange(len(order)), "doc_id": pd.Series(doc[order], dtype="Int64").where(known[order]), "n_tokens": size[order].astype(np.int64), "path": f"{out}/{name}"})
 
-    blocks = source.mapInArrow(_sequences(model, length, shard, starts, total, key), "shard long, n long, slots binary, docs binary, sizes binary, data binary")
-    written = blocks.groupBy("shard").applyInPandas(write, "shard long, slot long, doc_id long, n_tokens long, path string")
-    return materialise(written.withColumn("stride", F.lit(stride)), "order")
+    blocks = source.mapInArrow(_sequences(model, length, parts, width, key), "shard long, n long, slots binary, docs binary, known binary, sizes binary, data binary")
+    written = materialise(blocks.groupBy("shard").applyInPandas(write, "shard long, place long, doc_id long, n_tokens long, path string"), "order")
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    index = written.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.first("path").alias("path"))  # a row a shard
+    index.select("shard", "n", F.coalesce(before, F.lit(0)).alias("first"), "path").write.mode("overwrite").parquet(f"{out}/index")
+    firsts = spark.read.schema("shard long, n long, first long, path string").parquet(f"{out}/index").select("shard", "first")
+    slot = (F.col("first") + F.col("place")).alias("slot")
+    return written.join(firsts, "shard").select("shard", "place", slot, "doc_id", "n_tokens", "path", F.lit(stride).alias("stride"))
 
 
-def read_slots(out: str, first: int, n: int, length: int = LENGTH, shard: int = SHARD) -> np.ndarray:
+def read_slots(out: str, first: int, n: int, length: int = LENGTH) -> np.ndarray:
     """The sequences of slots first..first+n-1, read from their shards by offset."""
+    import pyarrow.parquet as pq
     from pyarrow import fs
 
     files, folder = fs.FileSystem.from_uri(out)
+    rows = pq.read_table(f"{folder}/index", filesystem=files).sort_by("first").to_pylist()
     parts = []
-    while n > 0:
-        number, at = divmod(first, shard)
-        take = min(n, shard - at)
-        with files.open_input_file(f"{folder}/shard-{number:08d}.bin") as f:
-            f.seek(at * length * 2)
-            parts.append(np.frombuffer(f.read(take * length * 2), np.uint16).reshape(-1, length))
-        first, n = first + take, n - take
+    for row in rows:
+        at, end = max(first, row["first"]), min(first + n, row["first"] + row["n"])
+        if at < end:
+            with files.open_input_file(f"{folder}/{row['path'].rpartition('/')[2]}") as f:
+                f.seek((at - row["first"]) * length * 2)
+                parts.append(np.frombuffer(f.read((end - at) * length * 2), np.uint16).reshape(-1, length))
     return np.concatenate(parts) if parts else np.zeros((0, length), np.uint16)
