@@ -81,6 +81,12 @@ class Encoder:
         self.segment = _Generations(self._segment, WORDS, LONGEST)
         self.word = _Generations(self._word, WORDS, LONGEST)
 
+    def forget(self) -> None:
+        """Empty the tables of frequent words, which a worker process would else hold while it does other things."""
+        for table in (self.segment, self.word):
+            table.clear()
+            table.old = {}
+
     def _merged(self, text: str) -> list[str]:
         """The merge loop itself; only pairs of pieces come here."""
         symbols, score = list(text), self.score
@@ -200,6 +206,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id"
                 part = batch.slice(start, 128)
                 ids = [e.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        e.forget()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -234,6 +241,7 @@ def encoded_with_digests(docs: DataFrame, model_path: str, id_column: str = "doc
                 flat = np.fromstring(",".join([x[1] for x in found if x[0]]), np.int32, sep=",")
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(sizes, pa.int64()), *map(pa.array, sha)], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -251,5 +259,6 @@ def encoding_digests(docs: DataFrame, model_path: str, id_column: str = "doc_id"
                 found = [e.digest(t or "") for t in part.column(1).to_pylist()]
                 sha = [[hashlib.sha256(x[k].encode("utf-8", "surrogatepass")).hexdigest() for x in found] for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.int64()), *map(pa.array, sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
