@@ -43,7 +43,7 @@ WORDS = 5
 NUM, DEN = 3, 4
 SKETCH_BITS, CHUNK_BITS = 20, 16
 #: Documents of a shingle that are paired at once; pivots of the first round, which double from round to round.
-GROUP, PIVOTS, ROUNDS = 16, 8, 2
+GROUP, PIVOTS, ROUNDS = 16, 8, 3
 #: Parts of a large group in which its pivots are looked for.
 PARTS = 64
 #: Documents of one cell of a shingle of extreme frequency, and of one cell of pairing out.
