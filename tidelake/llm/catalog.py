@@ -13,6 +13,7 @@ from .exact_dedup import dedup_groups
 from .filter_audit import audit
 from .fingerprints import edited_fingerprints
 from .licenses import license_labels
+from .minhash import near_duplicates
 from .mixing import curriculum
 from .ngram_join import similarity_components
 from .pii import personal_data
@@ -74,6 +75,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 OP4_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -159,6 +164,6 @@ FROM a{rounds} JOIN c{rounds} c ON j = cluster
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_personal_data, op4_exact_dedup, op5_chat_formatting, op6_license_scan, op7_quality_classifier, op8_source_mixing, op9_sentencepiece_codec, op10_training_order, op11_filter_audit, op12_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_document_fingerprints, op3_personal_data, op4_exact_dedup, op5_chat_formatting, op6_license_scan, op7_quality_classifier, op8_source_mixing, op9_sentencepiece_codec, op10_training_order, op11_filter_audit, op12_centroid_clustering, op13_minhash_near_dedup)}
 
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op8_source_mixing": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_centroid_clustering": _clusters_sql(CLUSTERS, ROUNDS, DIMENSIONS)}
