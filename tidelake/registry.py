@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import suite
+from .plans import suite, topic_queries  # noqa: F401  (registers its queries)
 
 flagship = suite.flagship
 
