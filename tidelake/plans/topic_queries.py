@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import network, topics
+from ..operators import neighbours, network, ranking, topics
+from ..operators.scratch import written
 from . import views as v
 from .suite import register
 
@@ -108,3 +109,92 @@ SELECT node, community FROM l{rounds}"""
 def _(spark, d):
     """Words that belong together by the documents that share them."""
     return network.communities(word_pairs(spark, d).select("a", "b", F.col("n_ab").alias("weight")), 12).select("node", "community")
+
+
+_EXAMPLES_SQL = """SELECT query_id, CAST(rank AS INTEGER) AS rank, id, similarity FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.x, e.x), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.x, e.x), 12) DESC, e.vec_id) AS rank
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) q JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) e ON q.vec_id % 20 = 0 AND {which}) WHERE rank <= 3"""
+
+
+def _asked(e: DataFrame) -> DataFrame:
+    return e.where("vec_id % 20 = 0")
+
+
+@register("nearest_examples", _EXAMPLES_SQL.format(which="q.vec_id <> e.vec_id"))
+def _(spark, d):
+    """The three nearest examples, exactly, by an index of cells and their radii."""
+    e = v.table(spark, d, "embeddings")
+    found = neighbours.search(neighbours.build(e, "vec_id"), _asked(e), 3, "vec_id", exact=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@register("nearest_past_examples", _EXAMPLES_SQL.format(which="e.vec_id < q.vec_id"))
+def _(spark, d):
+    """The same among what is older, vectors being numbered by time."""
+    e = v.table(spark, d, "embeddings")
+    found = neighbours.search(neighbours.build(e, "vec_id", at="vec_id"), _asked(e), 3, "vec_id", at="vec_id", exact=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@register("nearest_recall", "SELECT count(*) AS queries, true AS recall_of_nine_tenths FROM embeddings WHERE vec_id % 20 = 0")
+def _(spark, d):
+    """Whether a search of as many cells as other queries need finds nine tenths of what the exact one finds."""
+    e = v.table(spark, d, "embeddings")
+    index = neighbours.build(e, "vec_id")
+    probes = neighbours.calibrated(index, e.where("vec_id % 20 = 10"), 3, "vec_id")
+    truth, found = (neighbours.search(index, _asked(e), 3, "vec_id", probes=probes, exact=exact) for exact in (True, False))
+    return _asked(e).agg(F.count(F.lit(1)).alias("queries"), F.lit(neighbours.recall(found, truth) >= 0.9).alias("recall_of_nine_tenths"))
+
+
+FEATURES = ["n", "mean", "breadth", "changes", "disagreement"]
+
+
+def topic_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """Each topic's weeks with its signals, and whether it is in demand the week after: named more often than topics are on average."""
+    found = mentions(spark, d)
+    weekly = topics.signals(found, [*KEYS, "week"]).select(*KEYS, "week", "breadth", "changes", "disagreement")
+    rows = topics.weekly_burst(found, KEYS).join(weekly, [*KEYS, "week"], "left").fillna(0, ["breadth", "changes", "disagreement"])
+    rows = rows.withColumn("next", F.lead("n").over(Window.partitionBy(*KEYS).orderBy("week")))
+    rows = written(rows.select(*KEYS, "week", *FEATURES, "next"), "topic-weeks")
+    usual = rows.agg(F.avg("n")).first()[0]
+    return rows.select(*KEYS, "week", *FEATURES, (F.col("next") > F.lit(usual)).cast("int").alias("picked")).where("picked IS NOT NULL")
+
+
+def _ranking_sql() -> str:
+    """Gradient steps on four weeks of five, scores of the fifth."""
+    scaled = ", ".join(f"coalesce(({f} - avg({f}) FILTER (week % 5 <> 4) OVER ()) / coalesce(nullif(stddev_pop({f}) FILTER (week % 5 <> 4) OVER (), 0), 1), 0) AS x{i}" for i, f in enumerate(FEATURES))
+    k = range(len(FEATURES))
+    z = "b + " + " + ".join(f"w{i} * x{i}" for i in k)
+    steps = [f"""w{r + 1}_ AS MATERIALIZED (SELECT any_value(b) + avg(e) AS b, {', '.join(f'any_value(w{i}) + avg(e * x{i}) - {ranking.PENALTY} * any_value(w{i}) AS w{i}' for i in k)}
+  FROM (SELECT *, picked - 1 / (1 + exp(-({z}))) AS e FROM scaled, w{r}_ WHERE week % 5 <> 4))""" for r in range(ranking.ROUNDS)]
+    return f"""WITH {MENTIONS_SQL},
+counts AS (SELECT entity, theme, week, count(*) AS n FROM mentions GROUP BY ALL),
+ends AS (SELECT min(week) AS first, max(week) AS last FROM counts),
+dense AS (SELECT entity, theme, week, coalesce(n, 0) AS n FROM (SELECT entity, theme, unnest(range(min(week), (SELECT last FROM ends) + 1)) AS week FROM counts GROUP BY 1, 2) LEFT JOIN counts USING (entity, theme, week)),
+m AS (SELECT *, lead(n) OVER (PARTITION BY entity, theme ORDER BY week) AS next, avg(n) OVER () AS usual,
+             coalesce(sum(n) OVER (PARTITION BY entity, theme ORDER BY week RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING), 0)::DOUBLE / nullif(least(8, week - (SELECT first FROM ends)), 0) AS mean FROM dense),
+s AS (SELECT entity, theme, week, count(DISTINCT speaker) AS breadth, count(change) AS changes, count(*) FILTER (direction > 0) AS up, count(*) FILTER (direction < 0) AS down FROM mentions GROUP BY 1, 2, 3),
+r AS (SELECT entity, theme, week, n, mean, coalesce(breadth, 0) AS breadth, coalesce(changes, 0) AS changes, coalesce(CASE WHEN greatest(up, down) > 0 THEN least(up, down) / greatest(up, down) ELSE 0.0 END, 0) AS disagreement, CAST(next > usual AS INT) AS picked
+      FROM m LEFT JOIN s USING (entity, theme, week) WHERE next IS NOT NULL),
+scaled AS MATERIALIZED (SELECT *, {scaled} FROM r),
+w0_ AS (SELECT 0.0::DOUBLE AS b, {', '.join(f'0.0::DOUBLE AS w{i}' for i in k)}), {', '.join(steps)},
+scored AS (SELECT entity, theme, week, picked, 1 / (1 + exp(-({z}))) AS score FROM scaled, w{ranking.ROUNDS}_ WHERE week % 5 = 4)"""
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    rows = topic_weeks(spark, d)
+    model = ranking.fit(rows.where("week % 5 != 4"), FEATURES, "picked")
+    return rows.where("week % 5 = 4").select(*KEYS, "week", "picked", model.score().alias("score"))
+
+
+@register("topic_ranking", _ranking_sql() + " SELECT entity, theme, week, picked, round(score, 6) AS score FROM scored")
+def _(spark, d):
+    """Weeks that the fit has not seen, with the chance that the topic is in demand the week after."""
+    return _ranked(spark, d).withColumn("score", F.round("score", 6))
+
+
+@register("topic_ranking_judged", _ranking_sql() + """, h AS (SELECT picked, least(9999, floor(score * 10000)) AS step, count(*) AS c, sum(CASE WHEN picked = 1 THEN -ln(score) ELSE -ln(1 - score) END) AS loss FROM scored GROUP BY 1, 2)
+SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(c) FILTER (picked = 1) AS BIGINT) AS picked, round(sum(loss) / sum(c), 5) AS log_loss,
+       (SELECT round(sum(y.c * n.c * CASE WHEN y.step > n.step THEN 1.0 WHEN y.step = n.step THEN 0.5 ELSE 0 END) / (sum(y.c * n.c)), 4) FROM h y JOIN h n ON y.picked = 1 AND n.picked = 0) AS auc FROM h""")
+def _(spark, d):
+    return ranking.judged(_ranked(spark, d), "picked").withColumns({"auc": F.round("auc", 4), "log_loss": F.round("log_loss", 5)})
