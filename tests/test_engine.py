@@ -78,14 +78,99 @@ def test_history_of_unlabelled_loads(spark, store):
 
 
 def test_one_bad_key_does_not_stop_the_others(spark, store, monkeypatch):
-    write = Store.write_load
-    monkeypatch.setattr(Store, "write_load", lambda self, dataset, *a: (_ for _ in ()).throw(RuntimeError("x" * 3000)) if dataset == "bad" else write(self, dataset, *a))
+    write = Store._write_rows
+    monkeypatch.setattr(Store, "_write_rows", lambda self, good, keys: (_ for _ in ()).throw(RuntimeError("x" * 3000)) if any(p.dataset == "bad" for p in keys) else write(self, good, keys))
     both = shipments(spark, SHIPMENTS).union(shipments(spark, SHIPMENTS).withColumn("dataset", F.lit("bad")))
     out = store.snapshot(both)
     assert {r["dataset"]: r["status"] for r in out} == {"bad": "error", "shipments": "ok"}
     assert len(store.table("loads").where("status = 'error'").first().error) == 2000
 
 
+def test_a_failed_key_is_no_baseline(spark, store, monkeypatch):
+    compare = Store._compared
+
+    def failing(self, good, keys):
+        if any(p.label == "2026-08" for p in keys):
+            raise RuntimeError("no")
+        compare(self, good, keys)
+
+    rows = forecast(spark, ["2026-07", "2026-08"]).union(forecast(spark, ["2026-08"], 모델A=7).withColumn("vintage", F.lit("2026-09")))
+    monkeypatch.setattr(Store, "_compared", failing)
+    out = store.snapshot(rows, "vintage")
+    assert [(r["status"], r.get("report", {}).get("baseline")) for r in out] == [("ok", None), ("error", None), ("ok", out[0]["load_id"])]
+    assert (out[2]["report"]["changed"], out[2]["report"]["added"], len(out[2]["report"]["top"])) == (3, 0, 3)
+    monkeypatch.setattr(Store, "_compared", compare)
+    again = store.snapshot(rows, "vintage")
+    assert [r["status"] for r in again] == ["skipped_duplicate", "ok", "skipped_duplicate"] and again[1]["report"]["baseline"] == out[0]["load_id"]
+
+
+def test_jobs_of_a_snapshot_do_not_grow_with_its_keys(spark, tmp_path):
+    def jobs(n):
+        rows = [(f"d{i % 3}", "m", f"e{j}", "2024", float(i + j), f"20{10 + i}-01") for i in range(n) for j in range(3)]
+        df = spark.createDataFrame(rows, "dataset string, metric string, entity string, period string, value double, vintage string")
+        store, group = Store(spark, f"file://{tmp_path}/{n}"), f"snapshot-{n}"
+        store.snapshot(df, "vintage")
+        spark.sparkContext.setJobGroup(group, group)
+        out = store.snapshot(df.withColumn("value", F.col("value") + 1), "vintage")
+        spark.sparkContext.setJobGroup("other", "other")
+        assert [r["status"] for r in out] == ["ok"] * n and [r["report"]["changed"] for r in out] == [3] * n
+        assert sorted(r["load_id"] for r in out) == list(range(n + 1, 2 * n + 1))
+        assert store.observations().count() == 6 * n and store.table("reports").count() == 2 * n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(3), jobs(24)
+    assert many <= few + 6 and many < 60  # adaptive plans differ by a few jobs
+
+
+def test_snapshots_of_a_label_by_turns(spark, store):
+    for v, want in (("1", "ok"), ("2", "ok"), ("1", "ok"), ("1", "skipped_duplicate")):  # A-B-A is new, A-A is not
+        assert store.snapshot(shipments(spark, [("m", "e", "2024Q1", "", "", v)]))[0]["status"] == want
+
+
+def test_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(i):
+        own = Store(spark, f"file://{tmp_path}/s")
+        return [own.insert("ask_jobs", status="queued", message=f"{i}-{j}") for j in range(3)]
+
+    with ThreadPoolExecutor(4) as pool:
+        ids = [x for xs in pool.map(work, range(4)) for x in xs]
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert len(set(ids)) == 12 and sorted(r.id for r in store.table("ask_jobs").collect()) == sorted(ids)
+    with ThreadPoolExecutor(3) as pool:  # one of several workers gets a job
+        got = list(pool.map(lambda _: Store(spark, f"file://{tmp_path}/s").update("ask_jobs", ids[0], F.col("status") == "queued", status="running"), range(3)))
+    assert sorted(got) == [False, False, True]
+    state = store.state("ask_jobs")
+    assert not store.publish("ask_jobs", state[0], {"folders": [], "next": 1}) and store.state("ask_jobs") == state
+
+
+def test_snapshots_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(i):
+        return Store(spark, f"file://{tmp_path}/s").snapshot(shipments(spark, [("m", "e", "2024Q1", "", "", str(i % 2))]))[0]
+
+    with ThreadPoolExecutor(4) as pool:
+        out = list(pool.map(work, range(4)))
+    store = Store(spark, f"file://{tmp_path}/s")
+    loads = store.table("loads").collect()
+    assert len({r.id for r in loads}) == 4 and {r["load_id"] for r in out} == {r.id for r in loads}
+    held = {r.load_id for r in store.observations().collect()}
+    assert held == {r.id for r in loads if r.status == "ok"}
+
+
+def test_old_states_and_their_rows_go(spark, store, tmp_path, monkeypatch):
+    from tidelake.operators import tables as module
+
+    monkeypatch.setattr(module, "STATES", 3)
+    for i in range(6):
+        store.upsert("datasets", ["name"], spark.createDataFrame([("x", str(i), "")], "name string, title string, updated_at string"))
+    left = {p.name for p in (tmp_path / "datasets").iterdir() if not p.name.startswith(".")}
+    assert {x for x in left if x.startswith("v-")} == {"v-4", "v-5", "v-6"} and sum(x.startswith("w-") for x in left) == 3
+    assert [r.title for r in store.table("datasets").collect()] == ["5"]
+
+
 def test_rollup_mixes_and_pivots(spark):
     rows = [("m", "a", "", p, k, "s", v, "EA", i) for i, (p, k, v) in enumerate([("2025Q1", "20250100", 1.0), ("2025Q2", "20250400", 2.0), ("2025", "20250000", 10.0), ("x", "x", 5.0)])]
     df = spark.createDataFrame(rows, "metric string, entity string, region string, period string, period_sort string, source string, value double, unit string, seq long")
@@ -246,7 +331,7 @@ def test_resolver_is_shown_a_narrowed_catalog():
 
 
 def test_many_inserted_rows(spark, store, monkeypatch):
-    from tidelake.operators import store as module
+    from tidelake.operators import tables as module
 
     monkeypatch.setattr(module, "FILES", 4)
     assert [store.insert("ask_jobs", status="queued", message=str(i)) for i in range(6)] == list(range(1, 7))

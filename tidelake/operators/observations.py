@@ -63,22 +63,40 @@ def content_hashes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dataset", "version_label").agg(fingerprint().alias("content_hash"))
 
 
+def compare_sides(rows: DataFrame, keys: list[str] | tuple[str, ...] = DIM_FIELDS) -> DataFrame:
+    """keys, old, new, change (added, removed, changed or same) of rows with value, seq and ``new`` (whose side they are of): last values by key, in one shuffle."""
+    last = lambda own: F.max_by(F.when(own, F.col("value")), F.when(own, F.struct("seq", "value")))
+    new = F.col("new")
+    sides = rows.groupBy(*keys).agg(last(~new).alias("old"), last(new).alias("new"), F.count_if(~new).alias("n_old"), F.count_if(new).alias("n_new"))
+    change = F.when(F.col("n_old") == 0, "added").when(F.col("n_new") == 0, "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed").otherwise("same")
+    return sides.select(*keys, "old", "new", change.alias("change"))
+
+
 def compare(old: DataFrame, new: DataFrame, keys: list[str] | tuple[str, ...] = DIM_FIELDS) -> DataFrame:
-    """keys, old, new, change (added, removed, changed or same) of two sets of rows: one full outer join of their last values."""
-    a = last_values(old, keys).withColumn("in_old", F.lit(True)).withColumnRenamed("value", "old")
-    b = last_values(new, keys).withColumn("in_new", F.lit(True)).withColumnRenamed("value", "new")
-    change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed").otherwise("same")
-    return a.join(b, list(keys), "full_outer").select(*keys, "old", "new", change.alias("change"))
+    """compare_sides of two tables."""
+    side = lambda df, is_new: df.select(*keys, "value", "seq", F.lit(is_new).alias("new"))
+    return compare_sides(side(old, False).union(side(new, True)), keys)
 
 
 def change_counts(compared: DataFrame) -> DataFrame:
     return compared.agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed")))
 
 
+def with_relative(changed: DataFrame) -> DataFrame:
+    return changed.withColumn("relative", relative_change(F.col("old"), F.col("new")))
+
+
 def top_changes(compared: DataFrame, n: int = TOP) -> DataFrame:
     """The changes of greatest relative size; ties by key."""
     keys = [c for c in compared.columns if c not in ("old", "new", "change")]
-    return compared.where("change = 'changed'").withColumn("relative", relative_change(F.col("old"), F.col("new"))).orderBy(F.desc("relative"), *keys).limit(n)
+    return with_relative(compared.where("change = 'changed'")).orderBy(F.desc("relative"), *keys).limit(n)
+
+
+def top_by_group(rows: DataFrame, group: str, order: list, n: int, parts: int = 64) -> DataFrame:
+    """The first n rows of each group; the best of parts of a group are found first, so that no large group is sorted in one task."""
+    best = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    return best(best(rows.withColumn("_part", part), group, "_part").drop("_part"), group)
 
 
 def listed(compared: DataFrame, change: str, n: int = LISTED) -> DataFrame:

@@ -1,23 +1,27 @@
 """A versioned store of observations in Parquet: immutable loads and a ledger that commits them.
 
 Observations of a load are written first, its ledger row last; readers go through
-the ledger, so what a failed run leaves is never seen. One writer at a time.
-Tables of the ledger are thin and rewritten as a whole under the next number; the
-highest number whose write was completed is the table.
+the ledger, so what a failed run leaves is never seen. Load ids are reserved before
+anything is written, so writers at the same time never write to one load.
 """
 
 from __future__ import annotations
 
 import datetime
 import json
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.periods import parse
-from ..schema import DATASETS, LOADS, OBSERVATIONS, REPORTS
+from ..schema import DATASETS, DIM_FIELDS, LOADS, OBSERVATIONS, REPORTS
 from . import ledger, observations
+from .scratch import discard, written
+from .tables import Tables
+
 
 def _fields(text: str) -> T.StructType:
     kinds = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "strings": T.ArrayType(T.StringType())}
@@ -36,68 +40,32 @@ TABLES = {
 }
 
 
-#: Rows that are appended to a thin table before it is written anew as one file.
-FILES = 64
-
-
 def now() -> str:
     return datetime.datetime.now().strftime("%Y-%m-%dT%H:%M:%S")
 
 
-class Store:
+@dataclass
+class Planned:
+    """What becomes of one (dataset, label) of a snapshot. base is the load it is compared with, base_label that label's rows of the same snapshot."""
+
+    dataset: str
+    label: str
+    digest: str
+    stats: dict
+    order: str = ""
+    load_id: int | None = None
+    status: str = "ok"
+    base: int | None = None
+    base_label: str | None = None
+    error: str | None = None
+    report: dict = field(default_factory=dict)
+
+
+class Store(Tables):
     """Tables below a root path that Spark reads and writes."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    # -- thin tables ---------------------------------------------------------------------------
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _versions(self, name: str) -> list[int]:
-        """Numbers of the completed writes of a thin table."""
-        fs, p = self._fs(f"{self.root}/{name}")
-        found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
-        done = [x for x in found if x.getName().startswith("v-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-        return sorted(int(x.getName()[2:]) for x in done)
-
-    def table(self, name: str) -> DataFrame:
-        done = self._versions(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v-{done[-1]}") if done else self.spark.createDataFrame([], TABLES[name])
-
-    def replace(self, name: str, df: DataFrame) -> None:
-        """A thin table anew; readers see the old rows until the write is completed, and those that still read them can for two writes more."""
-        done = self._versions(name)
-        at = done[-1] + 1 if done else 1
-        df.select([f.name for f in TABLES[name].fields]).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/v-{at}")
-        for old in [n for n in done if n < at - 2]:
-            fs, p = self._fs(f"{self.root}/{name}/v-{old}")
-            fs.delete(p, True)
-
-    def insert(self, name: str, **values) -> int:
-        """Append one row with the next id, and return the id. The row is a file of its own; many of them are put together now and then."""
-        new_id = (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
-        row = self.spark.createDataFrame([tuple(({"id": new_id} | values).get(f.name) for f in TABLES[name].fields)], TABLES[name])
-        done = self._versions(name)
-        if not done:
-            self.replace(name, row)
-        elif new_id % FILES:
-            row.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/v-{done[-1]}")
-        else:
-            self.replace(name, self.table(name).unionByName(row))
-        return new_id
-
-    def upsert(self, name: str, keys: list[str], rows: DataFrame) -> None:
-        self.replace(name, self.table(name).join(rows.select(keys), keys, "left_anti").unionByName(rows))
-
-    def update(self, name: str, row_id: int, **values) -> None:
-        df = self.table(name)
-        self.replace(name, df.withColumns({k: F.when(F.col("id") == row_id, F.lit(v)).otherwise(F.col(k)) for k, v in values.items()}))
-
-    def delete(self, name: str, row_id: int) -> None:
-        self.replace(name, self.table(name).where(F.col("id") != row_id))
+        super().__init__(spark, root, TABLES)
 
     # -- observations --------------------------------------------------------------------------
 
@@ -109,13 +77,6 @@ class Store:
             return self.spark.createDataFrame([], OBSERVATIONS)
         return self.spark.read.schema(OBSERVATIONS).parquet(path).select([f.name for f in OBSERVATIONS.fields])
 
-    def write_load(self, dataset: str, rows: DataFrame, n: int, content_hash: str, label: str, version_sort: str, started_at: str, report: dict) -> int:
-        load_id = (self.table("loads").agg(F.max("id")).first()[0] or 0) + 1
-        shaped = rows.select(F.lit(load_id).cast("long").alias("load_id"), *[f.name for f in OBSERVATIONS.fields[1:]])
-        shaped.repartitionByRange("metric", "entity", "period_sort").sortWithinPartitions("metric", "entity", "period_sort").write.mode("append").partitionBy("dataset", "load_id").parquet(f"{self.root}/observations")
-        self.replace("reports", self.table("reports").unionByName(self.spark.createDataFrame([(load_id, json.dumps(report, ensure_ascii=False))], REPORTS)))
-        return self.insert("loads", dataset=dataset, content_hash=content_hash, rows=n, status="ok", started_at=started_at, finished_at=now(), version_label=label, version_sort=version_sort)
-
     def write_skip(self, dataset: str, content_hash: str, label: str, version_sort: str, started_at: str) -> int:
         return self.insert("loads", dataset=dataset, content_hash=content_hash, rows=0, status="skipped_duplicate", started_at=started_at, finished_at=now(), version_label=label, version_sort=version_sort)
 
@@ -125,50 +86,145 @@ class Store:
     def upsert_dataset(self, name: str, title: str | None = None) -> None:
         self.upsert("datasets", ["name"], self.spark.createDataFrame([(name, title or name, now())], DATASETS))
 
-    def version_sort(self, dataset: str, label: str, started_at: str) -> str:
-        if label == "":
-            return ""
-        _, key, ok = parse(label)
-        if ok:
-            return f"P{key}"
-        seen = ledger.ok_loads(self.table("loads")).where((F.col("dataset") == dataset) & (F.col("version_label") == label)).orderBy("id").first()
-        return seen.version_sort if seen else f"F{started_at}"
-
     # -- snapshots -----------------------------------------------------------------------------
 
     def snapshot(self, source: DataFrame, version_column: str | None = None, seq: str | None = None, dry_run: bool = False) -> list[dict]:
-        """Normalise a source and write a load for each (dataset, label) whose content is new; one key's failure does not stop the others."""
+        """Normalise a source and write a load for each (dataset, label) whose content is new; one key's failure does not stop the others.
+
+        The number of Spark jobs is the same whatever the number of keys: the source
+        is normalised and written once, one comparison and one partitioned write
+        hold all keys, and the ledger gets all its rows in one commit. Only if a
+        step fails are the keys halved until the failing ones are alone. The
+        driver holds facts about keys, never observations.
+        """
         started = now()
-        rows = observations.normalize_rows(source, version_column, seq).cache()
+        rows = written(observations.normalize_rows(source, version_column, seq), "normal")
         try:
             stats = {(r.dataset, r.version_label): r.asDict() for r in observations.ingest_stats(rows).collect()}
             good = observations.kept(rows)
             hashes = {(r.dataset, r.version_label): r.content_hash for r in observations.content_hashes(good).collect()}
-            return [self._one(good, key, stats[key], hashes.get(key, ""), started, dry_run) for key in sorted(stats)]
+            first = None if dry_run or not stats else self.reserve("loads", len(stats))
+            keys = [Planned(d, v, hashes.get((d, v), ""), stats[d, v], load_id=None if first is None else first + i) for i, (d, v) in enumerate(sorted(stats))]
+            seen = self.state("loads")[0]
+            plan = self._planned(keys, started)
+            self._isolated(lambda some: self._compared(good, some), [p for p in plan if p.status == "ok"])
+            if any(p.status == "error" for p in plan):  # what was to be compared with a failed key has another baseline
+                again = self._planned(plan, started)
+                moved = [p for p, q in zip(again, plan, strict=True) if p.status == "ok" and (p.base, p.base_label) != (q.base, q.base_label)]
+                plan = again
+                self._isolated(lambda some: self._compared(good, some), moved)
+            if not dry_run:
+                self._isolated(lambda some: self._write_rows(good, some), [p for p in plan if p.status == "ok"])
+                self._committed(plan, started, seen)
+            return [self._outcome(p, dry_run) for p in plan]
         finally:
-            rows.unpersist()
-
-    def _one(self, good: DataFrame, key: tuple[str, str], stats: dict, digest: str, started: str, dry_run: bool) -> dict:
-        dataset, label = key
-        out = {"dataset": dataset, "version_label": label, "status": "ok"}
+            discard(rows)
+
+    def _outcome(self, p: Planned, dry_run: bool) -> dict:
+        out = {"dataset": p.dataset, "version_label": p.label, "status": p.status, "load_id": None if dry_run else p.load_id}
+        return out | ({"error": p.error} if p.status == "error" else {"report": p.report} if p.status == "ok" else {})
+
+    def _known(self, datasets: list[str]) -> list:
+        """The newest ok load of each label and sort of some datasets; one row each."""
+        own = ledger.ok_loads(self.table("loads")).where(F.col("dataset").isin(datasets))
+        return own.groupBy("dataset", "version_label", "version_sort").agg(F.max(F.struct("id", "content_hash")).alias("x"), F.min("id").alias("oldest")).select("dataset", "version_label", "version_sort", "x.*", "oldest").collect()
+
+    def _planned(self, keys: list[Planned], started: str) -> list[Planned]:
+        """Which keys are new, and what each is compared with: the newest load of the same sort, else of the next lower, those of this snapshot included."""
+        newest: dict[tuple[str, str], tuple[int, str]] = {}
+        sorts: dict[tuple[str, str], tuple[int, str]] = {}
+        loads: dict[str, list[tuple[str, int, str | None]]] = {}
+        for r in self._known(sorted({k.dataset for k in keys})) if keys else []:
+            key = (r.dataset, r.version_label)
+            newest[key] = max(newest.get(key, (0, "")), (r.id, r.content_hash))
+            sorts[key] = min(sorts.get(key, (r.oldest, r.version_sort)), (r.oldest, r.version_sort))
+            loads.setdefault(r.dataset, []).append((r.version_sort, r.id, None))
+        out = []
+        for k in keys:
+            key = (k.dataset, k.label)
+            if k.status == "error":
+                out.append(k)
+                continue
+            _, sort, ok = parse(k.label)
+            order = "" if k.label == "" else f"P{sort}" if ok else sorts[key][1] if key in sorts else f"F{started}"
+            if key in newest and newest[key][1] == k.digest:
+                out.append(replace(k, order=order, status="skipped_duplicate"))
+                continue
+            below = max((x for x in loads.get(k.dataset, []) if x[0] <= order), key=lambda x: x[:2], default=None)
+            base = {"base": below and below[1], "base_label": below and below[2]}
+            out.append(replace(k, order=order, report={**{n: v for n, v in k.stats.items() if n not in ("dataset", "version_label")}, "baseline": base["base"]} if (k.base, k.base_label) != tuple(base.values()) or not k.report else k.report, **base))
+            if k.load_id is not None:
+                loads.setdefault(k.dataset, []).append((order, k.load_id, k.label))
+        return out
+
+    def _isolated(self, step: Callable[[list[Planned]], None], keys: list[Planned]) -> None:
+        """Run a step on all keys at once; if it fails, on halves, until a key that fails is alone and is marked."""
+        if not keys:
+            return
         try:
-            loads = self.table("loads")
-            before = ledger.latest_per_label(loads.where(F.col("dataset") == dataset)).where(F.col("version_label") == label).first()
-            order = self.version_sort(dataset, label, started)
-            if not dry_run:
-                self.upsert_dataset(dataset)
-            if before is not None and before.content_hash == digest:
-                return out | {"status": "skipped_duplicate", "load_id": None if dry_run else self.write_skip(dataset, digest, label, order, started)}
-            own = good.where((F.col("dataset") == dataset) & (F.col("version_label") == label))
-            base = ledger.baseline(loads, dataset, order)
-            report = {k: v for k, v in stats.items() if k not in key} | {"baseline": base}
-            if base is not None:
-                compared = observations.compare(self.observations().where((F.col("dataset") == dataset) & (F.col("load_id") == base)), own)
-                report |= observations.change_counts(compared).first().asDict() | {"top": [r.asDict() for r in observations.top_changes(compared).collect()]}
-                report |= {f"{c}_keys": [list(r) for r in observations.listed(compared, c).collect()] for c in ("added", "removed")}
-            return out | {"report": report, "load_id": None if dry_run else self.write_load(dataset, own, stats["rows"], digest, label, order, started, report)}
+            step(keys)
         except Exception as e:  # recorded in the ledger; the other keys go on
-            return out | {"status": "error", "error": str(e)[:2000], "load_id": None if dry_run else self.write_error(dataset, label, str(e), started)}
+            if len(keys) == 1:
+                keys[0].status, keys[0].error = "error", str(e)[:2000]
+                return
+            self._isolated(step, keys[: len(keys) // 2])
+            self._isolated(step, keys[len(keys) // 2 :])
+
+    def _compared(self, good: DataFrame, keys: list[Planned]) -> None:
+        """Add to each key's report how it differs from its baseline: one comparison for all of them."""
+        keys = [p for p in keys if p.base is not None]
+        if not keys:
+            return
+        spark = self.spark
+        named = spark.createDataFrame([(i, p.dataset, p.label, p.base, p.base_label) for i, p in enumerate(keys)], "k int, dataset string, version_label string, base long, base_label string")
+        side = lambda df, new: df.select("k", *DIM_FIELDS, "value", "seq", F.lit(new).alias("new"))
+        rows = side(good.join(named, ["dataset", "version_label"]), True)
+        siblings = named.where("base_label IS NOT NULL").select("k", "dataset", F.col("base_label").alias("version_label"))
+        rows = rows.union(side(good.join(siblings, ["dataset", "version_label"]), False))
+        stored = sorted({p.base for p in keys if p.base_label is None})
+        if stored:  # their partitions alone are read
+            old = self.observations().where(F.col("load_id").isin(stored)).withColumnRenamed("load_id", "base")
+            rows = rows.union(side(old.join(named.where("base_label IS NULL").select("k", "dataset", "base"), ["dataset", "base"]), False))
+        changes = written(observations.compare_sides(rows, ["k", *DIM_FIELDS]).where("change != 'same'"), "changes")
+        counts = {r.k: r.asDict() for r in changes.groupBy("k").agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed"))).collect()}
+        found: dict = {}
+        for r in observations.top_by_group(observations.with_relative(changes.where("change = 'changed'")), "k", [F.desc("relative"), *DIM_FIELDS], observations.TOP).collect():
+            found.setdefault((r.k, "top"), []).append({n: v for n, v in r.asDict().items() if n != "k"})
+        for c in ("added", "removed"):
+            for r in observations.top_by_group(changes.where(F.col("change") == c).select("k", *DIM_FIELDS), "k", list(DIM_FIELDS), observations.LISTED).collect():
+                found.setdefault((r.k, f"{c}_keys"), []).append([r[x] for x in DIM_FIELDS])
+        for i, p in enumerate(keys):
+            p.report |= {c: counts.get(i, {}).get(c, 0) for c in ("added", "removed", "changed")} | {n: found.get((i, n), []) for n in ("top", "added_keys", "removed_keys")}
+        discard(changes)
+
+    def _write_rows(self, good: DataFrame, keys: list[Planned]) -> None:
+        """The observations of all keys in one write, a partition for each load."""
+        ids = self.spark.createDataFrame([(p.dataset, p.label, p.load_id) for p in keys], "dataset string, version_label string, load_id long")
+        shaped = good.join(ids, ["dataset", "version_label"]).select([f.name for f in OBSERVATIONS.fields])
+        order = ["load_id", "metric", "entity", "period_sort"]
+        shaped.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("dataset", "load_id").parquet(f"{self.root}/observations")
+
+    def _committed(self, plan: list[Planned], started: str, seen: int) -> None:
+        """All ledger rows at once. If other writers came first, a key that they gave the same content is a duplicate and its rows go."""
+        if not plan:
+            return
+        if self.state("loads")[0] != seen:
+            newest: dict = {}
+            for r in self._known(sorted({p.dataset for p in plan})):
+                newest[r.dataset, r.version_label] = max(newest.get((r.dataset, r.version_label), (0, "")), (r.id, r.content_hash))
+            for p in plan:
+                if p.status == "ok" and newest.get((p.dataset, p.label), (0, ""))[1] == p.digest:
+                    p.status = "skipped_duplicate"
+                    folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(p.dataset)
+                    fs, path = self._fs(f"{self.root}/observations/dataset={folder}/load_id={p.load_id}")
+                    fs.delete(path, True)
+        names = sorted({p.dataset for p in plan})
+        self.upsert("datasets", ["name"], self.spark.createDataFrame([(n, n, now()) for n in names], DATASETS))
+        ok = [p for p in plan if p.status == "ok"]
+        if ok:
+            self.append("reports", self.spark.createDataFrame([(p.load_id, json.dumps(p.report, ensure_ascii=False)) for p in ok], REPORTS))
+        rows = [(p.load_id, p.dataset, "" if p.status == "error" else p.digest, p.stats["rows"] if p.status == "ok" else 0, p.status, p.error, started, now(), p.label, "" if p.status == "error" else p.order) for p in plan]
+        self.append("loads", self.spark.createDataFrame(rows, LOADS))
 
     def get_load(self, load_id: int) -> dict | None:
         row = self.table("loads").where(F.col("id") == load_id).join(self.table("reports").withColumnRenamed("load_id", "id"), "id", "left").first()

@@ -425,28 +425,25 @@ class Jobs:
         return self.store.insert("ask_jobs", status="queued", message=message, created_at=now())
 
     def cancel(self, job_id: int) -> bool:
-        row = self.store.table("ask_jobs").where((F.col("id") == job_id) & F.col("status").isin("queued", "running")).first()
-        if row:
-            self.store.update("ask_jobs", job_id, status="cancelled", finished_at=now())
-        return row is not None
+        return self.store.update("ask_jobs", job_id, F.col("status").isin("queued", "running"), status="cancelled", finished_at=now())
 
     def reap(self) -> None:
         """Jobs left running by a stopped process become errors."""
-        df = self.store.table("ask_jobs")
         stale = F.col("status") == "running"
-        self.store.replace("ask_jobs", df.withColumns({"error": F.when(stale, "interrupted").otherwise(F.col("error")), "status": F.when(stale, "error").otherwise(F.col("status"))}))
+        self.store.change("ask_jobs", lambda df: df.withColumns({"error": F.when(stale, "interrupted").otherwise(F.col("error")), "status": F.when(stale, "error").otherwise(F.col("status"))}))
 
     def run_next(self) -> int | None:
-        head = self.store.table("ask_jobs").where("status = 'queued'").orderBy("id").first()
-        if head is None:
-            return None
-        self.store.update("ask_jobs", head.id, status="running", started_at=now())
+        while True:
+            head = self.store.table("ask_jobs").where("status = 'queued'").orderBy("id").first()
+            if head is None:
+                return None
+            if self.store.update("ask_jobs", head.id, F.col("status") == "queued", status="running", started_at=now()):  # else another worker has it
+                break
         try:
             done = {"status": "done", "result": json.dumps(self.answer(head.message), ensure_ascii=False, default=str)}
         except Exception as e:  # the job's outcome
             done = {"status": "error", "error": str(e)[:2000]}
-        if self.store.table("ask_jobs").where(F.col("id") == head.id).first().status == "running":  # else cancelled meanwhile
-            self.store.update("ask_jobs", head.id, finished_at=now(), **done)
+        self.store.update("ask_jobs", head.id, F.col("status") == "running", finished_at=now(), **done)  # unless cancelled meanwhile
         return head.id
 
     def recent(self, n: int = 20) -> list[dict]:
