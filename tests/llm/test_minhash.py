@@ -45,9 +45,10 @@ def test_awkward_rows(spark):
     assert result(minhash.near_duplicates(frame(spark, rows))) == brute(rows)
 
 
-@pytest.mark.parametrize("square", [1000, 7])
-def test_families_of_borderline_similarity(spark, monkeypatch, square):
-    monkeypatch.setattr(minhash, "SQUARE", square)
+@pytest.mark.parametrize(("side", "first"), [(1000, 6), (7, 6), (20, 1)])
+def test_families_of_borderline_similarity(spark, monkeypatch, side, first):
+    monkeypatch.setattr(minhash, "SIDE", side)
+    monkeypatch.setattr(minhash, "FIRST", first)
     rows = near_copies(60, 1) + near_copies(40, 2, edits=3) + near_copies(20, 3, words=20, edits=1) + near_copies(25, 4, words=60, edits=2)
     rows += [(99, None), (98, ""), (97, "one two"), (96, "One  two"), (95, " ".join(f"w{i}" for i in range(4))), (94, "")]
     chain = [f"c{i}" for i in range(60)]

@@ -3,16 +3,18 @@
 1. One pass over the texts gives each document's shingle-set size, digest and
    minima under independent hashes. Of each minimum its low bits are kept, packed;
    every few whole minima make the key of one band.
-2. Equal sets are one class. Classes that share a band key are candidates. A key
-   of two classes is a pair. In a larger bucket all members are held against one
-   pivot, the member with most company over all bands, so a family of near copies
-   meets at its centre and costs about its size.
-3. A pair's similarity is estimated from its packed signatures by a count of equal
-   low bits, corrected for chance collisions. What is below any estimate that a
-   similar pair may have is dropped.
-4. The best candidate of each member is confirmed on the full shingle sets, then
-   what is still in different components. Buckets whose members are apart after
-   that are paired out in squares of bounded size, under the same estimate.
+2. Equal sets are one class. Classes that share a band key are candidates. Their
+   similarity is estimated from the packed signatures by a count of equal low bits,
+   corrected for chance collisions; what is below any estimate that a similar pair
+   may have is dropped.
+3. In a first step only a few bands are used, and a bucket's members are held against
+   one pivot, its least id. Each member's best candidate is confirmed on the full
+   shingle sets. That ties most of a family of near copies at the cost of its size.
+4. Of all bands, the buckets are then taken up whose members are still in different
+   components. In each of them the members outside its largest component are held
+   against all others, in cells of bounded size and under the same estimate, and
+   confirmed: each one's best candidate first, then what is still apart. So every
+   pair that shares a band is in one component or has been held against the other.
 5. Components of the confirmed links.
 
 Bands and the least estimate are chosen by the chance (``MISS``) that a pair of just
@@ -29,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -45,8 +47,8 @@ MISS = 1e-8
 ROWS, BITS = 4, 4
 BANDS = 4 * ceil(log(MISS) / log(1 - (NUM / DEN) ** ROWS) / 4)
 MINIMA = BANDS * ROWS
-#: Members of one side of a square; words of the bitmap of ids.
-SQUARE, BITMAP = 1000, 1 << 20
+#: Bands of the first step; members of one side of a cell; words of the bitmap of ids.
+FIRST, SIDE, BITMAP = 6, 1000, 1 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(4711)
 _TIMES = _RNG.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64) * _U(2) + _U(1)
@@ -124,24 +126,17 @@ def _survey(words: int):
     return run
 
 
-def _sizes_allow(na: str, nb: str) -> Column:
-    return F.expr(f"{DEN} * least({na}, {nb}) >= {NUM} * greatest({na}, {nb})")
-
-
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, likeness of the pairs (a, b, na, nb, sig_a, sig_b) that may be similar by their sizes and signatures."""
     for batch in batches:
+        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        batch = batch.filter(pa.array(DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)))
         if batch.num_rows:
             found = likeness(equal_parts(*(_words_of(batch.column(c).to_pylist()) for c in ("sig_a", "sig_b"))))
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["a", "b", "likeness"])
             yield out.filter(pa.array(found >= _LEAST))
 
 
-def estimate(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """a, b, likeness of the pairs that may be similar by their signatures."""
-    side = lambda c: sigs.select(F.col("a").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated, "a long, b long, likeness double")
-
-
 def _confirmed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, np.uint64)
@@ -187,17 +182,78 @@ def _lettered(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(labels.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    return _lettered(_lettered(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca != cb").select("a", "b")
+def _best(candidates: DataFrame) -> DataFrame:
+    return materialise(candidates.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b")), "best")
+
+
+def _pivot_links(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Confirmed links (a, b) of each class with the best of the pivots that it meets in the first bands."""
+    entries = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sig_a"), F.explode(F.slice("bands", 1, FIRST)).alias("key"))
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("a", "na", "sig_a")).alias("p")).where("size > 1")
+    buckets = materialise(buckets.select("key", "size", F.col("p.a").alias("b"), F.col("p.na").alias("nb"), F.col("p.sig_a").alias("sig_b")), "buckets")
+    met = join_groups(entries, buckets, ["key"], "size").where("a != b").select("a", "b", "na", "nb", "sig_a", "sig_b")
+    best = _best(met.mapInArrow(_estimated, "a long, b long, likeness double"))
+    links = materialise(confirm(best, texts, words), "links")
+    discard(buckets)
+    discard(best)
+    return links
+
+
+def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of some cells of open buckets, the pairs of an outsider and a member of another component that may be similar."""
+    _, cell = np.unique(np.stack([pdf[c].to_numpy(np.int64) for c in ("key", "row", "column")]), axis=1, return_inverse=True)
+    order = np.lexsort((pdf["outside"].to_numpy(), cell))
+    cell = cell[order]
+    doc, comp, n, outside = (pdf[c].to_numpy()[order] for c in ("a", "comp", "n", "outside"))
+    sig = _words_of(pdf["sig"].tolist())[order]
+    out = [pd.DataFrame({"a": [], "b": [], "likeness": []}).astype({"a": "int64", "b": "int64"})]
+    ends = np.flatnonzero(np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
+    for first, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        middle = first + int(np.searchsorted(outside[first:end], True))
+        for at in range(middle, end, 256):
+            x = np.arange(at, min(at + 256, end))
+            fits = (comp[x][:, None] != comp[first:middle]) & (DEN * np.minimum(n[x][:, None], n[first:middle]) >= NUM * np.maximum(n[x][:, None], n[first:middle]))
+            i, j = np.nonzero(fits)
+            i, j = x[i], j + first
+            for part in range(0, len(i), 1 << 16):
+                p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+                found = likeness(equal_parts(sig[p], sig[q]))
+                ok = found >= _LEAST
+                out.append(pd.DataFrame({"a": np.maximum(doc[p], doc[q])[ok], "b": np.minimum(doc[p], doc[q])[ok], "likeness": found[ok]}))
+    return pd.concat(out).drop_duplicates()
+
+
+def _pairs_apart(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every pair of classes of different components that shares a band and may be similar, in cells of SIDE outsiders and SIDE members."""
+    own = materialise(_lettered(classes.select(F.col("rep").alias("a"), "n", "sig", "bands"), labels, "a", "comp"), "lettered")
+    keys = own.select("comp", F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    keys = materialise(keys.select("key", "size"), "open")
+    spots = materialise(join_groups(own.select("a", "n", "comp", "sig", F.explode("bands").alias("key")), keys, ["key"], "size"), "spots")
+    parts = spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("x"))
+    deal = lambda c: F.ceil(c / SIDE).cast("int")
+    sizes = parts.select("key", "size", F.col("x.comp").alias("largest"), deal(F.col("size")).alias("columns"), deal(F.col("size") - F.col("x.c")).alias("rows"))
+    sizes = materialise(sizes, "cells")
+    met = join_groups(spots.drop("size"), sizes, ["key"], "size").withColumn("spot", F.xxhash64("a"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = lambda c: F.pmod("spot", F.col(c)).cast("int")
+    members = met.select("key", "a", "n", "comp", "sig", F.lit(False).alias("outside"), every("rows").alias("row"), mine("columns").alias("column"))
+    outsiders = met.where("comp != largest").select("key", "a", "n", "comp", "sig", F.lit(True).alias("outside"), mine("rows").alias("row"), every("columns").alias("column"))
+    total = sizes.agg(F.coalesce(F.sum(F.col("size") * F.col("rows")), F.lit(0))).first()[0]
+    block = F.pmod(F.xxhash64("key", "row", "column"), F.lit(max(1, total // (10 * SIDE)))).alias("block")
+    found = materialise(members.union(outsiders).groupBy(block).applyInPandas(_across, "a long, b long, likeness double").distinct(), "across")
+    for x in (own, keys, spots, sizes):
+        discard(x)
+    return found
 
 
-def _settle(candidates: DataFrame, labels: DataFrame | None, texts: DataFrame, words: int) -> DataFrame:
-    """labels, merged by all similar candidates (a, b, likeness): each member's best one first, then those that are still apart."""
-    best = materialise(candidates.groupBy("a").agg(F.max_by("b", F.struct("likeness", "b")).alias("b")), "best")
+def _settle(candidates: DataFrame, labels: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """labels, merged by all similar candidates (a, b, likeness): each one's best first, then those that are still apart."""
+    best = _best(candidates)
     links = materialise(confirm(best, texts, words), "links")
     labels = _merged(links, labels)
     rest = candidates.select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = materialise(_apart(rest, labels).distinct(), "rest")
+    rest = _lettered(_lettered(rest, labels, "a", "ca"), labels, "b", "cb").where("ca != cb").select("a", "b")
+    rest = materialise(rest, "rest")
     if rest.limit(1).count():
         more = materialise(confirm(rest, texts, words), "links")
         labels = _merged(more, labels)
@@ -207,43 +263,6 @@ def _settle(candidates: DataFrame, labels: DataFrame | None, texts: DataFrame, w
     return labels
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of some squares of large buckets, the pairs of different components that may be similar."""
-    _, square = np.unique(np.stack([pdf[c].to_numpy(np.int64) for c in ("key", "row", "column")]), axis=1, return_inverse=True)
-    doc, comp, n, side, cross = (pdf[c].to_numpy() for c in ("a", "comp", "n", "side", "cross"))
-    sig = _words_of(pdf["sig"].tolist())
-    order = np.lexsort((n, square))
-    square, doc, comp, n, side, cross, sig = (x[order] for x in (square, doc, comp, n, side, cross, sig))
-    out, i = [], np.arange(len(doc))
-    for d in range(1, len(doc)):
-        i = i[: np.searchsorted(i, len(doc) - d)]
-        i = i[(square[i] == square[i + d]) & (n[i] * DEN >= NUM * n[i + d])]  # by size: what is further off is longer yet
-        if not len(i):
-            break
-        j = i[(comp[i] != comp[i + d]) & ((side[i] != side[i + d]) | ~cross[i])]
-        found = likeness(equal_parts(sig[j], sig[j + d]))
-        ok = found >= _LEAST
-        out.append(pd.DataFrame({"a": np.maximum(doc[j], doc[j + d])[ok], "b": np.minimum(doc[j], doc[j + d])[ok], "likeness": found[ok]}))
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": [], "likeness": []}).astype({"a": "int64", "b": "int64"})
-
-
-def _pairs_apart(spots: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Every pair of different components in some bucket (key, a, n) that may be similar, by squares of at most about 2 * SQUARE members."""
-    lettered = materialise(_lettered(spots.select("key", "a", "n"), labels, "a", "comp"), "lettered")
-    cells = lettered.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    cells = materialise(cells.select("key", "size", F.ceil(F.col("size") / SQUARE).cast("int").alias("cells")), "cells")
-    own = join_groups(lettered, cells, ["key"], "size").join(sigs.select("a", "sig"), "a")
-    own = own.withColumn("side", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    own = own.select("key", "a", "n", "comp", "sig", "side", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("column"))
-    own = own.withColumn("cross", F.col("row") != F.col("column"))
-    rows = cells.agg(F.coalesce(F.sum(F.col("size") * F.col("cells")), F.lit(0))).first()[0]
-    block = F.pmod(F.xxhash64("key", "row", "column"), F.lit(max(1, rows // (20 * SQUARE)))).alias("block")
-    found = materialise(own.groupBy(block).applyInPandas(_across, "a long, b long, likeness double").distinct(), "across")
-    discard(lettered)
-    discard(cells)
-    return found
-
-
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row, for shingles of that many words and a similarity of NUM / DEN or more.
 
@@ -258,24 +277,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     linked = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
     classes = survey.where(linked).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "sig", "bands")).alias("x"), F.count(F.lit(1)).alias("rows"))
     classes = materialise(classes.select("d1", "d2", "rows", F.col("x.doc_id").alias("rep"), "x.n", "x.sig", "x.bands"), "classes")
-    sigs = classes.select(F.col("rep").alias("a"), "sig")
-    entries = classes.select(F.col("rep").alias("a"), "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("a", "n")).alias("low"), F.max(F.struct("a", "n")).alias("high")).where("size > 1")
-    buckets = materialise(buckets, "buckets")
-    twos = buckets.where("size = 2").select(F.col("high.a").alias("a"), F.col("low.a").alias("b"), F.col("high.n").alias("na"), F.col("low.n").alias("nb"))
-    spots = materialise(join_groups(entries, buckets.where("size > 2").select("key", "size"), ["key"], "size"), "spots")
-    company = spots.groupBy("a").agg(F.sum("size").alias("company"))
-    pivots = spots.join(company, "a").groupBy("key", "size").agg(F.max(F.struct("company", "a", "n")).alias("p"))
-    pivots = materialise(pivots.select("key", "size", F.col("p.a").alias("b"), F.col("p.n").alias("nb")), "pivots")
-    held = join_groups(spots.select("key", "a", F.col("n").alias("na")), pivots, ["key"], "size").select("a", "b", "na", "nb")
-    pairs = twos.union(held).where((F.col("a") != F.col("b")) & _sizes_allow("na", "nb")).select("a", "b").distinct()
-    candidates = materialise(estimate(pairs, sigs), "candidates")
-    labels = _settle(candidates, None, source, words)
-    across = _pairs_apart(spots, labels, sigs)
-    tested = candidates.select("a", "b").union(candidates.select("b", "a"))
-    fresh = materialise(across.join(tested, ["a", "b"], "left_anti"), "fresh")
-    if fresh.limit(1).count():
-        labels = _settle(fresh, labels, source, words)
+    links = _pivot_links(classes, source, words)
+    labels = _merged(links, None)
+    across = _pairs_apart(classes, labels)
+    if across.limit(1).count():
+        labels = _settle(across, labels, source, words)
     thin = survey.select("doc_id", "n", "d1", "d2")
     placed = join_groups(thin.where(linked), classes.select("d1", "d2", "rep", "rows"), ["d1", "d2"], "rows").select("doc_id", "n", "rep")
     placed = placed.union(thin.where(~linked).select("doc_id", "n", F.lit(None).cast("long")))
@@ -286,6 +292,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     out = materialise(out, "near")
-    for x in (survey, classes, buckets, spots, pivots, candidates, across, fresh, labels):
+    for x in (survey, classes, links, across, labels):
         discard(x)
     return out
