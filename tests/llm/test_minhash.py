@@ -87,3 +87,20 @@ def test_similar_pairs_share_a_band():
         both, rest = r.integers(1, 1 << 63, 800, dtype=np.uint64), r.integers(1, 1 << 63, (2, 100), dtype=np.uint64)
         x, y = (minhash.signature(minhash.minima(np.concatenate([both, z]))) for z in rest)
         assert (x[1] == y[1]).any() and minhash.likeness(minhash.equal_parts(np.frombuffer(x[0], np.uint64)[None], np.frombuffer(y[0], np.uint64)[None])[0]) >= minhash.least_likeness()
+
+
+def test_bitmaps_reject_no_similar_pair():
+    r = np.random.default_rng(3)
+    kept = {0.8: 0, 0.6: 0}
+    for share in kept:
+        for n in [2, 5, 50, 400, 5000] * 20:
+            both = int(2 * n * share / (1 + share)) + (share == 0.8)
+            x = r.integers(0, 1 << 63, both, dtype=np.uint64)
+            a, b = (np.concatenate([x, r.integers(0, 1 << 63, n - both, dtype=np.uint64)]) for _ in range(2))
+            bits = []
+            for s in (a, b):
+                own = np.zeros(minhash.BITS_OF_SET, np.uint8)
+                own[(s % np.uint64(minhash.BITS_OF_SET)).astype(int)] = 1
+                bits.append(np.frombuffer(np.packbits(own).tobytes(), np.uint64)[None])
+            kept[share] += bool(minhash._may_match(*bits, np.array([2 * n]))[0])
+    assert kept[0.8] == 100 and kept[0.6] < 60

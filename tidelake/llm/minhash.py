@@ -12,9 +12,11 @@
    shingle sets. That ties most of a family of near copies at the cost of its size.
 4. Of all bands, the buckets are then taken up whose members are still in different
    components. In each of them the members outside its largest component are held
-   against all others, in cells of bounded size and under the same estimate, and
-   confirmed: each one's best candidate first, then what is still apart. So every
-   pair that shares a band is in one component or has been held against the other.
+   against all others, in cells of bounded size: under the same estimate, and then by
+   bitmaps of the full sets, whose differing bits bound the sets' difference from
+   below. What passes is confirmed: each one's best candidate first, then what is
+   still apart. So every pair that shares a band is in one component or has been
+   held against the other.
 5. Components of the confirmed links.
 
 Bands and the least estimate are chosen by the chance (``MISS``) that a pair of just
@@ -49,6 +51,8 @@ BANDS = 4 * ceil(log(MISS) / log(1 - (NUM / DEN) ** ROWS) / 4)
 MINIMA = BANDS * ROWS
 #: Bands of the first step; members of one side of a cell; words of the bitmap of ids.
 FIRST, SIDE, BITMAP = 6, 1000, 1 << 20
+#: Bits of the bitmap of a set.
+BITS_OF_SET = 4096
 _U = np.uint64
 _RNG = np.random.default_rng(4711)
 _TIMES = _RNG.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64) * _U(2) + _U(1)
@@ -199,13 +203,31 @@ def _pivot_links(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return links
 
 
+def _bitmaps(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = []
+            for x in _sets(batch.column(1), words):
+                bits = np.zeros(BITS_OF_SET, np.uint8)
+                bits[(x % _U(BITS_OF_SET)).astype(np.int64)] = 1
+                maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["a", "map"])
+
+    return run
+
+
+def _may_match(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether the bits in which two bitmaps differ, at most as many as the sets' elements do, leave room for a similarity of NUM / DEN."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (DEN + NUM) <= total * (DEN - NUM)
+
+
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of some cells of open buckets, the pairs of an outsider and a member of another component that may be similar."""
     _, cell = np.unique(np.stack([pdf[c].to_numpy(np.int64) for c in ("key", "row", "column")]), axis=1, return_inverse=True)
     order = np.lexsort((pdf["outside"].to_numpy(), cell))
     cell = cell[order]
     doc, comp, n, outside = (pdf[c].to_numpy()[order] for c in ("a", "comp", "n", "outside"))
-    sig = _words_of(pdf["sig"].tolist())[order]
+    sig, maps = (_words_of(pdf[c].tolist())[order] for c in ("sig", "map"))
     out = [pd.DataFrame({"a": [], "b": [], "likeness": []}).astype({"a": "int64", "b": "int64"})]
     ends = np.flatnonzero(np.concatenate((cell[1:] != cell[:-1], [True]))) + 1
     for first, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
@@ -215,15 +237,16 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
             fits = (comp[x][:, None] != comp[first:middle]) & (DEN * np.minimum(n[x][:, None], n[first:middle]) >= NUM * np.maximum(n[x][:, None], n[first:middle]))
             i, j = np.nonzero(fits)
             i, j = x[i], j + first
-            for part in range(0, len(i), 1 << 16):
-                p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+            for part in range(0, len(i), 1 << 14):
+                p, q = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
                 found = likeness(equal_parts(sig[p], sig[q]))
-                ok = found >= _LEAST
+                p, q, found = p[found >= _LEAST], q[found >= _LEAST], found[found >= _LEAST]
+                ok = _may_match(maps[p], maps[q], n[p] + n[q])
                 out.append(pd.DataFrame({"a": np.maximum(doc[p], doc[q])[ok], "b": np.minimum(doc[p], doc[q])[ok], "likeness": found[ok]}))
     return pd.concat(out).drop_duplicates()
 
 
-def _pairs_apart(classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _pairs_apart(classes: DataFrame, labels: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Every pair of classes of different components that shares a band and may be similar, in cells of SIDE outsiders and SIDE members."""
     own = materialise(_lettered(classes.select(F.col("rep").alias("a"), "n", "sig", "bands"), labels, "a", "comp"), "lettered")
     keys = own.select("comp", F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
@@ -233,15 +256,17 @@ def _pairs_apart(classes: DataFrame, labels: DataFrame) -> DataFrame:
     deal = lambda c: F.ceil(c / SIDE).cast("int")
     sizes = parts.select("key", "size", F.col("x.comp").alias("largest"), deal(F.col("size")).alias("columns"), deal(F.col("size") - F.col("x.c")).alias("rows"))
     sizes = materialise(sizes, "cells")
+    maps = _marked(texts, spots.select(F.col("a").alias("id"))).mapInArrow(_bitmaps(words), "a long, map binary")
     met = join_groups(spots.drop("size"), sizes, ["key"], "size").withColumn("spot", F.xxhash64("a"))
+    met = materialise(met.join(maps, "a"), "met")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     mine = lambda c: F.pmod("spot", F.col(c)).cast("int")
-    members = met.select("key", "a", "n", "comp", "sig", F.lit(False).alias("outside"), every("rows").alias("row"), mine("columns").alias("column"))
-    outsiders = met.where("comp != largest").select("key", "a", "n", "comp", "sig", F.lit(True).alias("outside"), mine("rows").alias("row"), every("columns").alias("column"))
+    members = met.select("key", "a", "n", "comp", "sig", "map", F.lit(False).alias("outside"), every("rows").alias("row"), mine("columns").alias("column"))
+    outsiders = met.where("comp != largest").select("key", "a", "n", "comp", "sig", "map", F.lit(True).alias("outside"), mine("rows").alias("row"), every("columns").alias("column"))
     total = sizes.agg(F.coalesce(F.sum(F.col("size") * F.col("rows")), F.lit(0))).first()[0]
     block = F.pmod(F.xxhash64("key", "row", "column"), F.lit(max(1, total // (10 * SIDE)))).alias("block")
     found = materialise(members.union(outsiders).groupBy(block).applyInPandas(_across, "a long, b long, likeness double").distinct(), "across")
-    for x in (own, keys, spots, sizes):
+    for x in (own, keys, spots, sizes, met):
         discard(x)
     return found
 
@@ -279,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = materialise(classes.select("d1", "d2", "rows", F.col("x.doc_id").alias("rep"), "x.n", "x.sig", "x.bands"), "classes")
     links = _pivot_links(classes, source, words)
     labels = _merged(links, None)
-    across = _pairs_apart(classes, labels)
+    across = _pairs_apart(classes, labels, source, words)
     if across.limit(1).count():
         labels = _settle(across, labels, source, words)
     thin = survey.select("doc_id", "n", "d1", "d2")
