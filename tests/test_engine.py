@@ -337,3 +337,35 @@ def test_many_inserted_rows(spark, store, monkeypatch):
     assert [store.insert("ask_jobs", status="queued", message=str(i)) for i in range(6)] == list(range(1, 7))
     store.update("ask_jobs", 2, status="done")
     assert [(r.id, r.message, r.status) for r in store.table("ask_jobs").orderBy("id").collect()] == [(i + 1, str(i), "done" if i == 1 else "queued") for i in range(6)]
+
+
+def test_a_model_is_shown_what_it_needs_and_its_calls_are_logged(spark, store):
+    store.snapshot(shipments(spark, SHIPMENTS))
+    said, answers = [], ['<think>{</think>```json\n{"dataset": "shipments", "metrics": ["출하량"], "entities": ["모델B"], "version": "latest"}```', '{"clarify": "which one?"}', "no form", '{"dataset": 5, "metrics": "x"}']
+
+    def model(prompt):
+        said.append(prompt)
+        return answers[len(said) - 1]
+
+    assistant = ask.Assistant(store, model=model)
+    out = assistant.ask("그건 어때", use_resolver=True, history=[{"role": "user", "content": "모델B 말이야"}])
+    assert out["path"] == "resolver" and [r[0] for r in out["rows"]] == ["모델B"]
+    assert "모델B 말이야" in said[0][1]["content"] and "모델C" in said[0][1]["content"] and store.table("spec_cache").count() == 0
+    assert assistant.ask("그건", use_resolver=True)["clarify"]["question"] == "which one?"
+    assert assistant.ask("그건", use_resolver=True)["path"] == "options" and assistant.ask("그건", use_resolver=True)["path"] == "options"
+    assert [(r.step, r.status) for r in store.table("call_log").orderBy("id").collect()] == [("resolve", x) for x in ("ok", "ok", "invalid", "invalid")]
+    broken = ask.Assistant(store, model=lambda prompt: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        broken.ask("그건", use_resolver=True)
+    assert store.table("call_log").where("status = 'error'").count() == 1
+    api = Api(ask.Assistant(store, model=lambda prompt: answers[0] if "앞서" in prompt[1]["content"] else ""))
+    job = api.post_ask("저건", history=[{"role": "user", "content": "앞서"}])
+    assert api.jobs.run_next() == job and api.get_ask(job)["result"]["path"] == "resolver"
+
+
+def test_the_level_report(spark):
+    rows = [(1, True, 2.0, 10.0, "stop", 40, 4, None), (1, False, 3.0, 10.0, "stop", None, None, "429"), (2, True, 1.0, 5.0, "length", 20, None, None)]
+    calls = spark.createDataFrame(rows, "level long, ok boolean, latency double, wall double, finish_reason string, completion_tokens long, reasoning_tokens long, error_class string")
+    lines = refresh.laid_out(refresh.level_report(calls), refresh.LEVEL_COLUMNS)
+    assert len(lines) == 4 and len({len(x) for x in lines}) == 1
+    assert lines[2].split() == ["1", "1/2", "10.0", "2.5", "2.9", "40", "4.0", "20.0", "0", "4.0/4", "429=1"] and lines[3].split()[-1] == "none"

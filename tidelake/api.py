@@ -25,7 +25,7 @@ class Api:
     def __init__(self, assistant: Assistant):
         self.assistant, self.store = assistant, assistant.store
         self._refreshing = threading.Lock()
-        self.jobs = Jobs(self.store, lambda m: assistant.ask(m, use_resolver=True))
+        self.jobs = Jobs(self.store, lambda m, history: assistant.ask(m, use_resolver=True, history=history))
 
     def _dataset(self, params: dict) -> str:
         if not params.get("dataset"):
@@ -74,7 +74,7 @@ class Api:
         d = next((x for x in self.get_catalog() if x["name"] == dataset), None)
         return [] if d is None else [{"label": s["label"], "spec_patch": asdict(s["spec"])} for s in self.assistant.suggestions(d)]
 
-    def post_chat(self, message: str | None = None, spec: dict | None = None) -> dict:
+    def post_chat(self, message: str | None = None, spec: dict | None = None, history: list[dict] | None = None) -> dict:
         if spec is not None:
             form, datasets = Spec(**{k: tuple(v) if isinstance(v, list) else v for k, v in spec.items()}), self.get_catalog()
             out = self.assistant.run(form, datasets) | {"path": "button"}
@@ -83,10 +83,10 @@ class Api:
             return out
         if not (message or "").strip():
             raise ApiError(400, "message is needed")
-        return self.assistant.ask(message)
+        return self.assistant.ask(message, history=history)
 
-    def post_ask(self, message: str) -> int:
-        return self.jobs.submit(message)
+    def post_ask(self, message: str, history: list[dict] | None = None) -> int:
+        return self.jobs.submit(message, history)
 
     def get_ask(self, job_id: int) -> dict:
         found = self.jobs.status(job_id)

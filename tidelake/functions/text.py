@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scratch import written
 from .values import normalize_number, strip, strip_zeros
 
 #: Least length of a sentence.
@@ -139,3 +140,33 @@ def best_matches(similar: DataFrame, left_id: str, right_id: str, least: float =
     """The most similar right of each left, if similar enough; ties go to the smaller."""
     w = Window.partitionBy(left_id).orderBy(F.desc("similarity"), right_id)
     return similar.where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+
+
+#: Least similarities that top_names tries, one after the other.
+STEPS = (0.85, 0.6, 0.35, 0.0)
+
+
+def top_names(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, k: int = 3) -> DataFrame:
+    """left_id, rank, right_id, similarity: the k names most like each text, of equally alike ones the least; only those that share a trigram.
+
+    An inverted index of rare trigrams (``similar_names``) finds all names above a
+    similarity. Texts that have k of them are done, as no other name can come
+    before; the rest is asked for again with a lower bound, so the frequent
+    trigrams are joined on only for the texts that resemble nothing.
+    """
+    left = written(left.select(left_id, left_text), "asked")
+    right = written(right.select(right_id, right_text), "names")
+    best = Window.partitionBy(left_id).orderBy(F.desc("similarity"), right_id)
+    parts, open_ = [], left
+    for least in STEPS:
+        found = similar_names(open_, right, left_id, left_text, right_id, right_text, least).withColumn("similarity", F.round("similarity", 12))
+        found = written(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "found")
+        if least == STEPS[-1]:
+            parts.append(found)
+            break
+        done = found.where(F.col("rank") == k).select(left_id)
+        parts.append(found.join(done, left_id, "left_semi"))
+        open_ = written(open_.join(done, left_id, "left_anti"), "open")
+        if not open_.limit(1).count():
+            break
+    return reduce(DataFrame.union, parts).select(left_id, "rank", right_id, "similarity")

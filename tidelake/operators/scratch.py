@@ -28,6 +28,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted(spark: SparkSession, path: str) -> str:
+    """A path of the shared folder as one that open() takes, its folder made; an error where the folder is no mounted one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file":
+        raise RuntimeError(f"a file needs a shared folder that is mounted, not one of {fs.getScheme()}")
+    fs.mkdirs(p.getParent())
+    return fs.makeQualified(p).toUri().getPath()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table that lost executors do not take with them; its lineage ends here."""
     path = new_path(df.sparkSession, name)

@@ -16,11 +16,13 @@ from dataclasses import fields as dataclass_fields
 
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import first_object, mended, validate
 from ..functions.periods import scan
 from ..functions.values import display, signed
 from ..operators import catalog, ledger, query, versions
 from ..operators.store import Store, now
 from ..sources.config import resolve_aliases
+from .refresh import log_call
 
 #: Options offered, suggestions made, entity notes in a digest, rows shown to a model.
 OPTIONS, SUGGESTIONS, NOTES, SHOWN = 6, 8, 5, 30
@@ -225,25 +227,42 @@ def explain(columns: list[str], rows: list[list], template: Callable[[], str], w
 class Assistant:
     """Answers questions from a store."""
 
-    def __init__(self, store: Store, aliases: dict | None = None, resolver: Callable[[str, list[dict]], Spec | None] | None = None):
-        self.store, self.aliases, self.resolver = store, aliases or {}, resolver
+    def __init__(self, store: Store, aliases: dict | None = None, resolver: Callable[[str, list[dict]], Spec | None] | None = None, model: Callable[[list[dict]], str] | None = None):
+        """resolver makes a form of a message and the catalog; model is a language model that answers a prompt, whose answer is read as a form."""
+        self.store, self.aliases, self.resolver, self.model = store, aliases or {}, resolver, model
 
     def catalog(self) -> list[dict]:
         s = self.store
         return [r.asDict() for r in catalog.catalog(s.observations(), s.table("loads"), s.table("datasets")).collect()]
 
-    def ask(self, message: str, use_resolver: bool = False) -> dict:
-        """By the rules, else by a form kept for the same message and catalog, else by the resolver if it is wanted, else options to choose from."""
+    def _resolved(self, message: str, history: list[dict], datasets: list[dict]) -> tuple[Spec | None, str | None]:
+        """The form that the resolver or the model makes, or what it asks back. The call is logged, whatever becomes of it."""
+        began, status = time.monotonic(), "error"
+        try:
+            found = (self.resolver(message, datasets), None) if self.resolver else read_form(self.model(resolver_prompt(message, history, narrowed(message, history, datasets))))
+            status = "ok" if any(found) else "invalid"
+            return found
+        finally:
+            log_call(self.store, "resolve", status, round(time.monotonic() - began, 3))
+
+    def ask(self, message: str, use_resolver: bool = False, history: list[dict] | None = None) -> dict:
+        """By the rules, else by a form kept for the same message and catalog, else by the resolver if it is wanted, else options to choose from.
+
+        history holds the turns before, which the model is shown. A form made of a
+        conversation is not kept for the message alone.
+        """
         datasets = self.catalog()
         maps = alias_maps(self.aliases, self.store.table("learned_aliases").collect(), datasets)
         spec, path = rule_spec(message, datasets, maps), "rule"
         version = ledger.catalog_version(self.store.table("loads")).first().catalog_version
         if spec is None:
-            kept = self.store.table("spec_cache").where((F.col("message_key") == form(message)) & (F.col("catalog_version") == version)).first()
+            kept = None if history else self.store.table("spec_cache").where((F.col("message_key") == form(message)) & (F.col("catalog_version") == version)).first()
             spec, path = (Spec(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(kept.spec).items()}), "cache") if kept else (None, "")
-        if spec is None and use_resolver and self.resolver:
-            spec, path = self.resolver(message, datasets), "resolver"
-            if spec:
+        if spec is None and use_resolver and (self.resolver or self.model):
+            (spec, question), path = self._resolved(message, history or [], datasets), "resolver"
+            if question:
+                return {"clarify": {"question": question, "options": self.options(message, datasets, maps)}, "path": path}
+            if spec and not history:
                 self.store.upsert("spec_cache", ["message_key", "catalog_version"], self.store.spark.createDataFrame([(form(message), version, json.dumps(asdict(spec), ensure_ascii=False))], "message_key string, catalog_version string, spec string"))
         if spec is None:
             return {"clarify": {"options": self.options(message, datasets, maps)}, "path": "options"}
@@ -415,14 +434,32 @@ def resolver_prompt(message: str, history: list[dict], shown: dict) -> list[dict
     return [{"role": "system", "content": system}, {"role": "user", "content": user}]
 
 
+_NAMES, _WORD = {"type": "array", "items": {"type": "string"}}, {"type": "string"}
+#: What a model's answer must be: a form, or a question back.
+FORM = {"type": "object", "properties": {f.name: _NAMES if f.type.startswith("tuple") else _WORD for f in dataclass_fields(Spec)} | {"clarify": _WORD}}
+
+
+def read_form(answer: str | None) -> tuple[Spec | None, str | None]:
+    """(form, question back) of a model's answer, usual slips mended; both None where it is neither."""
+    text = first_object(answer)
+    data = mended(json.loads(text), FORM) if text else None
+    if data is None or validate(data, FORM):
+        return None, None
+    if data.get("clarify"):
+        return None, data["clarify"]
+    known = {f.name: f for f in dataclass_fields(Spec)}
+    fields = {k: tuple(v) if isinstance(v, list) else v for k, v in data.items() if k in known and v is not None}
+    return (Spec(**fields), None) if fields.get("dataset") else (None, None)
+
+
 class Jobs:
     """A first-in first-out queue of questions, kept in the store."""
 
-    def __init__(self, store: Store, answer: Callable[[str], dict]):
+    def __init__(self, store: Store, answer: Callable[[str, list[dict]], dict]):
         self.store, self.answer = store, answer
 
-    def submit(self, message: str) -> int:
-        return self.store.insert("ask_jobs", status="queued", message=message, created_at=now())
+    def submit(self, message: str, history: list[dict] | None = None) -> int:
+        return self.store.insert("ask_jobs", status="queued", message=message, history=json.dumps(history or [], ensure_ascii=False), created_at=now())
 
     def cancel(self, job_id: int) -> bool:
         return self.store.update("ask_jobs", job_id, F.col("status").isin("queued", "running"), status="cancelled", finished_at=now())
@@ -440,7 +477,7 @@ class Jobs:
             if self.store.update("ask_jobs", head.id, F.col("status") == "queued", status="running", started_at=now()):  # else another worker has it
                 break
         try:
-            done = {"status": "done", "result": json.dumps(self.answer(head.message), ensure_ascii=False, default=str)}
+            done = {"status": "done", "result": json.dumps(self.answer(head.message, json.loads(head.history or "[]")), ensure_ascii=False, default=str)}
         except Exception as e:  # the job's outcome
             done = {"status": "error", "error": str(e)[:2000]}
         self.store.update("ask_jobs", head.id, F.col("status") == "running", finished_at=now(), **done)  # unless cancelled meanwhile

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..operators.calls import errors_by_class, level_stats
 from ..operators.store import Store, now
 
 
@@ -49,3 +51,25 @@ def log_call(store: Store, step: str, status: str, latency: float | None = None,
 def metric_lines(rows: DataFrame) -> list[str]:
     """The rows of a metrics table, one line each, as name=value; null as a dash."""
     return [" ".join(f"{k}={'-' if v is None else v}" for k, v in r.asDict().items()) for r in rows.collect()]
+
+
+# What the columns of the level report and of the quality report are called.
+LEVEL_COLUMNS = {"level": "level", "done": "ok/all", "wall_sec": "wall s", "p50_latency_sec": "p50 s", "p90_latency_sec": "p90 s", "completion_tokens_sum": "tokens", "aggregate_tokens_per_sec": "tok/s", "mean_call_tokens_per_sec": "tok/s a call", "truncated": "cut", "reasoning": "reasoning mean/max", "errors": "errors"}
+
+
+def level_report(calls: DataFrame) -> DataFrame:
+    """The level report of call records as text columns: one row a level, its errors by class, most frequent first."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    one = F.concat_ws("=", "error_class", F.col("n").cast("string"))
+    errors = errors_by_class(calls).groupBy("level").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "error_class", one.alias("text")))).alias("e"))
+    rows = level_stats(calls).join(errors.select("level", F.array_join(F.transform("e", lambda x: x["text"]), " ").alias("errors")), "level", "left")
+    rows = rows.withColumns({"done": F.concat_ws("/", F.col("success_count").cast("string"), F.col("total_count").cast("string")), "reasoning": F.concat_ws("/", shown("reasoning_tokens_mean"), shown("reasoning_tokens_max")), "errors": F.coalesce("errors", F.lit("none"))})
+    return rows.orderBy("level").select(*(shown(c).alias(c) for c in LEVEL_COLUMNS))
+
+
+def laid_out(rows: DataFrame, titles: dict[str, str]) -> list[str]:
+    """A small table as lines: a header, a rule, and cells under their titles, to the right."""
+    cells = [list(titles.values()), *([str(r[c]) for c in titles] for r in rows.collect())]
+    wide = [max(len(x[i]) for x in cells) for i in range(len(titles))]
+    lines = ["  ".join(x.rjust(w) for x, w in zip(row, wide, strict=True)) for row in cells]
+    return [lines[0], "  ".join("-" * w for w in wide), *lines[1:]]

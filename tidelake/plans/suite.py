@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import jsontext, periods, text, values, vectors
+from ..functions import jsoncheck, jsontext, periods, text, values, vectors
 from ..operators import calls as call_ops
-from ..operators import catalog, ledger, observations, query, versions
+from ..operators import catalog, ledger, observations, query, scratch, versions
 from ..operators.store import Store
 from ..sources import readers
 from ..streaming import events as streams
@@ -31,65 +29,106 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
-def _literal(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).upper()
-    return str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
-
-
-def cases(name: str, column: str, kind: str, expected: list[tuple], outputs: dict[str, str], make: Callable):
-    """A scalar function on fixed inputs, with the results it must give as the SQL: expected holds (input, outputs...)."""
+_LINES = (
+    "l_orderkey * 10 + l_linenumber AS id",
+    "l_orderkey + l_linenumber AS k",
+    "CAST(l_quantity AS INT) AS q",
+    "year(l_shipdate) AS y",
+    "lpad(CAST(year(l_shipdate) % 100 AS STRING), 2, '0') AS yy",
+    "quarter(l_shipdate) AS n",
+    "lpad(CAST(month(l_shipdate) AS STRING), 2, '0') AS mm",
+    "year(date_trunc('week', l_shipdate) + INTERVAL '3' DAY) AS iy",
+    "lpad(CAST(weekofyear(l_shipdate) AS STRING), 2, '0') AS iw",
+    "quarter(date_trunc('week', l_shipdate)) AS wq",
+)
+
+
+def variants(name: str, kind: str, forms: list[tuple], outputs: dict[str, str], make: Callable):
+    """A scalar function on texts or numbers written out of the rows of lineitem, a row in one of several forms.
+
+    A form is the input, an expression that both engines know, and DuckDB's for what
+    each output must be, out of the row and not out of the input. The columns: q a
+    quantity, y and yy the year of shipping, n its quarter, mm its month, iy, iw and
+    wq the ISO week, its year and the quarter of its Monday.
+    """
     kinds = {"string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "bigint": "BIGINT"}
-    body = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in expected)
-    sql = f"SELECT CAST(raw AS {kinds[kind]}) AS raw, " + ", ".join(f"CAST({c} AS {kinds[k]}) AS {c}" for c, k in outputs.items()) + f" FROM (VALUES {body}) t(raw, {', '.join(outputs)})"
+    choose = lambda i: f"CASE k % {len(forms)} " + " ".join(f"WHEN {j} THEN {x[i]}" for j, x in enumerate(forms)) + " END"
+    sql = f"SELECT id, CAST({choose(0)} AS {kinds[kind]}) AS raw, " + ", ".join(f"CAST({choose(i)} AS {kinds[k]}) AS {c}" for i, (c, k) in enumerate(outputs.items(), 1)) + f" FROM (SELECT {', '.join(_LINES)} FROM lineitem)"
 
     @register(name, sql)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        df = spark.createDataFrame([(row[0],) for row in expected], f"{column} {kind}")
-        return df.select(F.col(column).alias("raw"), *(c.cast(k).alias(n) for (n, k), c in zip(outputs.items(), make(F.col(column)), strict=True)))
+        lines = v.table(spark, d, "lineitem").selectExpr(*_LINES).selectExpr("id", f"CAST({choose(0)} AS {kind}) AS raw")
+        return lines.select("id", "raw", *(c.cast(k).alias(n) for (n, k), c in zip(outputs.items(), make(F.col("raw")), strict=True)))
 
 
 # -- values and periods ---------------------------------------------------------------------------
 
 _VSU = {"value": "double", "unit": "string", "status": "string"}
-cases(
-    "value_normalize", "x", "string",
-    [("1,234", 1234.0, None, "ok"), ("12.5%", 12.5, "%", "ok"), ("(3.2)", -3.2, None, "ok"), ("42", 42.0, None, "ok"), (" 3.5 ", 3.5, None, "ok"), (None, None, None, "blank"), ("", None, None, "blank"), ("-", None, None, "blank"), ("n.a.", None, None, "blank"), ("N/A", None, None, "blank"), ("null", None, None, "blank"), ("NaN", None, None, "blank"), ("모델A", None, None, "non_numeric"), ("(12%)", -12.0, "%", "ok"), ("(5)%", None, None, "non_numeric"), ("(-5)", 5.0, None, "ok"), ("%", None, None, "blank"), ("()", None, None, "blank"), ("$5", None, None, "non_numeric"), ("1d", None, None, "non_numeric"), ("1_000", 1000.0, None, "ok"), ("１２３", 123.0, None, "ok"), ("(0)", 0.0, None, "ok"), ("1e3", 1000.0, None, "ok")],
+variants(
+    "value_normalize", "string",
+    [("concat('1,', lpad(CAST(q AS STRING), 3, '0'))", "1000 + q", "NULL", "'ok'"), ("concat(q, '.5%')", "q + 0.5", "'%'", "'ok'"), ("concat('(', q, '.25)')", "-(q + 0.25)", "NULL", "'ok'"), ("CAST(q AS STRING)", "q", "NULL", "'ok'"),
+     ("concat('  ', q, '.5 ')", "q + 0.5", "NULL", "'ok'"), ("concat('(', q, '%)')", "-q", "'%'", "'ok'"), ("concat('모델', q)", "NULL", "NULL", "'non_numeric'"), *((x, "NULL", "NULL", "'blank'") for x in ("NULL", "''", "'-'", "'n.a.'", "'N/A'", "'null'", "'NaN'"))],
     _VSU, lambda c: [values.normalize_value(c)[k] for k in _VSU],
 )
-cases("number_normalize", "x", "string", [("$1,234 %", "1234"), (None, ""), ("3.5", "3.5")], {"out": "string"}, lambda c: [values.normalize_number(c)])
-cases("clean_text", "x", "double", [(2024.0, "2024"), (2024.5, "2024.5"), (None, "")], {"out": "string"}, lambda c: [values.clean_text(c, "double")])
-cases("num_text", "x", "double", [(100.0, "100", "+100"), (-30.5, "-30.5", "-30.5"), (0.25, "0.25", "+0.25"), (1234567.0, "1234567", "+1234567")], {"out": "string", "signed": "string"}, lambda c: [values.num_text(c), values.signed_num_text(c)])
-cases("strip_trailing_zeros", "x", "string", [("100.0", "100"), ("25.50", "25.5"), ("100", "100"), ("0.0", "0")], {"out": "string"}, lambda c: [values.strip_zeros(c)])
+variants("number_normalize", "string", [("concat('$1,', lpad(CAST(q AS STRING), 3, '0'), ' %')", "concat('1', lpad(CAST(q AS STRING), 3, '0'))"), ("NULL", "''"), ("concat(q, '.5')", "concat(q, '.5')")], {"out": "string"}, lambda c: [values.normalize_number(c)])
+variants("clean_text", "double", [("y", "CAST(y AS STRING)"), ("y + 0.5", "concat(y, '.5')"), ("NULL", "''")], {"out": "string"}, lambda c: [values.clean_text(c, "double")])
+variants("num_text", "double", [("q * 100", "CAST(q * 100 AS STRING)", "concat('+', q * 100)"), ("-(q + 0.5)", "concat('-', q, '.5')", "concat('-', q, '.5')"), ("q + 0.25", "concat(q, '.25')", "concat('+', q, '.25')"), ("1000000 + q", "CAST(1000000 + q AS STRING)", "concat('+', 1000000 + q)")], {"out": "string", "signed": "string"}, lambda c: [values.num_text(c), values.signed_num_text(c)])
+variants("strip_trailing_zeros", "string", [("concat(q, '.0')", "CAST(q AS STRING)"), ("concat(q, '.50')", "concat(q, '.5')"), ("concat(q, '00')", "concat(q, '00')"), ("'0.0'", "'0'")], {"out": "string"}, lambda c: [values.strip_zeros(c)])
 _PSO = {"period": "string", "period_sort": "string", "ok": "boolean"}
-cases(
-    "period_normalize", "x", "string",
-    [("2024", "2024", "20240000", True), ("2024-03", "2024-03", "20240300", True), ("2024-3", "2024-03", "20240300", True), ("2024W05", "2024W05", "20240005", True), *((s, "2025Q3", "20250700", True) for s in ("2025Q3", "25Q3", "'25Q3", "3Q25", "3Q2025", "2025 Q3", "2025-Q3", "Q3 2025", "Q3-2025", "Q3'25")), ("FY25", "2025", "20250000", True), ("fy2025", "2025", "20250000", True), ("2025.09", "2025-09", "20250900", True), ("2025/09", "2025-09", "20250900", True), ("99Q1", "2099Q1", "20990100", True), *((s, s, s, False) for s in ("12345", "20255", "Q5 2025", "Q0 2025", "XY25", "25", "garbage", "2025Q5", "2025-13"))],
+_QUARTER_IS = ("concat(y, 'Q', n)", "concat(y, lpad(CAST(n * 3 - 2 AS STRING), 2, '0'), '00')", "true")
+_SHORT_IS = ("concat('20', yy, 'Q', n)", "concat('20', yy, lpad(CAST(n * 3 - 2 AS STRING), 2, '0'), '00')", "true")
+_MONTH_IS = ("concat(y, '-', mm)", "concat(y, mm, '00')", "true")
+variants(
+    "period_normalize", "string",
+    [("CAST(y AS STRING)", "CAST(y AS STRING)", "concat(y, '0000')", "true"), *((x, *_MONTH_IS) for x in ("concat(y, '-', mm)", "concat(y, '.', CAST(mm AS INT))", "concat(' ', y, '/', mm)")),
+     *((x, *_QUARTER_IS) for x in ("concat(y, 'Q', n)", "concat(y, ' q', n)", "concat(y, '-Q', n)", "concat('Q', n, ' ', y)", "concat('Q', n, chr(39), y)", "concat(n, 'Q', y)")), *((x, *_SHORT_IS) for x in ("concat(yy, 'Q', n)", "concat(chr(39), yy, 'Q', n)", "concat(n, 'Q', yy)", "concat('Q', n, chr(39), yy)")),
+     ("concat('FY', yy)", "concat('20', yy)", "concat('20', yy, '0000')", "true"), ("concat('fy', y)", "CAST(y AS STRING)", "concat(y, '0000')", "true"), ("concat(y, 'W', mm)", "concat(y, 'W', mm)", "concat(y, '00', mm)", "true"),
+     ("concat(y, '-13')", "concat(y, '-13')", "concat(y, '-13')", "false"), ("concat(y, 'W54')", "concat(y, 'W54')", "concat(y, 'W54')", "false"), ("concat('작년 ', q)", "concat('작년 ', q)", "concat('작년 ', q)", "false"), ("NULL", "''", "''", "false")],
     _PSO, lambda c: [periods.normalize_period(c)[k] for k in _PSO],
 )
-cases("period_sort_bounds", "x", "string", [("2025", "20259999"), ("2025Q2", "20250699"), ("2025-09", "20250900"), ("2025W20", "20250020"), ("작년", "작년")], {"upper": "string"}, lambda c: [periods.range_end_sort(c)])
+variants("period_sort_bounds", "string", [("CAST(y AS STRING)", "concat(y, '9999')"), ("concat(y, 'Q', n)", "concat(y, lpad(CAST(n * 3 AS STRING), 2, '0'), '99')"), ("concat(y, '-', mm)", "concat(y, mm, '00')"), ("concat(y, 'W', mm)", "concat(y, '00', mm)"), ("concat('작년', q)", "concat('작년', q)")], {"upper": "string"}, lambda c: [periods.range_end_sort(c)])
+
+
 def _coarse(level: str) -> Callable:
     return lambda c: [periods.coarsen_period(c, level)[k] for k in ("period", "period_sort")]
 
 
-for _level, _expected in (
-    ("year", [("2025Q2", "2025", "20250000"), ("2025-09", "2025", "20250000"), ("2025W53", "2025", "20250000"), ("2025", None, None), ("x", None, None)]),
-    ("quarter", [("2025-09", "2025Q3", "20250700"), ("2025W20", "2025Q2", "20250400"), ("2025W01", "2025Q4", "20251000"), ("2025W53", None, None), ("2026W53", "2026Q4", "20261000"), ("2025Q2", None, None), ("2025", None, None)]),
-):
-    cases(f"period_coarsen_{_level}", "x", "string", _expected, {"period": "string", "period_sort": "string"}, _coarse(_level))
-cases("version_sort_key", "x", "string", [("2026-07", "P20260700"), ("2026.07", "P20260700"), ("draft", "F2026-01-01T00:00:00"), ("", "")], {"out": "string"}, lambda c: [periods.version_sort(c, F.lit(None).cast("string"), F.lit("2026-01-01T00:00:00"))])
-cases("period_scan", "x", "string", [("2024년부터 2025년까지", "2024", "2025"), ("2024~2025", "2024", "2025"), ("2025년 3분기에", "2025Q3", "2025Q3"), ("25Q3은", "2025Q3", "2025Q3"), ("작년", None, None)], {"period_from": "string", "period_to": "string"}, lambda c: [periods.scan_column(c)[k] for k in ("period_from", "period_to")])
-cases("score_sigmoid", "x", "double", [(0.5, 0.5), (0.0, 0.0), (1.0, 1.0), (2.0, 0.880797077978), (-2.0, 0.119202922022)], {"out": "double"}, lambda c: [F.round(vectors.squash(c), 12)])
-cases("token_estimate", "x", "string", [("abcdefgh", 2), ("한국어", 2), ("가나abcd", 3), ("", 1)], {"out": "bigint"}, lambda c: [text.estimate_tokens(c, 0.6)])
-cases("coerce_values", "x", "string", [("p. 12페이지", 12, None, None), ("$1,234%", None, 1234.0, None), ("true", None, None, True), ("7.0", 7, 7.0, None)], {"i": "bigint", "f": "double", "b": "boolean"}, lambda c: [jsontext.to_integer(c), jsontext.to_number(c), jsontext.to_boolean(c)])
-cases("coerce_direction", "x", "string", [("up", "▲"), ("감소", "▼"), ("flat", "–"), ("▲", "▲"), ("sideways", "sideways")], {"out": "string"}, lambda c: [jsontext.to_enum(c, ("▲", "▼", "–"), jsontext.DIRECTIONS)])
-cases("error_class", "x", "bigint", [(429, "429"), (503, "5xx"), (404, "other"), (None, "timeout")], {"out": "string"}, lambda c: [call_ops.error_class(c, F.lit("timed out"))])
-cases("name_contains_join", "x", "string", [("모델 a 알려줘", True), ("모델B", False)], {"out": "boolean"}, lambda c: [text.names_in(c, F.lit("모델A (자사)"))])
-cases("number_check", "x", "string", [("2024Q1 값은 100.0이고 25%", None), ("값은 101", "101"), ("값은 1,250.50", None)], {"out": "string"}, lambda c: [text.first_unknown_number(c, F.array(*map(F.lit, ("100", "25", "1250.5"))))])
-cases("reasoning_tokens", "x", "string", [("<think>abcdef</think>x", 2, True), ("plain", None, False)], {"tokens": "bigint", "estimated": "boolean"}, lambda c: [call_ops.reasoning_tokens(F.lit("{}"), F.lit(None).cast("string"), c)[k] for k in ("tokens", "estimated")])
-cases("extract_json", "x", "string", [("<think>{</think> so ```json\n{\"a\": {\"b\": 1}}```", '{"a": {"b": 1}}'), ("{bad {\"k\": 2}", '{"k": 2}'), ("none", None)], {"out": "string"}, lambda c: [jsontext.extract_json(c)])
+_YEARLY, _FINE = ("CAST(y AS STRING)", "concat(y, '0000')"), ("NULL", "NULL")
+variants("period_coarsen_year", "string", [("concat(y, 'Q', n)", *_YEARLY), ("concat(y, '-', mm)", *_YEARLY), ("concat(y, 'W', mm)", *_YEARLY), ("CAST(y AS STRING)", *_FINE), ("concat('x', q)", *_FINE)], {"period": "string", "period_sort": "string"}, _coarse("year"))
+variants("period_coarsen_quarter", "string", [("concat(y, '-', mm)", *_QUARTER_IS[:2]), ("concat(iy, 'W', iw)", "concat(iy, 'Q', wq)", "concat(iy, lpad(CAST(wq * 3 - 2 AS STRING), 2, '0'), '00')"), ("concat(y, 'Q', n)", *_FINE), ("CAST(y AS STRING)", *_FINE), ("concat('x', q)", *_FINE)], {"period": "string", "period_sort": "string"}, _coarse("quarter"))
+variants("version_sort_key", "string", [("concat(y, '-', mm)", "concat('P', y, mm, '00')"), ("concat(y, '.', mm)", "concat('P', y, mm, '00')"), ("concat('draft ', q)", "'F2026-01-01T00:00:00'"), ("''", "''")], {"out": "string"}, lambda c: [periods.version_sort(c, F.lit(None).cast("string"), F.lit("2026-01-01T00:00:00"))])
+variants("period_scan", "string", [("concat(y, '년부터 ', y + 1, '년까지 알려줘')", "CAST(y AS STRING)", "CAST(y + 1 AS STRING)"), ("concat(y, '~', y + 1)", "CAST(y AS STRING)", "CAST(y + 1 AS STRING)"), ("concat(y, '년 ', n, '분기에')", "concat(y, 'Q', n)", "concat(y, 'Q', n)"), ("concat(yy, 'Q', n, '은 얼마')", "concat('20', yy, 'Q', n)", "concat('20', yy, 'Q', n)"), ("'작년은 어때'", "NULL", "NULL")], {"period_from": "string", "period_to": "string"}, lambda c: [periods.scan_column(c)[k] for k in ("period_from", "period_to")])
+variants("score_sigmoid", "double", [("q / 100.0", "round(q / 100.0, 9)"), ("q + 1", "round(1 / (1 + exp(-(q + 1.0))), 9)"), ("-q", "round(1 / (1 + exp(q)), 9)")], {"out": "double"}, lambda c: [F.round(vectors.squash(c), 9)])
+variants("token_estimate", "string", [("repeat('a', q)", "greatest(1, ceil(q / 4.0))"), ("repeat('한', q)", "greatest(1, ceil(q * CAST(0.6 AS DOUBLE)))"), ("concat(repeat('가', n), repeat('x', q))", "greatest(1, ceil(n * CAST(0.6 AS DOUBLE) + q / 4.0))"), ("''", "1")], {"out": "bigint"}, lambda c: [text.estimate_tokens(c, 0.6)])
+variants("coerce_values", "string", [("concat('p. ', q, '페이지')", "q", "NULL", "NULL"), ("concat('$1,', lpad(CAST(q AS STRING), 3, '0'), '%')", "NULL", "1000 + q", "NULL"), ("CASE WHEN n > 2 THEN 'true' ELSE 'False' END", "NULL", "NULL", "n > 2"), ("concat(q, '.0')", "q", "q", "NULL")], {"i": "bigint", "f": "double", "b": "boolean"}, lambda c: [jsontext.to_integer(c), jsontext.to_number(c), jsontext.to_boolean(c)])
+variants("coerce_direction", "string", [("CASE n WHEN 1 THEN 'up' WHEN 2 THEN ' Increase' WHEN 3 THEN '증가' ELSE '▲' END", "'▲'"), ("CASE n WHEN 1 THEN 'down' WHEN 2 THEN '감소' ELSE '↓' END", "'▼'"), ("CASE n WHEN 1 THEN 'flat' ELSE '-' END", "'–'"), ("concat('sideways ', q)", "concat('sideways ', q)")], {"out": "string"}, lambda c: [jsontext.to_enum(c, ("▲", "▼", "–"), jsontext.DIRECTIONS)])
+variants("error_class", "bigint", [("429", "'429'"), ("500 + q", "'5xx'"), ("400 + n", "'other'"), ("NULL", "'timeout'")], {"out": "string"}, lambda c: [call_ops.error_class(c, F.lit("timed out"))])
+variants("name_contains_join", "string", [("concat('모델 a ', q, '번 알려줘')", "true"), ("concat('모델B ', q)", "false"), ("concat(q, '월 모델A(자사)는')", "true")], {"out": "boolean"}, lambda c: [text.names_in(c, F.lit("모델A (자사)"))])
+variants("number_check", "string", [("concat(y, 'Q', n, ' 값은 100.0이고 25%')", "NULL"), ("concat('값은 ', 100 + q)", "CAST(100 + q AS STRING)"), ("concat('값은 1,250.50, ', q + 200)", "CAST(q + 200 AS STRING)")], {"out": "string"}, lambda c: [text.first_unknown_number(c, F.array(*map(F.lit, ("100", "25", "1250.5"))))])
+variants("reasoning_tokens", "string", [("concat('<think>', repeat('a', q), '</think>x')", "greatest(1, q // 3)", "true"), ("concat('plain ', q)", "NULL", "false")], {"tokens": "bigint", "estimated": "boolean"}, lambda c: [call_ops.reasoning_tokens(F.lit("{}"), F.lit(None).cast("string"), c)[k] for k in ("tokens", "estimated")])
+variants("extract_json", "string", [("concat('<think>{</think> so ```json', chr(10), '{\"a\": {\"b\": ', q, '}}```')", "concat('{\"a\": {\"b\": ', q, '}}')"), ("concat('{bad {\"k\": ', q, '}')", "concat('{\"k\": ', q, '}')"), ("concat('none ', q)", "NULL")], {"out": "string"}, lambda c: [jsontext.extract_json(c)])
+
+_ANSWER = {
+    "type": "object", "required": ["page", "direction"],
+    "properties": {"page": {"type": "integer"}, "value": {"type": "number"}, "direction": {"type": "string", "enum": ["▲", "▼", "–"]}, "rows": {"type": "array", "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}}}}},
+}
+_ANSWERS = [
+    """concat('{"page": ', q, ', "value": ', q, '.5, "direction": "▲", "rows": [{"n": ', n, '}]}')""",
+    """concat('{"page": "p. ', q, '", "value": "$1,', lpad(CAST(q AS STRING), 3, '0'), '%", "direction": "up", "rows": [{"n": "', n, '"}, {"n": "x"}, 5]}')""",
+    """concat('{"value": null, "direction": "▼", "rows": {}}')""",
+    """concat('no answer ', q)""",
+]
+variants(
+    "json_faults", "string",
+    list(zip(_ANSWERS, ("''", "'page: not of type integer; value: not of type number; direction: ''up'' is not allowed; rows: 0: n: not of type integer; rows: 1: n: not of type integer; rows: 2: not of type object'", "'lacks page; rows: not of type array'", "'not JSON'"), strict=True)),
+    {"faults": "string"}, lambda c: [F.concat_ws("; ", jsoncheck.faults(c, _ANSWER))],
+)
+_MENDED = {"page": "bigint", "value": "double", "direction": "string", "rows": "string"}
+variants(
+    "json_repaired", "string",
+    [(x, *y) for x, y in zip(_ANSWERS, (("q", "q + 0.5", "'▲'", "CAST(n AS STRING)"), ("q", "1000 + q", "'▲'", "CAST(n AS STRING)"), ("NULL", "NULL", "'▼'", "NULL"), ("NULL",) * 4), strict=True)],
+    _MENDED, lambda c: [jsoncheck.repaired(c, _ANSWER)[k] for k in ("page", "value", "direction")] + [F.when(jsoncheck.repaired(c, _ANSWER)["rows"].isNotNull(), F.array_join(F.transform(jsoncheck.repaired(c, _ANSWER)["rows"], lambda x: x["n"].cast("string")), ","))],
+)
 
 
 def _normal(spark, d):
@@ -129,14 +168,14 @@ def _(spark, d):
     return observations.kept(_normal(spark, d)).agg((F.count(F.lit(1)) - F.count_distinct("entity", "region", "period")).alias("n"))
 
 
-@register("content_hash_equal", "SELECT * FROM (VALUES ('same rows in another order', true), ('one value changed', false), ('one row twice', false)) t(what, equal)")
+@register("content_hash_equal", "SELECT what, CASE what WHEN 'same rows in another order' THEN count(*) > 0 ELSE count(*) = 0 END AS equal FROM lineitem, (VALUES ('same rows in another order'), ('one value changed'), ('one row twice')) t(what) GROUP BY what")
 def _(spark, d):
     rows = observations.kept(_normal(spark, d))
-    h = lambda df: df.agg(observations.fingerprint().alias("h"))
-    first = rows.where("seq = 11")
-    variants = {"same rows in another order": rows.repartition(7), "one value changed": rows.withColumn("value", F.col("value") + F.when(F.col("seq") == F.lit(None), 1.0).otherwise(F.lit(0.5))), "one row twice": rows.union(rows.limit(1)) if first is not None else rows}
-    out = [h(df).crossJoin(h(rows).withColumnRenamed("h", "base")).select(F.lit(k).alias("what"), (F.col("h") == F.col("base")).alias("equal")) for k, df in variants.items()]
-    return out[0].union(out[1]).union(out[2])
+    own = F.col("seq") == F.lit(rows.agg(F.min("seq")).first()[0])
+    variants = {"same rows in another order": rows.repartition(7), "one value changed": rows.withColumn("value", F.when(own, F.col("value") + 0.5).otherwise(F.col("value"))), "one row twice": rows.union(rows.where(own))}
+    h = lambda df: df.agg(observations.fingerprint().alias("h")).first().h
+    base = h(rows)
+    return spark.createDataFrame([(k, h(df) == base) for k, df in variants.items()], "what string, equal boolean")
 
 
 # -- sources ----------------------------------------------------------------------------------------
@@ -165,9 +204,7 @@ def _(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder below the one all executors share, or a local one in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidelake-")
-    return f"{root}/suite-{uuid.uuid4().hex}"
+    return scratch.new_path(spark, "suite")
 
 
 def _parts(spark: SparkSession, d: str, raised: bool) -> DataFrame:
@@ -276,44 +313,49 @@ def _(spark, d):
 # -- versions ---------------------------------------------------------------------------------------
 
 _F = f"WITH {v.FORECAST_SQL} "
-_LEDGER = f"WITH {v.LOADS_SQL} "
+_LEDGER = f"WITH {v.LEDGER_SQL} "
 _LATEST = "(SELECT arg_max(id, (version_sort, id)) FROM loads l WHERE status = 'ok' AND dataset = o.dataset)"
 
 
 @register("latest_loads", _LEDGER + "SELECT dataset, arg_max(id, (version_sort, id)) AS id FROM loads WHERE status = 'ok' GROUP BY dataset")
 def _(spark, d):
-    return ledger.latest_loads(v.loads(spark)).select("dataset", "id")
+    return ledger.latest_loads(v.ledger(spark, d)).select("dataset", "id")
 
 
 @register("latest_per_label", _LEDGER + "SELECT dataset, version_label, max(id) AS id FROM loads WHERE status = 'ok' GROUP BY 1, 2")
 def _(spark, d):
-    return ledger.latest_per_label(v.loads(spark)).select("dataset", "version_label", "id")
+    return ledger.latest_per_label(v.ledger(spark, d)).select("dataset", "version_label", "id")
 
 
 @register("version_labels", _LEDGER + "SELECT DISTINCT dataset, version_label, version_sort FROM loads WHERE status = 'ok' AND version_label <> ''")
 def _(spark, d):
-    return ledger.labels(v.loads(spark))
+    return ledger.labels(v.ledger(spark, d))
 
 
 @register("prev_label_lag", _LEDGER + "SELECT *, lag(version_sort) OVER w AS previous_sort, lag(id) OVER w AS previous_id FROM (SELECT dataset, version_sort, max(id) AS id FROM loads WHERE status = 'ok' GROUP BY 1, 2) WINDOW w AS (PARTITION BY dataset ORDER BY version_sort)")
 def _(spark, d):
-    return ledger.previous_loads(v.loads(spark))
+    return ledger.previous_loads(v.ledger(spark, d))
+
+
+_SORTS = ("P19960200", "P19960250", "P19800000")
+_BEFORE = "(SELECT arg_max(id, (version_sort, id)) FROM loads l WHERE status = 'ok' AND dataset = '1-URGENT' AND l.version_sort {} s.version_sort)"
 
 
-@register("baseline_load", "SELECT * FROM (VALUES ('P19960200', CAST(2 AS BIGINT), CAST(6 AS BIGINT)), ('P19960250', CAST(2 AS BIGINT), CAST(2 AS BIGINT)), ('P19950000', NULL, NULL)) t(version_sort, base, before)")
+@register("baseline_load", _LEDGER + f"SELECT version_sort, {_BEFORE.format('<=')} AS base, {_BEFORE.format('<')} AS before FROM (VALUES " + ", ".join(f"('{x}')" for x in _SORTS) + ") s(version_sort)")
 def _(spark, d):
-    found = [(s, ledger.baseline(v.loads(spark), "forecast", s), ledger.previous(v.loads(spark), "forecast", s)) for s in ("P19960200", "P19960250", "P19950000")]
+    loads = v.ledger(spark, d)
+    found = [(s, ledger.baseline(loads, "1-URGENT", s), ledger.previous(loads, "1-URGENT", s)) for s in _SORTS]
     return spark.createDataFrame(found, "version_sort string, base bigint, before bigint")
 
 
 @register("catalog_version", _LEDGER + "SELECT left(sha256(string_agg(dataset || ':' || id, ',' ORDER BY dataset)), 16) AS catalog_version FROM (SELECT dataset, arg_max(id, (version_sort, id)) AS id FROM loads WHERE status = 'ok' GROUP BY 1)")
 def _(spark, d):
-    return ledger.catalog_version(v.loads(spark))
+    return ledger.catalog_version(v.ledger(spark, d))
 
 
 @register("loads_newest_first", _LEDGER + "SELECT id, status FROM loads ORDER BY id DESC LIMIT 5")
 def _(spark, d):
-    return v.loads(spark).orderBy(F.desc("id")).limit(5).select("id", "status")
+    return v.ledger(spark, d).orderBy(F.desc("id")).limit(5).select("id", "status")
 
 
 @register("latest_observations", _F + f"SELECT load_id, dataset, entity, region, value FROM obs o WHERE load_id = {_LATEST}")
@@ -447,11 +489,27 @@ def _(spark, d):
     return found.where("p_partkey < other").withColumn("similarity", F.round("similarity", 9))
 
 
-@register("fuzzy_best_match", "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES (1, 1), (2, 2)) t(a, b)")
+_ASKED = f"WITH {_grams_sql('p_partkey', 'substring(p_name, 2)', 'part', 'l')}, {_grams_sql('s_suppkey', 'concat(p_name, chr(32), s_name)', 'supplier JOIN part ON p_partkey = s_suppkey', 'r')}, found AS (SELECT p_partkey, s_suppkey, round(sum(ln * rn) / (sqrt(any_value(lq)) * sqrt(any_value(rq))), 12) AS similarity FROM l JOIN r USING (gram) JOIN lm USING (p_partkey) JOIN rm USING (s_suppkey) GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY similarity DESC, s_suppkey) AS rank FROM found) "
+
+
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Names of parts as somebody writes them, and those of what suppliers offer."""
+    part, supplier = v.table(spark, d, "part"), v.table(spark, d, "supplier")
+    offers = supplier.join(part, F.col("p_partkey") == F.col("s_suppkey")).select("s_suppkey", F.concat_ws(" ", "p_name", "s_name").alias("name"))
+    return part.select("p_partkey", F.expr("substring(p_name, 2)").alias("asked")), offers
+
+
+@register("fuzzy_best_match", _ASKED + "SELECT p_partkey, s_suppkey FROM ranked WHERE rank = 1 AND similarity >= 0.35")
+def _(spark, d):
+    left, right = _names(spark, d)
+    alike = text.similar_names(left, right, "p_partkey", "asked", "s_suppkey", "name", 0.35).withColumn("similarity", F.round("similarity", 12))
+    return text.best_matches(alike, "p_partkey", "s_suppkey", 0.35).select("p_partkey", "s_suppkey")
+
+
+@register("names_most_alike", _ASKED + "SELECT p_partkey, CAST(rank AS INTEGER) AS rank, s_suppkey, round(similarity, 9) AS similarity FROM ranked WHERE rank <= 3")
 def _(spark, d):
-    left = spark.createDataFrame([(1, "Customer Lifetime Value"), (2, "gross margin rate"), (3, "zzz")], "a long, x string")
-    right = spark.createDataFrame([(1, "customer lifetimevalues"), (2, "Gross Margin Rate"), (3, "Net margin")], "b long, y string")
-    return text.best_matches(text.similarities(left, right, "a", "x", "b", "y"), "a", "b").select("a", "b")
+    left, right = _names(spark, d)
+    return text.top_names(left, right, "p_partkey", "asked", "s_suppkey", "name").withColumn("similarity", F.round("similarity", 9))
 
 
 _PARA = r"regexp_split_to_array(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n\s*\n')"

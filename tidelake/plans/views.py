@@ -103,6 +103,22 @@ def loads(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LOADS_ROWS), LOADS)
 
 
+LEDGER_SQL = """loads AS (
+  SELECT o_orderkey AS id, o_orderpriority AS dataset, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m') END AS version_label,
+         CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'P' || strftime(o_orderdate, '%Y%m') || '00' END AS version_sort,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'error' WHEN o_orderkey % 5 = 0 THEN 'skipped_duplicate' ELSE 'ok' END AS status FROM orders)"""
+
+
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger of loads out of orders: each is a load of its priority, labelled with its month or with nothing; some failed or were duplicates."""
+    labelled = F.pmod(F.col("o_custkey"), F.lit(3)) != 0
+    status = F.when(F.pmod(F.col("o_orderkey"), F.lit(7)) == 0, "error").when(F.pmod(F.col("o_orderkey"), F.lit(5)) == 0, "skipped_duplicate").otherwise("ok")
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("dataset"), status.alias("status"),
+        F.when(labelled, F.date_format("o_orderdate", "yyyy-MM")).otherwise("").alias("version_label"), F.when(labelled, F.concat(F.lit("P"), F.date_format("o_orderdate", "yyyyMM"), F.lit("00"))).otherwise("").alias("version_sort"),
+    )
+
+
 def obs_forecast(spark: SparkSession, d: str) -> DataFrame:
     """Three versions of a forecast, the oldest issued again, with keys added and removed on the way; and two unversioned loads of another dataset."""
     base = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import suite, topic_queries  # noqa: F401  (registers its queries)
+from .plans import store_queries, suite, topic_queries  # noqa: F401  (they register their queries)
 
 flagship = suite.flagship
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import sqlite3
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import REQUIRED_COLUMNS
 from .config import ConfigError, SourceConfig
-
-#: Rows of a SQLite result that a task reads at once.
-PAGE = 50_000
+from .sqlite import PAGE, is_table, opened, quoted, sqlite_table
 
 
 def rename_columns(df: DataFrame, rename: dict[str, str]) -> DataFrame:
@@ -31,24 +29,40 @@ def check_columns(df: DataFrame, version_column: str | None = None) -> DataFrame
     return df
 
 
+_WHOLE = re.compile(r"\s*SELECT\s+\*\s+FROM\s+([A-Za-z0-9_]+)\s*;?\s*", re.I)
+
+
 def read_source(spark: SparkSession, source: SourceConfig) -> DataFrame:
-    """The source's rows, renamed and checked; nothing is read yet where Spark can run the query itself."""
-    df = sqlite_query(spark, source.db, source.sql) if source.db else spark.sql(source.sql)
+    """The source's rows, renamed and checked; nothing is read yet where Spark can run the query itself. A whole SQLite table is scanned in parallel."""
+    if not source.db:
+        df = spark.sql(source.sql)
+    else:
+        whole = _WHOLE.fullmatch(source.sql)
+        parallel = whole is not None and is_table(source.db, whole[1])
+        df = sqlite_table(spark, source.db, whole[1]) if parallel else sqlite_query(spark, source.db, source.sql)
     return check_columns(rename_columns(df, source.rename), source.version_column)
 
 
 def sqlite_query(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """Rows of a query on a SQLite file opened read-only: integers, reals or, where a column holds anything else, text.
+    """Rows of a query or view on a SQLite file opened read-only: integers, reals or, where a column holds anything else, text.
 
-    One task reads the query once, a page at a time, as the order of a query's
-    rows is not known; neither it nor the driver holds more than a page. The file
-    must be readable where the task runs.
+    One task finds the types and one reads the rows, a page at a time, as the order
+    of a query's rows is not known; the driver only learns the columns' names. The
+    file must be readable where the tasks run. Tables are better read by
+    ``sqlite.sqlite_table``.
     """
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with opened(path) as db:
         names = [c[0] for c in db.execute(f"SELECT * FROM ({query}) LIMIT 0").description]
-        quoted = ['"' + n.replace('"', '""') + '"' for n in names]
-        tests = ", ".join(f"max(typeof({q}) NOT IN ('integer', 'null')), max(typeof({q}) NOT IN ('integer', 'real', 'null')), count({q})" for q in quoted)
-        found = db.execute(f"SELECT {tests} FROM ({query})").fetchone()
+    tests = ", ".join(f"max(typeof({q}) NOT IN ('integer', 'null')), max(typeof({q}) NOT IN ('integer', 'real', 'null')), count({q})" for q in map(quoted, names))
+
+    def ask(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for _ in batches:
+            with opened(path) as own:
+                yield pd.DataFrame({"found": [[int(x or 0) for x in own.execute(f"SELECT {tests} FROM ({query})").fetchone()]]})
+
+    found = spark.range(0, 1, 1, 1).mapInPandas(ask, "found array<long>").first().found
     kinds = ["string" if not found[3 * i + 2] or found[3 * i + 1] else "double" if found[3 * i] else "long" for i in range(len(names))]
     make = [{"string": str, "double": float, "long": int}[k] for k in kinds]
 
@@ -56,7 +70,7 @@ def sqlite_query(spark: SparkSession, path: str, query: str) -> DataFrame:
         import pandas as pd
 
         for _ in batches:
-            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as own:
+            with opened(path) as own:
                 cursor = own.execute(query)
                 while page := cursor.fetchmany(PAGE):
                     cells = [[None if v is None else m(v) for m, v in zip(make, r, strict=True)] for r in page]
