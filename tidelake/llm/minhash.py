@@ -157,18 +157,21 @@ def _confirmed(words: int):
     return run
 
 
-def _marked(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts whose id falls on a marked bit of a bitmap of fixed size: those of ids, and few others as long as there are few ids. A broadcast of BITMAP rows at most."""
-    place, bit = F.expr(f"pmod(xxhash64(id), {BITMAP}L)"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id) div {BITMAP}L, 64) as int))")
-    words = ids.select(place.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    met = texts.withColumn("word", place).join(F.broadcast(words), "word")
-    return met.where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
+def _marked(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose column falls on a marked bit of a bitmap of fixed size: those of the wanted values, and few others as long as there are few of these.
+
+    It goes before a join, so that little else is shuffled; a broadcast of BITMAP
+    rows at most.
+    """
+    place, bit = F.expr(f"pmod(xxhash64(`{column}`), {BITMAP}L)"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`) div {BITMAP}L, 64) as int))")
+    words = wanted.select(place.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    met = rows.withColumn("word", place).join(F.broadcast(words), "word")
+    return met.where(F.col("bits").bitwiseAND(bit) != 0).select(rows.columns)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar. Of the texts (id, text) those of the pairs are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    own = _marked(texts, ids)
+    own = _marked(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     met = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     met = met.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return met.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(words), "a long, b long")
@@ -195,7 +198,7 @@ def _pivot_links(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     entries = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sig_a"), F.explode(F.slice("bands", 1, FIRST)).alias("key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("a", "na", "sig_a")).alias("p")).where("size > 1")
     buckets = materialise(buckets.select("key", "size", F.col("p.a").alias("b"), F.col("p.na").alias("nb"), F.col("p.sig_a").alias("sig_b")), "buckets")
-    met = join_groups(entries, buckets, ["key"], "size").where("a != b").select("a", "b", "na", "nb", "sig_a", "sig_b")
+    met = join_groups(_marked(entries, buckets, "key"), buckets, ["key"], "size").where("a != b").select("a", "b", "na", "nb", "sig_a", "sig_b")
     best = _best(met.mapInArrow(_estimated, "a long, b long, likeness double"))
     links = materialise(confirm(best, texts, words), "links")
     discard(buckets)
@@ -251,12 +254,13 @@ def _pairs_apart(classes: DataFrame, labels: DataFrame, texts: DataFrame, words:
     own = materialise(_lettered(classes.select(F.col("rep").alias("a"), "n", "sig", "bands"), labels, "a", "comp"), "lettered")
     keys = own.select("comp", F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
     keys = materialise(keys.select("key", "size"), "open")
-    spots = materialise(join_groups(own.select("a", "n", "comp", "sig", F.explode("bands").alias("key")), keys, ["key"], "size"), "spots")
+    entries = own.select("a", "n", "comp", "sig", F.explode("bands").alias("key"))
+    spots = materialise(join_groups(_marked(entries, keys, "key"), keys, ["key"], "size"), "spots")
     parts = spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("x"))
     deal = lambda c: F.ceil(c / SIDE).cast("int")
     sizes = parts.select("key", "size", F.col("x.comp").alias("largest"), deal(F.col("size")).alias("columns"), deal(F.col("size") - F.col("x.c")).alias("rows"))
     sizes = materialise(sizes, "cells")
-    maps = _marked(texts, spots.select(F.col("a").alias("id"))).mapInArrow(_bitmaps(words), "a long, map binary")
+    maps = _marked(texts, spots.select(F.col("a").alias("id")), "id").mapInArrow(_bitmaps(words), "a long, map binary")
     met = join_groups(spots.drop("size"), sizes, ["key"], "size").withColumn("spot", F.xxhash64("a"))
     met = materialise(met.join(maps, "a"), "met")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
