@@ -87,3 +87,13 @@ def test_one_text_of_a_few_words_has_one_shingle(n):
     words = np.arange(1, n + 1, dtype=np.uint64)
     found = list(hashing.shingles(words, np.array([0, n]), 5))
     assert [len(x) for x in found] == [1]
+
+
+def test_the_least_id_stays_whatever_ids_are_repeated(spark):
+    alike = [(i, "some words that all of these documents have in common, and enough of them") for i in range(1, 9)]
+    for more in ([], [(900, "an unrelated text of six words"), (900, "and another one, unlike it too")], [(None, "a text of no document at all")], [(900, "x y"), (900, "z"), (None, alike[0][1])]):
+        docs = spark.createDataFrame(alike + more, "doc_id long, text string")
+        assert sorted(map(str, (r.doc_id for r in keep_one_of_similar(docs).collect()))) == sorted(map(str, [1] + [i for i, t in more if t != alike[0][1]]))
+    twice = [(3, alike[0][1]), (3, alike[0][1] + "."), (3, "quite another text of seven words"), (7, alike[0][1])]
+    kept = keep_one_of_similar(spark.createDataFrame(twice, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [3, 3] and len({r.text for r in kept} - {twice[2][1]}) == 1

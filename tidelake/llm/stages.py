@@ -42,8 +42,9 @@ def _ids(docs: DataFrame) -> tuple[bool, bool]:
 def keep_one_of_similar(docs: DataFrame) -> DataFrame:
     """Of each component of similar documents the one with the least doc_id, or else one without an id.
 
-    Where ids are repeated, the row with the least 64-bit hash stays; equal rows
-    without an id, or of a table with repeated ids, count as one.
+    Rows that share the least id are told apart by a 64-bit hash of all their
+    columns, of which the least stays; rows that are equal in all of them count as
+    one, where ids are missing or repeated.
     """
     columns = docs.columns
     missing, repeated = _ids(docs)
@@ -56,6 +57,11 @@ def keep_one_of_similar(docs: DataFrame) -> DataFrame:
     if missing or repeated:
         docs = docs.dropDuplicates([_KEY])
     found = similarity_components(docs, _KEY)
+    if repeated:  # components are named by hashes, and stand for their row of least (id, hash)
+        ids = docs.select(F.col(_KEY).alias("key"), F.col("doc_id").alias("id"))
+        of = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).join(ids, "key")
+        stays = of.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("x"))
+        return docs.join(stays.select(F.col("x.key").alias(_KEY)), _KEY, "left_semi").select(columns)
     dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias(_KEY))
     return docs.join(dropped, _KEY, "left_anti").select(columns)
 
