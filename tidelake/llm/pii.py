@@ -1,12 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four fixed patterns give the seed entities, and what a password is said to be is
-the seed of a fifth kind, secrets. Whatever else has the shape of an identifier is
+Four fixed patterns give the seed entities. What a password is said to be, and a
+long random string that a token or key is said to be, are the seeds of a fifth
+kind, secrets. Whatever else has the shape of an identifier is
 an unknown instance, if no seed covers it: a run of identifier characters with a
 digit or an @ in it, or groups of digits with single spaces, dots, hyphens and
 brackets between them, each of any length. Each instance has lexical patterns: the
 word before, the two words before, the word before with the word after, and, for
-long random strings, their own make-up.
+long random strings, their own make-up. Words are lower-cased runs of letters,
+digits and underscores; what stands between them does not count, so that
+token = "..." and token: ... are one context.
 
 Patterns and instances form a graph that Spark scores in rounds. In each one the
 instances known so far, seeds and discoveries, induce the patterns: for each kind a
@@ -40,13 +43,16 @@ _UNKNOWN = (
     r"(?<![A-Za-z0-9@._%+-])(?:[+(]{0,2}[0-9]++(?:\)?+[\x20.-]?+\(?+[0-9]++){1,18}+(?![A-Za-z0-9@_%+]|[.-][A-Za-z0-9@_%+])"
     r"|(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]*[A-Za-z0-9])"
 )
-#: Seeds of secrets: instances after this.
+#: Seeds of secrets: instances after this, and long random strings after that.
 _ASSIGNED = r"(?i)(?<![a-z])(?:password|passwd|passphrase)\s*[=:]\s*[\"']?$"
+_KEYED = r"(?i)(?<![a-z])(?:token|secret|(?:api|access|private)[_ -]?key)\s*[=:]\s*[\"']?$"
 SECRET = "secret"
 #: Rounds of scoring; the reliability that a pattern needs, the score that an instance needs, what an unknown instance weighs against a context.
 ROUNDS, RELIABLE, CERTAIN, UNKNOWN = 3, 0.5, 0.9, 0.5
-#: Characters on either side that are an instance's context: of longer words the part next to it counts.
-_NEAR = 80
+#: Words of a context. A word is tried at its first character only, so a long piece of text is read once.
+_LAST = r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)[^\p{L}\p{N}_]*+$"
+_LAST_TWO = r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)[^\p{L}\p{N}_]++([\p{L}\p{N}_]++)[^\p{L}\p{N}_]*+$"
+_NEXT = r"^[^\p{L}\p{N}_]*+([\p{L}\p{N}_]++)"
 
 
 def _luhn(digits: Column) -> Column:
@@ -64,13 +70,17 @@ def valid(kind: Column, found: Column) -> Column:
 
 
 def _pieces(text: Column, pattern: str, possible: Column) -> Column:
-    """Every match with the piece of text before it and the start of the one after."""
+    """Every match with its length, that of the text since the last one, and the words around it; named tells what is said to come before."""
     between = F.split(text, pattern, -1)
-    found = F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda m, i: F.struct(i.alias("i"), F.length(F.get(between, i)).alias("gap"), F.length(m).alias("size"), m.alias("m"), F.right(F.get(between, i), F.lit(_NEAR)).alias("left"), F.left(F.get(between, i + 1), F.lit(_NEAR)).alias("right")),
-    )
-    return F.when(possible, found).otherwise(F.array().cast("array<struct<i:int,gap:int,size:int,m:string,left:string,right:string>>"))
+
+    def piece(m: Column, i: Column) -> Column:
+        left, right = F.get(between, i), F.get(between, i + 1)
+        named = F.when(F.regexp_like(left, F.lit(_ASSIGNED)), "password").when(F.regexp_like(left, F.lit(_KEYED)), "key")
+        words = (F.lower(F.regexp_extract(left, _LAST, 1)), F.lower(F.concat_ws(" ", F.regexp_extract(left, _LAST_TWO, 1), F.regexp_extract(left, _LAST_TWO, 2))), F.lower(F.regexp_extract(right, _NEXT, 1)))
+        return F.struct(i.alias("i"), F.length(left).alias("gap"), F.length(m).alias("size"), m.alias("m"), named.alias("named"), *(w.alias(n) for w, n in zip(words, ("before", "two", "after"), strict=True)))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), piece)
+    return F.when(possible, found).otherwise(F.array().cast("array<struct<i:int,gap:int,size:int,m:string,named:string,before:string,two:string,after:string>>"))
 
 
 def _of_kind(kind: str | None, pieces: Column) -> Column:
@@ -81,10 +91,6 @@ def _count(kind: str, spans: Column) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def _word(piece: Column, pattern: str) -> Column:
-    return F.lower(F.regexp_extract(piece, pattern, 1))
-
-
 def instances(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: uid, doc_id; instances: uid, kind (null if unknown), start, end, m, before, after)."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
@@ -103,9 +109,9 @@ def instances(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     coming = F.min(F.when(seed, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (F.coalesce(coming, F.col("end")) >= F.col("end"))
     rows = rows.withColumn("free", free).where(seed | F.col("free"))
-    kind = F.coalesce("kind", F.when(F.regexp_like(F.col("left"), F.lit(_ASSIGNED)), SECRET)).alias("kind")
-    near = (_word(F.col("left"), r"(\S+)\s*$").alias("before"), _word(F.col("left"), r"(\S+\s+\S+)\s*$").alias("two"), _word(F.col("right"), r"^\s*(\S+)").alias("after"))
-    return kept.select("uid", "doc_id"), rows.select("uid", kind, "start", "end", "m", *near)
+    secret = (F.col("named") == "password") | (F.col("named") == "key") & _make_up(F.col("m")).isNotNull()
+    two = F.when(F.col("two").contains(" "), F.col("two")).otherwise("").alias("two")
+    return kept.select("uid", "doc_id"), rows.select("uid", F.coalesce("kind", F.when(secret, SECRET)).alias("kind"), "start", "end", "m", "before", two, "after")
 
 
 def _make_up(m: Column) -> Column:
