@@ -158,6 +158,7 @@ def test_snapshots_at_once(spark, tmp_path):
     assert len({r.id for r in loads}) == 4 and {r["load_id"] for r in out} == {r.id for r in loads}
     held = {r.load_id for r in store.observations().collect()}
     assert held == {r.id for r in loads if r.status == "ok"}
+    assert not [p for p in (tmp_path / "s").iterdir() if p.name.startswith("staged-")]
 
 
 def test_old_states_and_their_rows_go(spark, store, tmp_path, monkeypatch):
@@ -298,7 +299,7 @@ def test_questions_end_to_end(spark, store):
     assert assistant.digest() == 1 and assistant.digest() == 0
     found = api.get_digest("shipments")
     assert [x["kind"] for x in found] == ["load_summary", "entity_note"] and "모델A(+300, +25%)" in found[0]["sentence"]
-    assert refresh.log_call(store, "ask", "ok", 1.5, 3, 4) == 1 and refresh.metric_lines(store.table("call_log").select("id", "latency", "status")) == ["id=1 latency=1.5 status=ok"]
+    assert refresh.log_call(store, "ask", "ok", 1.5, 3, 4) == 2 and refresh.metric_lines(store.table("call_log").where("id = 2").select("id", "latency", "status")) == ["id=2 latency=1.5 status=ok"]  # 1 is the resolver's call
 
 
 def test_versions_by_id_belong_to_their_dataset(spark, store):

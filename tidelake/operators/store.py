@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -198,11 +199,26 @@ class Store(Tables):
         discard(changes)
 
     def _write_rows(self, good: DataFrame, keys: list[Planned]) -> None:
-        """The observations of all keys in one write, a partition for each load."""
+        """The observations of all keys in one write, a partition for each load.
+
+        They are written to a folder of their own and each load's partition is then
+        moved to its place, as Spark's writers share a temporary folder below their
+        target and the first of several to end would delete it.
+        """
         ids = self.spark.createDataFrame([(p.dataset, p.label, p.load_id) for p in keys], "dataset string, version_label string, load_id long")
         shaped = good.join(ids, ["dataset", "version_label"]).select([f.name for f in OBSERVATIONS.fields])
-        order = ["load_id", "metric", "entity", "period_sort"]
-        shaped.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("dataset", "load_id").parquet(f"{self.root}/observations")
+        order, staged = ["load_id", "metric", "entity", "period_sort"], f"{self.root}/staged-{uuid.uuid4().hex}"
+        fs, top = self._fs(staged)
+        try:
+            shaped.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("dataset", "load_id").parquet(staged)
+            for dataset in [x.getPath() for x in fs.listStatus(top) if x.isDirectory()]:
+                _, target = self._fs(f"{self.root}/observations/{dataset.getName()}")
+                fs.mkdirs(target)
+                for load in [x.getPath() for x in fs.listStatus(dataset)]:
+                    if not fs.rename(load, self.spark._jvm.org.apache.hadoop.fs.Path(target, load.getName())):
+                        raise RuntimeError(f"could not move {load} to {target}")
+        finally:
+            fs.delete(top, True)
 
     def _committed(self, plan: list[Planned], started: str, seen: int) -> None:
         """All ledger rows at once. If other writers came first, a key that they gave the same content is a duplicate and its rows go."""
