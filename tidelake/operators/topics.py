@@ -6,19 +6,27 @@ A mention is a row with a topic's key columns, a week (a whole number, see
 
 from __future__ import annotations
 
-from math import exp, sqrt
+import tempfile
+from collections.abc import Callable, Iterator
+from math import ceil, exp, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import join_hot, written
+from .scratch import join_hot, numbered, written
 
 #: Weeks of the baseline.
 WEEKS = 8
 #: Size of the sketches of distinct speakers (log2 of their registers).
 SKETCH = 12
-#: Topics of a document that are paired in one row.
-SLICE = 128
+#: Topics whose work is added up together: a range of topics has that many at least.
+SLICE = 32
+#: Pairs that a range counts, about, and how many ranges there are at least and at most.
+WORK, LEAST_RANGES, MOST_RANGES = 1e8, 32, 400
+#: Values in an Arrow batch, about.
+BATCH = 1_000_000
 
 
 def week_of(day: Column) -> Column:
@@ -76,6 +84,115 @@ def relative_error(size: int = SKETCH) -> float:
     return 1.04 / sqrt(1 << size)
 
 
+def _ranges(held: DataFrame) -> np.ndarray:
+    """The first ranks of ranges of about equal work, which is the number of pairs that their topics are the rarer of. Work is added up by SLICE ranks."""
+    each = held.select(F.size("ranks").alias("size"), F.posexplode("ranks").alias("at", "rank"))
+    rows = each.groupBy(F.floor(F.col("rank") / SLICE).alias("slice")).agg(F.sum(F.col("size") - F.col("at") - 1).alias("work")).orderBy("slice").collect()
+    work = np.array([r.work for r in rows], float)
+    if not len(work):
+        return np.zeros(1, np.int32)
+    most = max(min(WORK, work.sum() / LEAST_RANGES), work.sum() / MOST_RANGES, 1.0)
+    number = (np.cumsum(work) - work) // most
+    return np.array([0, *(rows[i].slice * SLICE for i in np.flatnonzero(np.diff(number)) + 1)], np.int32)
+
+
+def _tails(first: np.ndarray):
+    """A row for each document and range that it has topics of: these topics (``own`` many) and all more frequent ones, by rank."""
+    schema = pa.schema([("range", pa.int32()), ("own", pa.int32()), ("ranks", pa.list_(pa.int32()))])
+
+    def batch(rows: list) -> pa.RecordBatch:
+        ranges, own, tails = zip(*rows, strict=True)
+        offsets = np.cumsum([0, *map(len, tails)], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(own, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tails)))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for b in batches:
+            lists = b.column(0)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for start, end in zip(offsets[:-1], offsets[1:], strict=True):
+                own = values[start:end]
+                which = np.searchsorted(first, own, side="right") - 1
+                cuts = np.flatnonzero(np.diff(which, prepend=-1))
+                for at, n in zip(cuts, np.diff(cuts, append=len(own)), strict=True):
+                    rows.append((which[at], n, own[at:]))
+                    size += len(own) - at
+                    if size > BATCH:
+                        yield batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
+def _partners(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, own: np.ndarray, topics: int, least: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each topic of a range with the more frequent ones that enough of its documents hold, and how many do."""
+    at = np.repeat(starts - np.cumsum(own) + own, own) + np.arange(own.sum())
+    ends = np.repeat(starts + sizes, own)
+    order = np.argsort(values[at], kind="stable")
+    at, ends = at[order], ends[order]
+    ranks = values[at]
+    cuts = np.flatnonzero(np.diff(ranks, prepend=-1))
+    for lo, hi in zip(cuts, [*cuts[1:], len(ranks)], strict=True):
+        m = least(hi - lo)
+        if hi - lo < m:
+            continue
+        x = np.concatenate([values[s:e] for s, e in zip((at[lo:hi] + 1).tolist(), ends[lo:hi].tolist(), strict=True)])
+        if len(x) > topics // 4:
+            counts = np.bincount(x)
+            found = np.flatnonzero(counts >= m)
+            n = counts[found]
+        else:
+            x.sort()
+            found = np.unique(x[m - 1 :][x[m - 1 :] == x[: max(0, len(x) - m + 1)]])
+            n = np.searchsorted(x, found, "right") - np.searchsorted(x, found)
+        if len(found):
+            yield ranks[lo], found, n
+
+
+def _counted(topics: int, least: Callable[[int], int]):
+    """x, y, n_ab out of the rows of ``_tails``, in order of range. A range's ranks lie in a file, so memory does not grow with it."""
+    schema = pa.schema([("x", pa.int32()), ("y", pa.int32()), ("n_ab", pa.int64())])
+
+    def counts(file, sizes: list, own: list) -> Iterator[pa.RecordBatch]:
+        file.flush()
+        sizes, own = np.concatenate(sizes).astype(np.int64), np.concatenate(own).astype(np.int64)
+        values = np.memmap(file, np.int32, "r")
+        xs, ys, ns, size = [], [], [], 0
+        for x, y, n in _partners(values, np.cumsum(sizes) - sizes, sizes, own, topics, least):
+            xs.append(np.full(len(y), x, np.int32))
+            ys.append(y.astype(np.int32))
+            ns.append(n.astype(np.int64))
+            size += len(y)
+            if size > BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (xs, ys, ns)], schema=schema)
+                xs, ys, ns, size = [], [], [], 0
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (xs, ys, ns)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, file, sizes, own = None, None, [], []
+        for b in batches:
+            ranges, owned, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
+            for lo, hi in zip(cuts, [*cuts[1:], len(ranges)], strict=True):
+                if ranges[lo] != now:
+                    if file:
+                        yield from counts(file, sizes, own)
+                        file.close()
+                    now, file, sizes, own = ranges[lo], tempfile.TemporaryFile(), [], []
+                file.write(np.ascontiguousarray(values[offsets[lo] : offsets[hi]], np.int32).data)
+                sizes.append(np.diff(offsets[lo : hi + 1]))
+                own.append(owned[lo:hi])
+        if file:
+            yield from counts(file, sizes, own)
+            file.close()
+
+    return run
+
+
 def cooccurrence(mentions: DataFrame, doc: str, topic: str, min_docs: int = 2, min_pmi: float = 0.0) -> DataFrame:
     """a, b, n_a, n_b, n_ab, pmi of the pairs of topics, a < b, that at least min_docs documents share, with a PMI of at least min_pmi.
 
@@ -84,26 +201,27 @@ def cooccurrence(mentions: DataFrame, doc: str, topic: str, min_docs: int = 2, m
     and lose none that qualifies: n_ab <= n_a, so topics of fewer documents than
     min_docs go; and n_ab <= min(n_a, n_b), hence pmi <= ln(N / max(n_a, n_b)), so
     the more frequent topics go too: those that every other document holds are the
-    ones that would make most pairs. A document's topics are paired in slices, so
-    that a long document is many rows of bounded size. Pairs are counted before
-    they are dealt out. Null topics and documents are left out.
+    ones that would make most pairs. The rest is numbered, rare first, and dealt into
+    ranges of about equal work. A range gets the documents that hold its topics, each
+    once, from there on; for one topic at a time the more frequent topics of its
+    documents are counted, so a pair is counted whole in one place and becomes a row
+    only if it is frequent enough for the rarer of the two. Null topics and documents
+    are left out.
     """
     once = written(mentions.where(F.col(doc).isNotNull() & F.col(topic).isNotNull()).select(F.col(doc).alias("doc"), F.col(topic).alias("topic")).distinct(), "mentions")
     total = once.agg(F.count_distinct("doc")).first()[0]
     counts = once.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    kept = written(counts.where((F.col("n") >= min_docs) & (F.col("n") <= F.lit(total * exp(-min_pmi) * (1 + 1e-12)))), "topics")
-    held = written(join_hot(once, kept, "topic", "n").select("doc", "topic"), "held")
-    slices = held.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    dealt = held.join(slices, "doc").withColumn("own", F.pmod(F.xxhash64("topic"), F.col("slices")).cast("int"))
-    dealt = dealt.select("doc", "topic", "own", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-    cells = dealt.groupBy("doc", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"))
-    side = lambda end: F.collect_list(F.when(F.col("own") == end("own", "other"), F.col("topic")))
-    cells = cells.agg(side(F.least).alias("x"), side(F.greatest).alias("y"))
-    # inside one slice each pair is met twice, between two slices once
-    pair = "CASE WHEN p < q THEN named_struct('a', p, 'b', q) ELSE named_struct('a', q, 'b', p) END"
-    partners = F.expr(f"transform(filter(y, q -> (row = column AND p < q) OR (row != column AND p != q)), q -> {pair})")
-    pairs = cells.select("row", "column", "y", F.explode("x").alias("p")).select(F.explode(partners).alias("pair")).select("pair.*")
-    both = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= min_docs)
-    named = both.join(kept.select(F.col("topic").alias("a"), F.col("n").alias("n_a")), "a").join(kept.select(F.col("topic").alias("b"), F.col("n").alias("n_b")), "b")
-    pmi = F.log(F.col("n_ab") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b")))
-    return named.withColumn("pmi", pmi).where(F.col("pmi") >= min_pmi - 1e-12).select("a", "b", "n_a", "n_b", "n_ab", "pmi")
+    kept = numbered(counts.where((F.col("n") >= min_docs) & (F.col("n") <= F.lit(total * exp(-min_pmi) * (1 + 1e-12)))), "rank", "n", "topic")
+    held = join_hot(once, kept, "topic", "n").groupBy("doc").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    held = written(held.select("ranks"), "held")
+    first, topics = _ranges(held), kept.count()
+    # the other topic is as frequent at least, so a pair needs e^pmi * n^2 / N documents
+    least = lambda n: max(1, min_docs, ceil(exp(min_pmi) * n * n / total * (1 - 1e-9)))
+    tails = held.mapInArrow(_tails(first), "range int, own int, ranks array<int>").repartition(len(first), "range").sortWithinPartitions("range")
+    both = tails.mapInArrow(_counted(topics, least), "x int, y int, n_ab long")
+    end = lambda c: kept.select(F.col("rank").alias(c), F.col("topic").alias(f"t{c}"), F.col("n").alias(f"n{c}"))
+    pmi = F.log(F.col("n_ab") * F.lit(float(total)) / (F.col("nx") * F.col("ny")))
+    named = both.join(end("x"), "x").join(end("y"), "y").withColumn("pmi", pmi).where(F.col("pmi") >= min_pmi - 1e-12)
+    less = F.col("tx") < F.col("ty")
+    pick = lambda one, other, c: F.when(less, F.col(one)).otherwise(F.col(other)).alias(c)
+    return named.select(pick("tx", "ty", "a"), pick("ty", "tx", "b"), pick("nx", "ny", "n_a"), pick("ny", "nx", "n_b"), "n_ab", "pmi")

@@ -80,7 +80,7 @@ _SHARED, _PMI = 8, 1.5
 
 def words(spark: SparkSession, d: str) -> DataFrame:
     docs = v.table(spark, d, "documents")
-    return docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''")
+    return docs.select("doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))).alias("word")).where("word != ''")
 
 
 def word_pairs(spark: SparkSession, d: str) -> DataFrame:
