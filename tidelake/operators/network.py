@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, join_hot, written
+from .scratch import discard, join_hot, new_path, numbered, written
 
 ROUNDS = 20
 
@@ -25,17 +25,30 @@ def communities(edges: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
     trading labels for ever. Repeated edges add up, loops, null ends and edges
     without a positive weight are left out; no edges give no rows.
 
-    Labels reach the edges of a hub by broadcast, and sums are formed by (node,
-    label) before they meet at a node, so no task gets all neighbours of a hub.
+    Nodes are numbered in their order, so rounds work on whole numbers, and edges are
+    stored by the half of their node, so a round reads those of one half. Labels
+    reach the edges of a hub by broadcast, and sums are formed by (node, label)
+    before they meet at a node, so no task gets all neighbours of a hub.
     """
     ends = edges.where("a != b AND weight > 0")
-    both = ends.select("a", "b", "weight").union(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    both = written(both.groupBy("a", "b").agg(F.sum("weight").alias("weight")).withColumnRenamed("a", "node").withColumnRenamed("b", "from"), "edges")
+    named = written(ends.select(F.col("a").alias("node"), F.col("b").alias("to"), "weight"), "ends")
+    seen = written(named.select("node").union(named.select("to")).groupBy("node").agg(F.count(F.lit(1)).alias("size")), "nodes")
+    nodes = numbered(seen, "number", "node").withColumn("half", half(F.col("node")))
+    own = lambda key, number, *more: nodes.select(F.col("node").alias(key), F.col("number").alias(number), "size", *more)
+    met = join_hot(named, own("node", "a"), "node", "size").drop("size")
+    met = written(met.groupBy("a", "to").agg(F.sum("weight").alias("weight")), "met")
+    met = join_hot(met, own("to", "b"), "to", "size").select("a", "b", "weight")
+    sides = nodes.select(F.col("number").alias("node"), "half", "size")
+    both = written(met.union(met.select("b", "a", "weight")).toDF("node", "from", "weight").groupBy("node", "from").agg(F.sum("weight").alias("weight")), "both")
+    both = join_hot(both, sides, "node", "size").select("node", "from", "weight", "half")
+    path = new_path(edges.sparkSession, "edges")
+    both.write.partitionBy("half").parquet(path)
+    both = edges.sparkSession.read.schema("node int, from int, weight " + dict(both.dtypes)["weight"] + ", half int").parquet(path)
     state = written(both.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).select("node", F.col("node").alias("community"), "degree"), "labels")
     quiet = 0
     for i in range(max_rounds):
         facts = state.select(F.col("node").alias("from"), F.col("community").alias("label"), "degree")
-        turn = both.where(half(F.col("node")) == i % 2)
+        turn = both.where(F.col("half") == i % 2).drop("half")
         sums = join_hot(turn, facts, "from", "degree").groupBy("node", "label").agg(F.sum("weight").alias("s"))
         best = sums.join(state, "node").groupBy("node").agg(F.min(F.struct((-F.col("s")).alias("s"), (F.col("label") != F.col("community")).alias("other"), "label")).alias("x"))
         moved = state.join(best.select("node", F.col("x.label").alias("label")), "node", "left")
@@ -45,8 +58,8 @@ def communities(edges: DataFrame, max_rounds: int = ROUNDS) -> DataFrame:
         quiet = 0 if new.where("moved").limit(1).count() else quiet + 1
         if quiet == 2:
             break
-    discard(both)
-    return state
+    name = lambda c: nodes.select(F.col("number").alias(c), F.col("node").alias(f"_{c}"))
+    return written(state.join(name("node"), "node").join(name("community"), "community").select(F.col("_node").alias("node"), F.col("_community").alias("community"), "degree"), "communities")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
