@@ -97,3 +97,21 @@ def test_the_least_id_stays_whatever_ids_are_repeated(spark):
     twice = [(3, alike[0][1]), (3, alike[0][1] + "."), (3, "quite another text of seven words"), (7, alike[0][1])]
     kept = keep_one_of_similar(spark.createDataFrame(twice, "doc_id long, text string")).collect()
     assert [r.doc_id for r in kept] == [3, 3] and len({r.text for r in kept} - {twice[2][1]}) == 1
+
+
+def mixed_family(n, seed):
+    """Copies of one text with few to many edits, so that some are similar to most others, some to a few and many to none."""
+    return [x for e in (1, 3, 5, 7, 9) for x in near_copies(n, seed, words=80, edits=e)]
+
+
+def test_squares_of_a_mixed_group_form_few_pairs(spark, monkeypatch):
+    rows = [(i, t) for i, (_, t) in enumerate(mixed_family(60, 8))]
+    formed, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda pairs, live: formed.append(pairs.count()) or links(pairs, live))
+    docs = spark.createDataFrame(rows + [(3, rows[-1][1])], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in ngram_join.similarity_components(docs).collect()}
+    want = brute(rows)
+    parent = {d: c for d, _, c in want}
+    tied = {parent[3], parent[len(rows) - 1]}  # 3 has two sets
+    assert got == {(d, min(tied) if c in tied else c) for d, _, c in want}
+    assert sum(formed[1:]) < 12 * len(rows)

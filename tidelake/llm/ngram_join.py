@@ -8,9 +8,10 @@
    of the others the shared shingles are kept, by which alone they are compared.
 3. Documents that meet at a prefix shingle are paired under the length and
    positional filters. Shingles of up to ``GROUP`` documents give all their pairs.
-   The documents of more frequent ones are tied to a few pivots in rounds, and
-   only what is then in different components is paired out, in cells of bounded
-   size: a group of near copies costs about its size, and no link is lost.
+   The documents of more frequent ones are tied to a few pivots, then to the closest
+   documents of other components, and only what is still in different components is
+   paired out, in cells of bounded size whose tasks apply the suffix filter: a group
+   of near copies costs about its size, and no link is lost.
 4. Pairs pass the suffix filter (counts by hash range bound the intersection from
    above) and are verified, each pair once.
 5. Components of the verified links.
@@ -42,8 +43,8 @@ WORDS = 5
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 3, 4
 SKETCH_BITS, CHUNK_BITS = 20, 16
-#: Documents of a shingle that are paired at once; pivots of the first round, which double from round to round.
-GROUP, PIVOTS, ROUNDS = 16, 8, 3
+#: Documents of a shingle that are paired at once; pivots of a larger group; close documents that each one is held against before all are.
+GROUP, PIVOTS, CLOSEST = 16, 8, 4
 #: Parts of a large group in which its pivots are looked for.
 PARTS = 64
 #: Documents of one cell of a shingle of extreme frequency, and of one cell of pairing out.
@@ -306,26 +307,66 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return _pairs(*np.concatenate(found, axis=1))
 
 
-def _all_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Every allowed pair of some squares of large groups between different components, of two sides or within one."""
-    _, square = np.unique(np.stack([pdf[c].to_numpy(np.int64) for c in ("token", "row", "column")]), axis=1, return_inverse=True)
-    doc, comp, n, pos, side, cross = (pdf[c].to_numpy() for c in ("a", "component", "n", "pos", "side", "cross"))
-    order = np.lexsort((n, square))
-    square, doc, comp, n, pos, side, cross = (x[order] for x in (square, doc, comp, n, pos, side, cross))
-    out, held = [np.zeros((2, 0), np.int64)], 0
-    i = np.arange(len(doc))
-    for d in range(1, len(doc)):
-        i = i[: np.searchsorted(i, len(doc) - d)]
-        i = i[(square[i] == square[i + d]) & (n[i] * DEN >= NUM * n[i + d])]  # sorted by size: what is further off is longer yet
-        if not len(i):
-            break
-        ok = i[(comp[i] != comp[i + d]) & ((side[i] != side[i + d]) | ~cross[i]) & _allowed(n[i], pos[i], n[i + d], pos[i + d])]
-        out.append(np.stack([np.maximum(doc[ok], doc[ok + d]), np.minimum(doc[ok], doc[ok + d])]))
-        held += len(ok)
-        if held > 4 * SQUARE * SQUARE:
-            out = [np.unique(np.concatenate(out, axis=1), axis=1)]
-            held = 0
-    return _pairs(*np.concatenate(out, axis=1))
+def _bounded(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The suffix filter: whether the intersection, bounded from above by counts in hash ranges, may be large enough."""
+    least = np.minimum(a, b)
+    return (least.sum(1, dtype=np.int64) >= _least_overlap(na + nb)) | (least == 65535).any(1)
+
+
+def _best(a: np.ndarray, b: np.ndarray, closeness: np.ndarray, most: int) -> np.ndarray:
+    """Whether a pair is one of the closest of either of its sides."""
+    ok = np.zeros(len(a), bool)
+    for x in (a, b):
+        order = np.lexsort((-closeness, x))
+        first = np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1])))
+        rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+        ok[order] |= rank < most
+    return ok
+
+
+def _all_pairs(most: int | None):
+    """Allowed pairs of some squares of large groups between different components, of two sides or within one: each document's closest ones, or all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf["bins"].notna()
+        docs = pdf[known].sort_values("a")
+        ids, first = np.unique(docs["a"].to_numpy(np.int64), return_index=True)
+        sizes = np.minimum.reduceat(docs["n"].to_numpy(np.int64), first)  # of sets that share an id, what lets every pair of theirs pass
+        bins = np.maximum.reduceat(np.frombuffer(b"".join(docs["bins"]), np.uint16).reshape(-1, BINS), first)
+        pdf = pdf[~known]
+        _, square = np.unique(np.stack([pdf[c].to_numpy(np.int64) for c in ("token", "row", "column")]), axis=1, return_inverse=True)
+        doc, comp, n, pos, side, cross = (pdf[c].to_numpy() for c in ("a", "component", "n", "pos", "side", "cross"))
+        order = np.lexsort((n, square))
+        square, doc, comp, n, pos, side, cross = (x[order] for x in (square, doc, comp, n, pos, side, cross))
+        at = np.searchsorted(ids, doc)
+
+        def passed(pairs: list[np.ndarray]) -> np.ndarray:
+            x = np.unique(np.concatenate(pairs))
+            cut = [(y, y // len(ids), y % len(ids)) for y in np.array_split(x, 1 + (len(x) >> 16))]
+            return np.concatenate([y[_bounded(sizes[a], sizes[b], bins[a], bins[b])] for y, a, b in cut])
+
+        out, held = [np.zeros(0, np.int64)], 0  # pairs as the places of their documents in one number
+        i = np.arange(len(doc))
+        for d in range(1, len(doc)):
+            i = i[: np.searchsorted(i, len(doc) - d)]
+            i = i[(square[i] == square[i + d]) & (n[i] * DEN >= NUM * n[i + d])]  # sorted by size: what is further off is longer yet
+            if not len(i):
+                break
+            ok = i[(comp[i] != comp[i + d]) & ((side[i] != side[i + d]) | ~cross[i]) & _allowed(n[i], pos[i], n[i + d], pos[i + d])]
+            out.append(np.maximum(at[ok], at[ok + d]) * len(ids) + np.minimum(at[ok], at[ok + d]))
+            held += len(ok)
+            if held > SQUARE * SQUARE:
+                out, held = [passed(out)], 0
+        found = passed(out)
+        a, b = found // len(ids), found % len(ids)
+        if most is not None and len(found):
+            parts = np.array_split(np.arange(len(a)), 1 + (len(a) >> 16))
+            common = np.concatenate([np.minimum(bins[a[x]], bins[b[x]]).sum(1, dtype=np.int64) for x in parts])
+            best = _best(a, b, common / (sizes[a] + sizes[b]), most)
+            a, b = a[best], b[best]
+        return _pairs(ids[a], ids[b])
+
+    return run
 
 
 def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +376,7 @@ def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
-        least = np.minimum(a, b)
-        ok = (least.sum(1, dtype=np.int64) >= _least_overlap(na + nb)) | (least == 65535).any(1)
-        yield batch.filter(pa.array(ok)).select(["a", "b"])
+        yield batch.filter(pa.array(_bounded(na, nb, a, b))).select(["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,8 +428,12 @@ def _lettered(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
 
 
-def _square_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """All allowed pairs of large groups between different components, by squares of at most about 2 * SQUARE members."""
+def _square_pairs(members: DataFrame, live: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
+    """Allowed pairs of large groups between different components, by squares of at most about 2 * SQUARE members; for each document and block the ``most`` closest, or all.
+
+    Pairs pass the suffix filter before they leave their task, so that of a group
+    only those are formed that are similar or nearly so.
+    """
     lettered = _lettered(members, labels)
     cells = lettered.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     cells = materialise(cells.select("token", "size", F.ceil(F.col("size") / SQUARE).cast("int").alias("cells")), "cells")
@@ -399,31 +442,31 @@ def _square_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     own = own.select("token", "a", "n", "pos", "component", "side", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("column"))
     own = own.withColumn("cross", F.col("row") != F.col("column"))
     rows = cells.agg(F.coalesce(F.sum(F.col("size") * F.col("cells")), F.lit(0))).first()[0]
-    block = F.pmod(F.xxhash64("token", "row", "column"), F.lit(max(1, rows // (20 * SQUARE)))).alias("block")
-    return own.groupBy(block).applyInPandas(_all_pairs, "a long, b long").distinct()
+    own = own.withColumn("block", F.pmod(F.xxhash64("token", "row", "column"), F.lit(max(1, rows // (20 * SQUARE)))))
+    docs = own.select("block", "a").distinct().join(live.select("a", "n", "bins"), "a")
+    columns = ["block", "a", "n", "bins", "token", "pos", "component", "side", "row", "column", "cross"]
+    both = own.withColumn("bins", F.lit(None).cast("binary")).select(columns).union(docs.select(*columns[:4], *(F.lit(0).cast(own.schema[c].dataType) for c in columns[4:])))
+    return both.groupBy("block").applyInPandas(_all_pairs(most), "a long, b long").distinct()
 
 
 def _tie_groups(members: DataFrame, live: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """labels, merged by all links between members (token, count, a, n, pos) of large groups. Pairs that were verified before are left out.
 
-    For the pivots each document stands in two of its groups only, its largest and
-    a random one; that only decides how much is tied before the rest is paired out
-    in all groups.
+    Pivots tie what is much alike. Then each document is held against its closest ones
+    of other components, and at last whatever is still apart is paired out. For the
+    pivots each document stands in two of its groups only, its largest and a random
+    one; that only decides how much is tied before the rest is paired out in all groups.
     """
     spots = members.groupBy("a", "n").agg(F.max_by("token", F.struct("count", "token")).alias("x"), F.max_by("token", F.xxhash64("token")).alias("y"))
     spots = materialise(spots.select("a", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("token")), "spots")
-    seen, rounds = [pairs], 0
-    while rounds <= ROUNDS:
-        more = _pivot_pairs(spots, labels, PIVOTS << rounds) if rounds < ROUNDS else _square_pairs(members, labels)
-        more = materialise(more.join(reduce(DataFrame.union, seen), ["a", "b"], "left_anti"), "more")
-        seen.append(more)
-        found = materialise(_links(more, live), "links")
+    seen = [pairs]
+    for more in (lambda: _pivot_pairs(spots, labels, PIVOTS), lambda: _square_pairs(members, live, labels, CLOSEST), lambda: _square_pairs(members, live, labels, None)):
+        seen.append(materialise(more().join(reduce(DataFrame.union, seen), ["a", "b"], "left_anti"), "more"))
+        found = materialise(_links(seen[-1], live), "links")
         if found.limit(1).count():
             merged = _merge(found, labels)
             discard(labels)
-            labels, rounds = merged, rounds + 1
-        else:  # what the pivots cannot tie is left to the squares
-            rounds = ROUNDS if rounds < ROUNDS else ROUNDS + 1
+            labels = merged
         discard(found)
     for x in [*seen[1:], spots]:
         discard(x)
