@@ -70,3 +70,24 @@ def test_repeats_nulls_and_empty(spark):
     rows = [(1, "a", *[None] * 8), (1, "b", *[None] * 8), (None, "Aa", *[None] * 8), (None, None, *[None] * 8)]
     assert len(fingerprints.edited_fingerprints(frame(spark, rows)).collect()) == 4
     assert fingerprints.edited_fingerprints(frame(spark, [])).collect() == []
+
+
+def test_texts_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    frame(spark).write.parquet(f"{tmp_path}/d")
+    plans, written = [], fingerprints.materialise
+
+    def watched(df, name):
+        if name == "edited":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return written(df, name)
+
+    monkeypatch.setattr(fingerprints, "materialise", watched)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        fingerprints.edited_fingerprints(spark.read.parquet(f"{tmp_path}/d")).collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert plans and "ReusedExchange [doc_id" in plans[0]

@@ -94,7 +94,9 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     sent = placed.join(wanted.union(compared), "doc_id").select(F.col("for").alias("doc_id"), "head", F.expr("substring(text, 1, need)").alias("piece"))
     sent = sent.groupBy("doc_id").agg(F.max(F.when(F.col("head"), F.col("piece"))).alias("next_text"), F.max(F.when(~F.col("head"), F.col("piece"))).alias("other_text"))
     none = F.lit(None).cast("string")
-    joined = placed.join(sent, "doc_id", "left").union(base.where("doc_id is null").select("doc_id", "text", none, none)).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    # A union keeps the names of its first part as they are; for the exchange of texts to be the same in both joins, theirs comes second.
+    unnamed = base.where("doc_id is null").select("doc_id", "text", none.alias("next_text"), none.alias("other_text"))
+    joined = unnamed.union(placed.join(sent, "doc_id", "left")).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - half)"), F.expr("substring(coalesce(next_text, text), 1, half)"))
     forms = joined.select("doc_id", "text", "other_text", edited.alias("edited")).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"), F.when(F.col("other_text").isNotNull(), canonical(F.coalesce("other_text", F.lit("")))).alias("other_form"))
     checked = F.coalesce((F.col("form") == F.col("other_form")) | (digest(F.col("form")) != digest(F.col("other_form"))), F.lit(True))
