@@ -1,3 +1,5 @@
+import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -50,3 +52,24 @@ def test_empty_and_null_ids(spark, tmp_path):
     rows = order.write_training_order(frame(spark, [(i, "x", *[None] * 8) for i in (-5, -1, None, 7, 0)]), PATH, f"file://{tmp_path}/i").collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, -5), (False, -1), (False, 0), (False, 7), (True, 0)]
 
+
+def test_pieces_give_the_ids_of_whole_texts():
+    library, r = sentencepiece.SentencePieceProcessor(model_file=PATH), random.Random(3)
+    signs = ["a", "b", " ", "  ", order.MARK, "é", "日本", "\t", "\n", "\u0301", "\uff43", "the", "<s>", "\0", "\U0001f600"]
+    texts = ["".join(r.choices(signs, k=r.randrange(600))) for _ in range(300)] + [None, "", " ", "w" * 5000, "a " * 400, " " * 400, "a" + " " * 400 + "b", *(x[1] for x in awkward())]
+    assert order._apart(library) and max(len(order._pieces(t or "")) for t in texts) > 100
+    assert [x.tolist() for x in order._tokens(library, True, texts)] == [[*library.encode(t or ""), order.END] for t in texts]
+    assert [x.tolist() for x in order._tokens(library, False, texts)] == [[*library.encode(t or ""), order.END] for t in texts]
+
+
+def test_time_does_not_grow_with_the_words_seen_before():
+    library, r = sentencepiece.SentencePieceProcessor(model_file=PATH), random.Random(4)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=8)) for _ in range(40)) for _ in range(8000)]
+    begun = time.process_time()
+    for i in range(0, len(texts), 128):
+        list(order._tokens(library, True, texts[i : i + 128]))
+    pieces = time.process_time() - begun
+    begun = time.process_time()
+    for i in range(0, len(texts), 128):
+        library.encode(texts[i : i + 128], num_threads=1)
+    assert pieces < 2 * (time.process_time() - begun)

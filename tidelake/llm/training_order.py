@@ -1,6 +1,6 @@
 """Token-id output in training order.
 
-Texts are encoded once, a word that a task knows not again, ended by an end id and cut into sequences of fixed length.
+Texts are encoded once, in short pieces that begin at spaces, ended by an end id and cut into sequences of fixed length.
 A sequence's number is its partition's and its place there; a keyed Feistel
 permutation with cycle-walking moves the numbers about their whole range, a
 bijection that needs no sort, no table and no count made beforehand. Ranges of
@@ -14,11 +14,10 @@ a rename, so tasks may be run again.
 from __future__ import annotations
 
 import hashlib
-import re
-import sys
 import uuid
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,9 +30,8 @@ from .base import bound_batches, materialise, scratch_root
 LENGTH, SHARD = 256, 1 << 16
 KEY, ROUNDS = 0x5DEECE66D1CE4E5B, 4
 END, PAD = 2, 0
-MARK, _RUNS, _END = "▁", re.compile(" +[^ ]*"), END.to_bytes(2, sys.byteorder)
-#: Words of a generation whose ids a task keeps.
-WORDS = 60_000
+#: The model's sign for a space; characters of a piece of text, to the next space.
+MARK, PIECE = "▁", 128
 #: Numbers that each partition has for its sequences.
 EACH = 1 << 32
 #: Bytes of sequences gathered in a task before they are sent out.
@@ -76,35 +74,44 @@ def _library(model: bytes):
     return _models[key]
 
 
-class _Tokens:
-    """Ids of texts with the end id, as the library gives them.
+def _apart(library) -> bool:
+    """Whether the library leaves texts as they are and no piece of the model joins a character to a space behind it.
 
-    Where no piece joins a character to a space mark behind it, nothing is merged
-    across the start of a word, so each word is encoded by itself, with the spaces
-    before it but one, which the library puts there. The ids of words are kept in two
-    generations of at most about WORDS. Texts with a mark of their own or a space at
-    the end, and all texts of another model, are encoded as wholes.
+    Nothing is then merged across a space behind a character, and the library puts a
+    space before each text: what follows such a space is encoded by itself, without it.
     """
+    odd = "  a  b\u00a0\uff43e\u0301 \u0301\t\n "
+    ids = library.encode(odd)
+    if library.decode(ids) != odd or "".join(map(library.id_to_piece, library.encode(" a  b "))) != f"{MARK * 2}a{MARK * 2}b{MARK}":
+        return False
+    return not any(MARK in library.id_to_piece(i).lstrip(MARK) for i in range(library.vocab_size()))
+
+
+def _pieces(text: str) -> list[str]:
+    """The text cut at spaces that stand behind a character and before another one, further spaces aside; these spaces are left out."""
+    out, first, end = [], 0, len(text.rstrip(" "))
+    at = text.find(" ", PIECE, end)
+    while at > 0:
+        if text[at - 1] in (" ", MARK):
+            at = text.find(" ", at + 1, end)
+        else:
+            out.append(text[first:at])
+            first = at + 1
+            at = text.find(" ", first + PIECE, end)
+    out.append(text[first:])
+    return out
+
 
-    def __init__(self, model: bytes):
-        self.library, self.kept, self.old = _library(model), {}, {}
-        pieces = [self.library.id_to_piece(i) for i in range(self.library.vocab_size())]
-        self.apart = self.library.encode("a  b\u00a0\uff43", out_type=str) == self.library.encode("a", out_type=str) + self.library.encode(" b\u00a0\uff43", out_type=str) and not any(MARK in p.lstrip(MARK) for p in pieces)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text or not self.apart or text[-1] == " " or MARK in text:
-            ids = self.library.encode(text or "")
-            return np.fromiter([*ids, END], np.uint16, len(ids) + 1)
-        words = [x[1:] for x in _RUNS.findall(" " + text)] if text[0] == " " or "  " in text else text.split(" ")
-        if new := set(words).difference(self.kept):
-            for w in new.intersection(self.old):
-                self.kept[w] = self.old[w]
-            new = [*new.difference(self.old)]
-            self.kept.update(zip(new, (array("H", ids).tobytes() for ids in self.library.encode(new, num_threads=1)), strict=True))
-        out = np.frombuffer(b"".join([*map(self.kept.__getitem__, words), _END]), np.uint16)
-        if len(self.kept) > WORDS:
-            self.kept, self.old = {}, self.kept if len(self.kept) < 2 * WORDS else {}
-        return out
+def _tokens(library, apart: bool, texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Ids of texts with the end id, as the library gives them. Its time grows faster than a text, so pieces take less."""
+    cut = [_pieces(t or "") if apart else [t or ""] for t in texts]
+    ids = library.encode(list(chain.from_iterable(cut)), num_threads=1)
+    at = 0
+    for c in cut:
+        own = array("H", chain.from_iterable(ids[at : at + len(c)]))
+        own.append(END)
+        at += len(c)
+        yield np.frombuffer(own, np.uint16)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -136,11 +143,12 @@ def _sequences(model: bytes, length: int, parts: int, width: int, key: int):
             types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-        tokens = _Tokens(model)
+        library = _library(model)
+        apart = _apart(library)
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                for doc, t in zip(part.column(0).to_pylist(), map(tokens, part.column(1).to_pylist()), strict=True):
+                for doc, t in zip(part.column(0).to_pylist(), _tokens(library, apart, part.column(1).to_pylist()), strict=True):
                     n = -(-len(t) // length)
                     cut = np.full(n * length, PAD, np.uint16)
                     cut[: len(t)] = t
