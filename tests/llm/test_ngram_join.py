@@ -115,3 +115,33 @@ def test_squares_of_a_mixed_group_form_few_pairs(spark, monkeypatch):
     tied = {parent[3], parent[len(rows) - 1]}  # 3 has two sets
     assert got == {(d, min(tied) if c in tied else c) for d, _, c in want}
     assert sum(formed[1:]) < 12 * len(rows)
+
+
+def test_labels_meet_large_groups_by_document(spark, monkeypatch):
+    """Groups grow past GROUP members all at once as a table grows, by one row for each shingle of each document's prefix."""
+    rows = [(1000 * g + i, t) for g in range(4) for i, (_, t) in enumerate(near_copies(40, g, words=200))]
+    docs, joined, lettered, runs = spark.createDataFrame(rows, "doc_id long, text string"), [], ngram_join._lettered, []
+    monkeypatch.setattr(ngram_join, "_lettered", lambda m, labels: joined.append(m.count()) or lettered(m, labels))
+    write = ngram_join.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "runs":
+            runs.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_components(docs).collect())
+    assert got == brute(rows)
+    assert len(joined) == 3 and max(joined) <= 2 * len(rows)
+    assert len(runs) == 2 and max(runs) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("square", [1, 7, 1000])
+def test_runs_of_members_lose_no_pair(spark, monkeypatch, square):
+    monkeypatch.setattr(ngram_join, "GROUP", 2)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_join, "SQUARE", square)
+    rows = [(i, t) for i, (_, t) in enumerate(mixed_family(8, 5))] + [(5000 + i, t) for i, (_, t) in enumerate(near_copies(12, 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_components(docs).collect()) == brute(rows)

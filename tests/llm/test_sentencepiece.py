@@ -6,6 +6,7 @@ import pytest
 import sentencepiece
 from util import awkward, frame
 
+from tidelake.llm import base
 from tidelake.llm import sentencepiece_bpe as bpe
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -47,3 +48,20 @@ def test_tables(spark, library):
     texts = sorted((r.doc_id, r.text) for r in bpe.decode_documents(encoded, PATH).collect())
     assert texts == sorted((x[0], library.decode(library.encode(x[1] or ""))) for x in awkward())
     assert bpe.encode_documents(frame(spark, []), PATH).collect() == []
+
+
+def test_freed_memory_is_given_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(bpe, "give_back", lambda: calls.append(1))
+    bpe.encoder(bpe.read_model(PATH)).forget()
+    assert len(calls) == 2
+    base.give_back()
+
+
+def test_nothing_of_the_texts_is_kept_after_a_task(library):
+    own = bpe.Encoder(bpe.read_model(PATH))
+    for text in ("some common words", "naïve 日本 x1"):
+        own.digest(text)
+    own.forget()
+    assert not any(len(x) or len(x.old) for x in (own.word, own.segment, own.compatible))
+    assert own.encode("some common words") == library.encode("some common words")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .base import bound_batches, discard, join_groups, materialise, shuffle_partitions
+from .base import bound_batches, discard, give_back, join_groups, materialise, shuffle_partitions
 from .components import components
 
 WORDS = 5
@@ -200,6 +200,7 @@ def _sent(words: int, sketch, blocks: int, hot: int):
                     yield flush()
         if sets:
             yield flush()
+        give_back()
 
     return run
 
@@ -428,16 +429,37 @@ def _lettered(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of large groups among a batch's documents, those of one shingle and component in one row."""
+    kind = pa.struct([("a", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())])
+    for batch in batches:
+        spots = batch.column("spots")
+        row = np.repeat(np.arange(len(spots)), spots.value_lengths().to_numpy())
+        if not len(row):
+            continue
+        token, pos = (spots.flatten().field(i).to_numpy() for i in (0, 1))
+        doc, n, component = (batch.column(c).to_numpy()[row] for c in ("a", "n", "component"))
+        order = np.lexsort((component, token))
+        token, component = token[order], component[order]
+        first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (component[1:] != component[:-1]))))
+        members = pa.StructArray.from_arrays([pa.array(x[order], f.type) for x, f in zip((doc, n, pos), kind, strict=True)], fields=list(kind))
+        yield pa.RecordBatch.from_arrays([pa.array(token[first]), pa.array(component[first]), pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), members)], ["token", "component", "members"])
+
+
 def _square_pairs(members: DataFrame, live: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
     """Allowed pairs of large groups between different components, by squares of at most about 2 * SQUARE members; for each document and block the ``most`` closest, or all.
 
-    Pairs pass the suffix filter before they leave their task, so that of a group
+    Labels are joined to documents, and documents of one component lie side by side
+    when their shingles are gathered, so a group that is all in one component, as
+    most are by then, is a few rows, and its members are not dealt out. Pairs pass the suffix filter before they leave their task, so that of a group
     only those are formed that are similar or nearly so.
     """
-    lettered = _lettered(members, labels)
-    cells = lettered.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    near = _lettered(members, labels).select("a", "n", "spots", "component").repartitionByRange("component", "a").sortWithinPartitions("component", "a")
+    runs = materialise(near.mapInArrow(_runs, "token long, component long, members array<struct<a: long, n: long, pos: int>>"), "runs")
+    cells = runs.groupBy("token").agg(F.sum(F.size("members")).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     cells = materialise(cells.select("token", "size", F.ceil(F.col("size") / SQUARE).cast("int").alias("cells")), "cells")
-    own = lettered.join(cells.drop("size"), "token").withColumn("side", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int"))
+    own = runs.join(cells.drop("size"), "token").select("token", "component", "cells", F.inline("members"))
+    own = own.withColumn("side", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     own = own.select("token", "a", "n", "pos", "component", "side", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("column"))
     own = own.withColumn("cross", F.col("row") != F.col("column"))
@@ -450,15 +472,14 @@ def _square_pairs(members: DataFrame, live: DataFrame, labels: DataFrame, most:
 
 
 def _tie_groups(members: DataFrame, live: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels, merged by all links between members (token, count, a, n, pos) of large groups. Pairs that were verified before are left out.
+    """labels, merged by all links between members (a, n, largest, other, spots of token and pos) of large groups. Pairs that were verified before are left out.
 
     Pivots tie what is much alike. Then each document is held against its closest ones
     of other components, and at last whatever is still apart is paired out. For the
     pivots each document stands in two of its groups only, its largest and a random
     one; that only decides how much is tied before the rest is paired out in all groups.
     """
-    spots = members.groupBy("a", "n").agg(F.max_by("token", F.struct("count", "token")).alias("x"), F.max_by("token", F.xxhash64("token")).alias("y"))
-    spots = materialise(spots.select("a", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("token")), "spots")
+    spots = materialise(members.select("a", "n", F.explode(F.array_distinct(F.array("largest", "other"))).alias("token")), "spots")
     seen = [pairs]
     for more in (lambda: _pivot_pairs(spots, labels, PIVOTS), lambda: _square_pairs(members, live, labels, CLOSEST), lambda: _square_pairs(members, live, labels, None)):
         seen.append(materialise(more().join(reduce(DataFrame.union, seen), ["a", "b"], "left_anti"), "more"))
@@ -501,7 +522,8 @@ def similarity_components(docs: DataFrame, id_column: str = "doc_id", text_colum
     pairs = materialise(entries.where(F.col("count") <= GROUP).groupBy(block).applyInPandas(_meet, "a long, b long").distinct(), "pairs")
     labels = _merge(_links(pairs, live), None)
     members = entries.where(F.col("count") > GROUP).groupBy("token", "count", "digest").agg(F.min(F.struct("a", "n", "pos")).alias("x"))
-    members = materialise(members.select("token", "count", "x.*"), "members")
+    members = members.select("token", "count", "x.*").groupBy("a", "n").agg(F.max_by("token", F.struct("count", "token")).alias("largest"), F.max_by("token", F.xxhash64("token")).alias("other"), F.collect_list(F.struct("token", "pos")).alias("spots"))
+    members = materialise(members, "members")
     labels = _tie_groups(members, live, pairs, labels)
     linked = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
     classes = materialise(thin.where(linked).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")

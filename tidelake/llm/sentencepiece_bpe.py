@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bound_batches
+from .base import bound_batches, give_back
 
 SPACE = "▁"
 #: Entries of a generation of kept words and of pair tests; longer words are not kept.
@@ -82,10 +82,11 @@ class Encoder:
         self.word = _Generations(self._word, WORDS, LONGEST)
 
     def forget(self) -> None:
-        """Empty the tables of frequent words, which a worker process would else hold while it does other things."""
-        for table in (self.segment, self.word):
+        """Empty the tables of frequent words and of pair tests, which a worker process would else hold while it does other things."""
+        for table in (self.segment, self.word, self.compatible):
             table.clear()
             table.old = {}
+        give_back()
 
     def _merged(self, text: str) -> list[str]:
         """The merge loop itself; only pairs of pieces come here."""
@@ -181,6 +182,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(model: bytes) -> Encoder:
     """One encoder for each model and worker process."""
+    give_back()  # what other tasks left
     key = hashlib.sha256(model).hexdigest()
     if key not in _encoders:
         _encoders.clear()
