@@ -6,27 +6,27 @@ A mention is a row with a topic's key columns, a week (a whole number, see
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterator
-from math import ceil, exp, sqrt
+from collections.abc import Iterator
+from itertools import combinations_with_replacement
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import join_hot, numbered, written
+from .pairs import Square, packed_documents
+from .scratch import numbered, written
 
 #: Weeks of the baseline.
 WEEKS = 8
 #: Size of the sketches of distinct speakers (log2 of their registers).
 SKETCH = 12
-#: Topics whose work is added up together: a range of topics has that many at least.
-SLICE = 32
-#: Pairs that a range counts, about, and how many ranges there are at least and at most.
-WORK, LEAST_RANGES, MOST_RANGES = 1e8, 32, 400
-#: Values in an Arrow batch, about.
-BATCH = 1_000_000
+#: Documents in a row of the packed lists; groups of topics at least and at most; occurrences in a group, about.
+SLICE, GROUPS, MOST_GROUPS, MASS = 2048, 8, 40, 1 << 24
+#: Pairs in an Arrow batch, about.
+BATCH = 200_000
 
 
 def week_of(day: Column) -> Column:
@@ -84,111 +84,127 @@ def relative_error(size: int = SKETCH) -> float:
     return 1.04 / sqrt(1 << size)
 
 
-def _ranges(held: DataFrame) -> np.ndarray:
-    """The first ranks of ranges of about equal work, which is the number of pairs that their topics are the rarer of. Work is added up by SLICE ranks."""
-    each = held.select(F.size("ranks").alias("size"), F.posexplode("ranks").alias("at", "rank"))
-    rows = each.groupBy(F.floor(F.col("rank") / SLICE).alias("slice")).agg(F.sum(F.col("size") - F.col("at") - 1).alias("work")).orderBy("slice").collect()
-    work = np.array([r.work for r in rows], float)
-    if not len(work):
-        return np.zeros(1, np.int32)
-    most = max(min(WORK, work.sum() / LEAST_RANGES), work.sum() / MOST_RANGES, 1.0)
-    number = (np.cumsum(work) - work) // most
-    return np.array([0, *(rows[i].slice * SLICE for i in np.flatnonzero(np.diff(number)) + 1)], np.int32)
-
-
-def _tails(first: np.ndarray):
-    """A row for each document and range that it has topics of: these topics (``own`` many) and all more frequent ones, by rank."""
-    schema = pa.schema([("range", pa.int32()), ("own", pa.int32()), ("ranks", pa.list_(pa.int32()))])
-
-    def batch(rows: list) -> pa.RecordBatch:
-        ranges, own, tails = zip(*rows, strict=True)
-        offsets = np.cumsum([0, *map(len, tails)], dtype=np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(own, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tails)))], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for b in batches:
-            lists = b.column(0)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for start, end in zip(offsets[:-1], offsets[1:], strict=True):
-                own = values[start:end]
-                which = np.searchsorted(first, own, side="right") - 1
-                cuts = np.flatnonzero(np.diff(which, prepend=-1))
-                for at, n in zip(cuts, np.diff(cuts, append=len(own)), strict=True):
-                    rows.append((which[at], n, own[at:]))
-                    size += len(own) - at
-                    if size > BATCH:
-                        yield batch(rows)
-                        rows, size = [], 0
-        if rows:
-            yield batch(rows)
-
-    return run
-
-
-def _partners(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, own: np.ndarray, topics: int, least: Callable[[int], int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each topic of a range with the more frequent ones that enough of its documents hold, and how many do."""
-    at = np.repeat(starts - np.cumsum(own) + own, own) + np.arange(own.sum())
-    ends = np.repeat(starts + sizes, own)
-    order = np.argsort(values[at], kind="stable")
-    at, ends = at[order], ends[order]
-    ranks = values[at]
-    cuts = np.flatnonzero(np.diff(ranks, prepend=-1))
-    for lo, hi in zip(cuts, [*cuts[1:], len(ranks)], strict=True):
-        m = least(hi - lo)
-        if hi - lo < m:
+class Least:
+    """How many of all documents two topics share at least, called with the number of documents of the rarer one; the other is as frequent at least."""
+
+    def __init__(self, docs: int, min_docs: int, min_pmi: float):
+        self.docs, self.min_docs, self.min_pmi = docs, max(1, min_docs), min_pmi
+
+    def __call__(self, n):
+        return np.maximum(self.min_docs, np.ceil(exp(self.min_pmi) * n * n / self.docs * (1 - 1e-9)))
+
+    def pmi(self, both: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+        return np.log(both * float(self.docs) / (n_x * n_y))
+
+
+class Held:
+    """The topics that may be in a pair, numbered rare first (``kept``: topic, n, rank), and the documents' lists of them (``lists``), packed by groups of ranks that begin at ``first``."""
+
+    def __init__(self, kept: DataFrame, lists: DataFrame, first: np.ndarray, least: Least):
+        self.kept, self.lists, self.first, self.least = kept, lists, first, least
+
+    def squares(self) -> DataFrame:
+        """g, h, rank, n, topic, docs, x, y: in a partition, the names and lists of two groups g <= h. No table is dealt out for that: a task reads the columns of its groups."""
+        ends, parts = self.first, []
+        for g, h in combinations_with_replacement(range(len(ends) - 1), 2):
+            names = self.kept.where(F.col("rank").between(int(ends[g]), int(ends[g + 1]) - 1) | F.col("rank").between(int(ends[h]), int(ends[h + 1]) - 1))
+            names = names.selectExpr("rank", "n", "topic", "CAST(NULL AS INT) AS docs", "CAST(NULL AS BINARY) AS x", "CAST(NULL AS BINARY) AS y")
+            lists = self.lists.select(F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast(self.kept.schema["topic"].dataType), "docs", f"p{g}", f"p{h}")
+            parts.append(names.union(lists).coalesce(1).select(F.lit(g).alias("g"), F.lit(h).alias("h"), "*"))
+        # Spark lays partitions of a union together where all its parts have one; a part without rows, of another partitioning, keeps it from that
+        parts.append(names.where("rank < 0").select(F.lit(-1), F.lit(-1), "*"))
+        while len(parts) > 1:
+            parts = [a.union(parts[i + 1]) if i + 1 < len(parts) else a for i, a in list(enumerate(parts))[::2]]
+        return parts[0]
+
+
+def _groups(sizes: list, least: int, most: int) -> np.ndarray:
+    """The first ranks of groups whose topics occur about equally often together, and the number of ranks; sizes: documents and how many topics have so many."""
+    n = np.repeat([r.n for r in sizes], [r.topics for r in sizes]).astype(np.int64)
+    if not len(n):
+        return np.zeros(1, np.int64)
+    groups = min(max(least, -(-int(n.sum()) // MASS)), most)
+    number = (np.cumsum(n) - n) // -(-int(n.sum()) // groups)
+    return np.array([0, *(np.flatnonzero(np.diff(number)) + 1), len(n)], np.int64)
+
+
+def held(lists: DataFrame, min_docs: int = 2, min_pmi: float = 0.0) -> Held:
+    """Of documents' ``topics``, arrays without repeats and nulls. They are read twice, and no row of a topic in a document is dealt out: topics are told by hashes of 64 bits among which no two are equal."""
+    spark = lists.sparkSession
+    all_ = lists.where(F.size("topics") > 0).select("topics")
+    counts = all_.select(F.explode(F.concat("topics", F.array(F.lit(None).cast(all_.schema["topics"].dataType.elementType)))).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "counts")
+    total = counts.where("topic IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts, seed = counts.where("topic IS NOT NULL"), 0
+    while counts.groupBy(F.xxhash64(F.lit(seed), "topic").alias("code")).agg(F.count(F.lit(1)).alias("same")).where("same > 1").limit(1).count():
+        seed += 1
+    least = Least(total, min_docs, min_pmi)
+    kept = numbered(counts.where((F.col("n") >= min_docs) & (F.col("n") <= F.lit(total * exp(-min_pmi) * (1 + 1e-12)))), "rank", "n", "topic")
+    first = _groups(kept.groupBy("n").agg(F.count(F.lit(1)).alias("topics")).orderBy("n").collect(), GROUPS, MOST_GROUPS)
+    codes = kept.select("rank", F.xxhash64(F.lit(seed), "topic").alias("code")).toPandas().sort_values("rank")["code"].to_numpy()
+    codes = spark.sparkContext.broadcast(codes)
+    schema = ", ".join(["docs int", *(f"p{g} binary" for g in range(len(first) - 1))])
+    hashed = all_.select(F.transform("topics", lambda t: F.xxhash64(F.lit(seed), t)).alias("codes"))
+    return Held(kept, written(hashed.mapInArrow(packed_documents(codes, first, SLICE), schema), "lists"), first, least)
+
+
+def _squares(batches: Iterator[pa.RecordBatch], first: np.ndarray, least: Least) -> Iterator[tuple]:
+    """A square of ``Held.squares`` when it is whole: g, h, topics and their numbers of documents of both, and its pairs with these in batches. One square is in memory at a time."""
+    names, square, now = [], None, None
+
+    def done():
+        g, h = now
+        table = pa.Table.from_batches(names).combine_chunks() if names else None
+        rank = table.column("rank").to_numpy()
+        order = np.argsort(rank)
+        table, rank = table.take(pa.array(order)), rank[order]
+        sides = [table.slice(lo := int(np.searchsorted(rank, first[k])), int(np.searchsorted(rank, first[k + 1])) - lo) for k in now]
+        topics, n = zip(*((t.column("topic").combine_chunks(), t.column("n").to_numpy()) for t in sides), strict=True)
+
+        def pairs():
+            xs, size = [], 0
+            for part in square.pairs(len(n[1]), least(n[0])):
+                xs.append(part)
+                size += len(part[0])
+                if size > BATCH:
+                    yield good(xs)
+                    xs, size = [], 0
+            if xs:
+                yield good(xs)
+
+        def good(parts):
+            x, y, both = (np.concatenate(c) for c in zip(*parts, strict=True))
+            pmi = least.pmi(both, n[0][x], n[1][y])
+            use = pmi >= least.min_pmi - 1e-12
+            return x[use], y[use], both[use].astype(np.int64), pmi[use]
+
+        return g, h, topics, n, pairs()
+
+    for b in batches:
+        if not b.num_rows:
             continue
-        x = np.concatenate([values[s:e] for s, e in zip((at[lo:hi] + 1).tolist(), ends[lo:hi].tolist(), strict=True)])
-        if len(x) > topics // 4:
-            counts = np.bincount(x)
-            found = np.flatnonzero(counts >= m)
-            n = counts[found]
-        else:
-            x.sort()
-            found = np.unique(x[m - 1 :][x[m - 1 :] == x[: max(0, len(x) - m + 1)]])
-            n = np.searchsorted(x, found, "right") - np.searchsorted(x, found)
-        if len(found):
-            yield ranks[lo], found, n
-
-
-def _counted(topics: int, least: Callable[[int], int]):
-    """x, y, n_ab out of the rows of ``_tails``, in order of range. A range's ranks lie in a file, so memory does not grow with it."""
-    schema = pa.schema([("x", pa.int32()), ("y", pa.int32()), ("n_ab", pa.int64())])
-
-    def counts(file, sizes: list, own: list) -> Iterator[pa.RecordBatch]:
-        file.flush()
-        sizes, own = np.concatenate(sizes).astype(np.int64), np.concatenate(own).astype(np.int64)
-        values = np.memmap(file, np.int32, "r")
-        xs, ys, ns, size = [], [], [], 0
-        for x, y, n in _partners(values, np.cumsum(sizes) - sizes, sizes, own, topics, least):
-            xs.append(np.full(len(y), x, np.int32))
-            ys.append(y.astype(np.int32))
-            ns.append(n.astype(np.int64))
-            size += len(y)
-            if size > BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (xs, ys, ns)], schema=schema)
-                xs, ys, ns, size = [], [], [], 0
-        if xs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (xs, ys, ns)], schema=schema)
+        at = (b.column(0)[0].as_py(), b.column(1)[0].as_py())
+        if at != now:
+            if now:
+                yield done()
+            names, square, now = [], Square(at[0] == at[1]), at
+        rows = b.select(["rank", "n", "topic"]).filter(pc.is_valid(b.column("rank")))
+        if rows.num_rows:
+            names.append(rows)
+        for docs, x, y in zip(*(b.column(c) for c in ("docs", "x", "y")), strict=True):
+            if docs.is_valid:
+                square.add(docs.as_py(), memoryview(x.as_buffer()), memoryview(y.as_buffer()))
+    if now:
+        yield done()
+
+
+def _counted(first: np.ndarray, least: Least):
+    """tx, ty, nx, ny, n_ab, pmi of the pairs of the squares, tx not more frequent than ty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, file, sizes, own = None, None, [], []
-        for b in batches:
-            ranges, owned, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
-            for lo, hi in zip(cuts, [*cuts[1:], len(ranges)], strict=True):
-                if ranges[lo] != now:
-                    if file:
-                        yield from counts(file, sizes, own)
-                        file.close()
-                    now, file, sizes, own = ranges[lo], tempfile.TemporaryFile(), [], []
-                file.write(np.ascontiguousarray(values[offsets[lo] : offsets[hi]], np.int32).data)
-                sizes.append(np.diff(offsets[lo : hi + 1]))
-                own.append(owned[lo:hi])
-        if file:
-            yield from counts(file, sizes, own)
-            file.close()
+        for _, _, topics, n, pairs in _squares(batches, first, least):
+            for x, y, both, pmi in pairs:
+                yield pa.RecordBatch.from_arrays([topics[0].take(pa.array(x)), topics[1].take(pa.array(y)), *map(pa.array, (n[0][x], n[1][y], both, pmi))], names=["tx", "ty", "nx", "ny", "n_ab", "pmi"])
 
     return run
 
@@ -201,27 +217,40 @@ def cooccurrence(mentions: DataFrame, doc: str, topic: str, min_docs: int = 2, m
     and lose none that qualifies: n_ab <= n_a, so topics of fewer documents than
     min_docs go; and n_ab <= min(n_a, n_b), hence pmi <= ln(N / max(n_a, n_b)), so
     the more frequent topics go too: those that every other document holds are the
-    ones that would make most pairs. The rest is numbered, rare first, and dealt into
-    ranges of about equal work. A range gets the documents that hold its topics, each
-    once, from there on; for one topic at a time the more frequent topics of its
-    documents are counted, so a pair is counted whole in one place and becomes a row
-    only if it is frequent enough for the rarer of the two. Null topics and documents
-    are left out.
+    ones that would make most pairs. Null topics and documents are left out.
     """
-    once = written(mentions.where(F.col(doc).isNotNull() & F.col(topic).isNotNull()).select(F.col(doc).alias("doc"), F.col(topic).alias("topic")).distinct(), "mentions")
-    total = once.agg(F.count_distinct("doc")).first()[0]
-    counts = once.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    kept = numbered(counts.where((F.col("n") >= min_docs) & (F.col("n") <= F.lit(total * exp(-min_pmi) * (1 + 1e-12)))), "rank", "n", "topic")
-    held = join_hot(once, kept, "topic", "n").groupBy("doc").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
-    held = written(held.select("ranks"), "held")
-    first, topics = _ranges(held), kept.count()
-    # the other topic is as frequent at least, so a pair needs e^pmi * n^2 / N documents
-    least = lambda n: max(1, min_docs, ceil(exp(min_pmi) * n * n / total * (1 - 1e-9)))
-    tails = held.mapInArrow(_tails(first), "range int, own int, ranks array<int>").repartition(len(first), "range").sortWithinPartitions("range")
-    both = tails.mapInArrow(_counted(topics, least), "x int, y int, n_ab long")
-    end = lambda c: kept.select(F.col("rank").alias(c), F.col("topic").alias(f"t{c}"), F.col("n").alias(f"n{c}"))
-    pmi = F.log(F.col("n_ab") * F.lit(float(total)) / (F.col("nx") * F.col("ny")))
-    named = both.join(end("x"), "x").join(end("y"), "y").withColumn("pmi", pmi).where(F.col("pmi") >= min_pmi - 1e-12)
+    once = mentions.where(F.col(doc).isNotNull() & F.col(topic).isNotNull()).groupBy(doc).agg(F.collect_set(topic).alias("topics"))
+    return cooccurrence_of_lists(written(once.select("topics"), "topics"), min_docs, min_pmi)
+
+
+def lists_by(rows: DataFrame, doc: str) -> DataFrame:
+    """topics, one array for each document, of rows of a document and an array without repeats: only those of documents with several rows meet. Null documents are left out."""
+    rows = rows.where(F.col(doc).isNotNull())
+    several = written(rows.groupBy(doc).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(doc), "several")
+    if not several.limit(1).count():
+        return rows.select("topics")
+    met = rows.join(several, doc, "left_semi").groupBy(doc).agg(F.array_distinct(F.flatten(F.collect_list("topics"))).alias("topics"))
+    return rows.join(several, doc, "left_anti").select("topics").union(met.select("topics"))
+
+
+def cooccurrence_of_lists(lists: DataFrame, min_docs: int = 2, min_pmi: float = 0.0) -> DataFrame:
+    """``cooccurrence`` of documents' ``topics``, arrays without repeats and nulls.
+
+    What is left of the topics is numbered, rare first, and dealt into groups that
+    occur about equally often. The lists are written once, packed, a column for each
+    group, and a task counts the pairs of two groups: it reads these two columns and
+    the groups' topics, and for one topic of the first at a time it counts those of
+    the second in its documents. So a pair is counted whole in one place, becomes a
+    row only if it is frequent enough, and has its names there: neither lists nor
+    pairs are exchanged.
+    """
+    found = held(lists, min_docs, min_pmi)
+    kind = dict(found.kept.dtypes)["topic"]
+    schema = f"tx {kind}, ty {kind}, nx long, ny long, n_ab long, pmi double"
+    if len(found.first) == 1:
+        named = lists.sparkSession.createDataFrame([], schema)
+    else:
+        named = found.squares().mapInArrow(_counted(found.first, found.least), schema)
     less = F.col("tx") < F.col("ty")
     pick = lambda one, other, c: F.when(less, F.col(one)).otherwise(F.col(other)).alias(c)
     return named.select(pick("tx", "ty", "a"), pick("ty", "tx", "b"), pick("nx", "ny", "n_a"), pick("ny", "nx", "n_b"), "n_ab", "pmi")

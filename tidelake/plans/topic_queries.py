@@ -80,16 +80,17 @@ _SHARED, _PMI = 8, 1.5
 
 def words(spark: SparkSession, d: str) -> DataFrame:
     docs = v.table(spark, d, "documents")
-    return docs.select("doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))).alias("word")).where("word != ''")
+    found = F.array_remove(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")), "")
+    return topics.lists_by(docs.select("doc_id", found.alias("topics")), "doc_id")
 
 
 def word_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return topics.cooccurrence(words(spark, d), "doc_id", "word", _SHARED, _PMI)
+    return topics.cooccurrence_of_lists(words(spark, d), _SHARED, _PMI)
 
 
 @register("word_pmi", f"WITH {_pmi_sql(_WORDS, _SHARED, _PMI)} SELECT a, b, n_a, n_b, n_ab, round(pmi, 6) AS pmi FROM found")
 def _(spark, d):
-    return word_pairs(spark, d).withColumn("pmi", F.round("pmi", 6))
+    return word_pairs(spark, d).withColumn("pmi", F.floor(F.col("pmi") * 1e6 + 0.5) / 1e6)  # F.round goes by decimals, row by row
 
 
 def _communities_sql(edges: str, rounds: int) -> str:
