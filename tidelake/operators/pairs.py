@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-#: Elements that are counted at once, about.
-BLOCK = 1 << 21
+#: Elements that are counted at once, and occurrences of topics that are looked at together, about.
+BLOCK, SPAN = 1 << 21, 1 << 19
 #: Least elements for which a topic is counted in an array of its own.
 OWN = 1000
 _ZSTD = pa.Codec("zstd", 1)
 
 
+def give_back() -> None:
+    """Give freed memory back to the system: a worker waits for its next task with it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers, compressed by planes of their bytes."""
     planes = np.ascontiguousarray(values, "<i4").view(np.uint8).reshape(-1, 4).T
@@ -92,18 +100,26 @@ class Square:
         """x, y, documents of the pairs that least[x] documents or more share; of the same group those with x < y. y is below width."""
         if not self.docs:
             return
-        key = np.concatenate(self.x).astype(np.int64) << 32
+        key = np.concatenate(self.x, dtype=np.int64)
         self.x = []
+        key <<= 32
         key |= np.concatenate(self.doc)
         self.doc = []
         key.sort()
-        xs, docs = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
-        del key
-        sizes = np.concatenate(self.sizes)
-        data = np.concatenate(self.y).astype(np.int32)
+        sizes, data = np.concatenate(self.sizes), np.concatenate(self.y)
         self.y = self.sizes = []
         offsets = np.concatenate([[0], np.cumsum(4 * sizes)])
         lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        at = 0
+        while at < len(key):
+            till = int(np.searchsorted(key, (key[min(at + SPAN, len(key)) - 1] >> 32) + 1 << 32))
+            yield from self._counted((key[at:till] >> 32).astype(np.int32), (key[at:till] & 0xFFFFFFFF).astype(np.int32), lists, sizes, width, least)
+            at = till
+
+        del key, lists, data, offsets
+        give_back()
+
+    def _counted(self, xs, docs, lists, sizes, width, least):
         cuts = np.flatnonzero(np.diff(xs, prepend=-1))
         runs = np.diff(cuts, append=len(xs))
         enough = runs >= least[xs[cuts]]
@@ -168,3 +184,35 @@ class Square:
             if use.any():
                 yield x[use], y[use], n[use]
             at = till
+
+
+def sorted_rows(columns: list[np.ndarray], most: list[int]) -> list[np.ndarray]:
+    """Columns of whole numbers from 0 to ``most``, as int64, their rows in order; sorted as one number where it has room for all."""
+    bits = [max(1, int(m).bit_length()) for m in most]
+    if sum(bits) > 63:
+        order = np.lexsort(columns[::-1])
+        return [c[order].astype(np.int64) for c in columns]
+    key = columns[0].astype(np.int64)
+    for c, b in zip(columns[1:], bits[1:], strict=True):
+        key <<= b
+        key |= c
+    key.sort()
+    out = []
+    for b in bits[:0:-1]:
+        out.append(key & ((1 << b) - 1))
+        key >>= b
+    return [key, *out[::-1]]
+
+
+def pack_edges(node: np.ndarray, other: np.ndarray, weight: np.ndarray) -> bytes:
+    """Edges in order of node and other."""
+    cuts = np.flatnonzero(np.diff(node, prepend=-1))
+    sizes = np.diff(cuts, append=len(node))
+    return pack(np.concatenate([[len(cuts)], np.diff(node[cuts], prepend=0), sizes, steps(sizes, other), weight]))
+
+
+def unpack_edges(packed: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = unpack(packed)
+    k, m = a[0], (len(a) - 1 - 2 * a[0]) // 2
+    sizes = a[1 + k : 1 + 2 * k].astype(np.int64)
+    return np.repeat(np.cumsum(a[1 : 1 + k], dtype=np.int32), sizes), summed(sizes, a[1 + 2 * k : 1 + 2 * k + m]), a[1 + 2 * k + m :]

@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import Square, packed_documents
-from .scratch import numbered, written
+from .scratch import apart, numbered, written
 
 #: Weeks of the baseline.
 WEEKS = 8
 #: Size of the sketches of distinct speakers (log2 of their registers).
 SKETCH = 12
 #: Documents in a row of the packed lists; groups of topics at least and at most; occurrences in a group, about.
-SLICE, GROUPS, MOST_GROUPS, MASS = 2048, 8, 40, 1 << 24
+SLICE, GROUPS, MOST_GROUPS, MASS = 2048, 8, 40, 1 << 23
 #: Pairs in an Arrow batch, about.
 BATCH = 200_000
 
@@ -111,11 +111,7 @@ class Held:
             names = names.selectExpr("rank", "n", "topic", "CAST(NULL AS INT) AS docs", "CAST(NULL AS BINARY) AS x", "CAST(NULL AS BINARY) AS y")
             lists = self.lists.select(F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast(self.kept.schema["topic"].dataType), "docs", f"p{g}", f"p{h}")
             parts.append(names.union(lists).coalesce(1).select(F.lit(g).alias("g"), F.lit(h).alias("h"), "*"))
-        # Spark lays partitions of a union together where all its parts have one; a part without rows, of another partitioning, keeps it from that
-        parts.append(names.where("rank < 0").select(F.lit(-1), F.lit(-1), "*"))
-        while len(parts) > 1:
-            parts = [a.union(parts[i + 1]) if i + 1 < len(parts) else a for i, a in list(enumerate(parts))[::2]]
-        return parts[0]
+        return apart(parts, names.where("rank < 0").select(F.lit(-1), F.lit(-1), "*"))
 
 
 def _groups(sizes: list, least: int, most: int) -> np.ndarray:
@@ -141,14 +137,14 @@ def held(lists: DataFrame, min_docs: int = 2, min_pmi: float = 0.0) -> Held:
     least = Least(total, min_docs, min_pmi)
     kept = numbered(counts.where((F.col("n") >= min_docs) & (F.col("n") <= F.lit(total * exp(-min_pmi) * (1 + 1e-12)))), "rank", "n", "topic")
     first = _groups(kept.groupBy("n").agg(F.count(F.lit(1)).alias("topics")).orderBy("n").collect(), GROUPS, MOST_GROUPS)
-    codes = kept.select("rank", F.xxhash64(F.lit(seed), "topic").alias("code")).toPandas().sort_values("rank")["code"].to_numpy()
+    codes = kept.select("rank", F.xxhash64(F.lit(seed), "topic").alias("code")).toArrow().sort_by("rank").column("code").to_numpy()
     codes = spark.sparkContext.broadcast(codes)
     schema = ", ".join(["docs int", *(f"p{g} binary" for g in range(len(first) - 1))])
     hashed = all_.select(F.transform("topics", lambda t: F.xxhash64(F.lit(seed), t)).alias("codes"))
     return Held(kept, written(hashed.mapInArrow(packed_documents(codes, first, SLICE), schema), "lists"), first, least)
 
 
-def _squares(batches: Iterator[pa.RecordBatch], first: np.ndarray, least: Least) -> Iterator[tuple]:
+def squares_of(batches: Iterator[pa.RecordBatch], first: np.ndarray, least: Least) -> Iterator[tuple]:
     """A square of ``Held.squares`` when it is whole: g, h, topics and their numbers of documents of both, and its pairs with these in batches. One square is in memory at a time."""
     names, square, now = [], None, None
 
@@ -202,7 +198,7 @@ def _counted(first: np.ndarray, least: Least):
     """tx, ty, nx, ny, n_ab, pmi of the pairs of the squares, tx not more frequent than ty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, topics, n, pairs in _squares(batches, first, least):
+        for _, _, topics, n, pairs in squares_of(batches, first, least):
             for x, y, both, pmi in pairs:
                 yield pa.RecordBatch.from_arrays([topics[0].take(pa.array(x)), topics[1].take(pa.array(y)), *map(pa.array, (n[0][x], n[1][y], both, pmi))], names=["tx", "ty", "nx", "ny", "n_ab", "pmi"])
 

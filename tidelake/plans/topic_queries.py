@@ -84,13 +84,9 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return topics.lists_by(docs.select("doc_id", found.alias("topics")), "doc_id")
 
 
-def word_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return topics.cooccurrence_of_lists(words(spark, d), _SHARED, _PMI)
-
-
 @register("word_pmi", f"WITH {_pmi_sql(_WORDS, _SHARED, _PMI)} SELECT a, b, n_a, n_b, n_ab, round(pmi, 6) AS pmi FROM found")
 def _(spark, d):
-    return word_pairs(spark, d).withColumn("pmi", F.floor(F.col("pmi") * 1e6 + 0.5) / 1e6)  # F.round goes by decimals, row by row
+    return topics.cooccurrence_of_lists(words(spark, d), _SHARED, _PMI).withColumn("pmi", F.floor(F.col("pmi") * 1e6 + 0.5) / 1e6)  # F.round goes by decimals, row by row
 
 
 def _communities_sql(edges: str, rounds: int) -> str:
@@ -109,7 +105,7 @@ SELECT node, community FROM l{rounds}"""
 @register("word_communities", "WITH " + _communities_sql(_pmi_sql(_WORDS, _SHARED, _PMI), 12))
 def _(spark, d):
     """Words that belong together by the documents that share them."""
-    return network.communities(word_pairs(spark, d).select("a", "b", F.col("n_ab").alias("weight")), 12).select("node", "community")
+    return network.communities_of_topics(topics.held(words(spark, d), _SHARED, _PMI), 12)
 
 
 _EXAMPLES_SQL = """SELECT query_id, CAST(rank AS INTEGER) AS rank, id, similarity FROM (
